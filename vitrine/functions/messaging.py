@@ -52,12 +52,12 @@ def outbox_backoff(as_of: Column, retry_count) -> Column:
     """the next attempt after a failure that takes the count to n+1 is
     as_of + 2^(n+1) minutes."""
     n = F.coalesce(_c(retry_count), F.lit(0)) + 1
-    return as_of + F.make_dt_interval(F.lit(0), F.lit(0), F.shiftleft(F.lit(1), n))
+    return as_of + F.make_dt_interval(F.lit(0), F.lit(0), F.call_function("shiftleft", F.lit(1), n))
 
 
 def consumer_backoff_ms(retry) -> Column:
     """1000 ms x 2^retry."""
-    return F.shiftleft(F.lit(1).cast("bigint"), _c(retry)) * CONSUMER_BACKOFF_MS
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), _c(retry)) * CONSUMER_BACKOFF_MS
 
 
 def meta_long(meta, key: str, default=None) -> Column:

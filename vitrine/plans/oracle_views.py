@@ -82,6 +82,29 @@ SELECT event_id AS id,
 FROM events""")
 
 
+_view("doc_v", ("product_v",), f"""
+SELECT CAST(id AS VARCHAR) AS id, id AS product_id, name, description, categories, price, sku,
+       attributes, images, created_at, updated_at, click_count, purchase_count, popularity_score,
+       trim(concat_ws(' ', name, description, sku, array_to_string(categories, ' '),
+            array_to_string(list_transform(list_sort(map_keys(attributes)), lambda k: attributes[k]), ' ')))
+           AS all_text,
+       list_concat(categories, list_filter([
+            CASE WHEN price < 100 THEN 'budget' WHEN price > 500 THEN 'premium'
+                 WHEN price IS NOT NULL THEN 'mid-range' END,
+            CASE WHEN popularity_score IS NOT NULL AND popularity_score > 50 THEN 'popular' END,
+            CASE WHEN popularity_score IS NOT NULL AND purchase_count > 100 THEN 'bestseller' END,
+            CASE WHEN coalesce(price > 0, false) THEN 'available' END], lambda x: x IS NOT NULL)) AS tags,
+       coalesce(price > 0, false) AS in_stock,
+       CASE WHEN price IS NULL THEN 'unknown' WHEN price <= 25 THEN '0-25' WHEN price <= 50 THEN '25-50'
+            WHEN price <= 100 THEN '50-100' WHEN price <= 250 THEN '100-250'
+            WHEN price <= 500 THEN '250-500' ELSE '500+' END AS price_range,
+       least(1.0 + coalesce(popularity_score / 100.0 * 0.5, 0.0)
+             + CASE WHEN created_at IS NOT NULL AND datesub('day', created_at, {AS_OF}) < 30
+                    THEN 0.2 ELSE 0.0 END
+             + CASE WHEN coalesce(len(images) > 0, false) THEN 0.1 ELSE 0.0 END, 2.0) AS score_boost
+FROM product_v""")
+
+
 def _order(names: tuple[str, ...]) -> list[str]:
     seen: list[str] = []
 

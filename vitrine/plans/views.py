@@ -139,7 +139,7 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     next_retry = (F.when(i % 20 == 7, F.lit(None).cast("timestamp_ntz"))
                   .when(m10 == 9, as_of() + F.make_dt_interval(F.lit(1)))
                   .otherwise(F.col("ts") + F.make_dt_interval(
-                      F.lit(0), F.lit(0), F.shiftleft(F.lit(1), retry))))
+                      F.lit(0), F.lit(0), F.call_function("shiftleft", F.lit(1), retry))))
     return e.select(
         i.alias("id"),
         k.cast("string").alias("aggregate_id"),
