@@ -109,7 +109,11 @@ def relay(O: DataFrame, as_of: Column, batch: int | None = None) -> DataFrame:
     r = O.filter(is_retry_due(as_of))
     if batch is not None:
         f, r = _oldest_first(f).limit(batch), _oldest_first(r).limit(batch)
-    src = f.unionByName(r)
+    return to_messages(f.unionByName(r))
+
+
+def to_messages(src: DataFrame) -> DataFrame:
+    """Outbox rows -> topic messages (no offsets yet)."""
     return src.select(
         F.concat(F.lit("outbox-"), F.col("id").cast("string")).alias("id"),
         M.topic_for("aggregate_type").alias("topic"),

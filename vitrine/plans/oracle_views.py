@@ -105,6 +105,29 @@ SELECT CAST(id AS VARCHAR) AS id, id AS product_id, name, description, categorie
 FROM product_v""")
 
 
+_view("pevents_v", (), """
+SELECT e.event_id, e.ts, e.user_id, CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS product_id,
+       row_number() OVER (ORDER BY e.ts, e.event_id) AS "offset",
+       CASE WHEN e.event_id % 10 = 0 THEN 'ProductCreated' WHEN e.event_id % 10 = 1 THEN 'ProductUpdated'
+            WHEN e.event_id % 10 = 2 THEN 'ProductDeleted' WHEN e.event_id % 10 <= 7 THEN 'ProductViewed'
+            ELSE 'ProductPurchased' END AS event_type,
+       p.p_name, p.p_type, p.p_brand, p.p_size,
+       (CAST(round(p.p_retailprice * 100) AS BIGINT) * p.p_size) // 50 AS price_cents
+FROM events e LEFT JOIN part p ON p.p_partkey = CAST(json_extract_string(e.props, '$.k') AS BIGINT)""")
+
+_view("topiclog_v", ("outbox_v",), """
+SELECT id AS outbox_id, 'outbox-' || CAST(id AS VARCHAR) AS id,
+       CASE lower(aggregate_type) WHEN 'product' THEN 'product-events' WHEN 'order' THEN 'order-events'
+            WHEN 'user' THEN 'user-events' ELSE 'general-events' END AS topic,
+       event_type, created_at AS "timestamp", aggregate_id AS partition_key, retry_count,
+       processed_at, created_at
+FROM outbox_v""")
+
+_view("topic_v", ("topiclog_v",), """
+SELECT *, row_number() OVER (PARTITION BY topic ORDER BY "timestamp", outbox_id) AS "offset"
+FROM topiclog_v""")
+
+
 def _order(names: tuple[str, ...]) -> list[str]:
     seen: list[str] = []
 
