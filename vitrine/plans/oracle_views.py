@@ -128,6 +128,68 @@ SELECT *, row_number() OVER (PARTITION BY topic ORDER BY "timestamp", outbox_id)
 FROM topiclog_v""")
 
 
+_view("create_req_v", (), """
+SELECT p_partkey AS request_id,
+       CASE WHEN p_partkey % 50 = 1 THEN '' WHEN p_partkey % 50 = 11 THEN repeat('x', 300)
+            ELSE concat_ws(' ', p_name, p_brand) END AS name,
+       concat_ws(' ', p_type, p_name) AS description,
+       CASE WHEN p_partkey % 50 = 2 THEN CAST([] AS VARCHAR[]) WHEN p_partkey % 50 = 12 THEN [p_type, ' ']
+            ELSE [p_type, p_brand] END AS categories,
+       CASE WHEN p_partkey % 50 = 3 THEN CAST(-10 AS DECIMAL(18,4))
+            WHEN p_partkey % 50 = 4 THEN CAST(CAST((CAST(round(p_retailprice * 100) AS BIGINT) * p_size) // 50
+                                                   AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,4)) + CAST('0.001' AS DECIMAL(18,4))
+            WHEN p_partkey % 50 = 13 THEN CAST(123456789 AS DECIMAL(18,4))
+            ELSE CAST(CAST((CAST(round(p_retailprice * 100) AS BIGINT) * p_size) // 50 AS DECIMAL(18,0)) * 0.01
+                      AS DECIMAL(18,4)) END AS price,
+       CASE WHEN p_partkey % 50 = 5 THEN '' WHEN p_partkey % 50 = 6 THEN lower('NEW-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0'))
+            WHEN p_partkey % 50 = 17 THEN 'NEW-' || lpad(CAST(p_partkey - 1 AS VARCHAR), 6, '0')
+            WHEN p_partkey % 50 = 8 THEN upper(substr(p_type, 1, 3)) || '-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0')
+            ELSE 'NEW-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS sku,
+       MAP {'brand': p_brand, 'color': CASE WHEN p_partkey % 50 = 9 THEN '' ELSE split_part(p_name, ' ', 1) END} AS attributes,
+       CASE WHEN p_partkey % 50 = 10 THEN ['ftp://img.vitrine.test/x.jpg']
+            ELSE ['https://img.vitrine.test/new/' || CAST(p_partkey AS VARCHAR) || '.jpg'] END AS images
+FROM part""")
+
+_view("create_chk_v", ("create_req_v",), r"""
+SELECT *, concat_ws(';',
+  CASE WHEN len(list_filter(map_entries(attributes), lambda e: e.key IS NULL OR regexp_full_match(e.key, '\s*')
+                            OR e.value IS NULL OR regexp_full_match(e.value, '\s*'))) > 0
+       THEN 'attributes:must not be blank' END,
+  CASE WHEN categories IS NULL OR len(categories) = 0 THEN 'categories:At least one category is required'
+       WHEN len(list_filter(categories, lambda x: x IS NULL OR regexp_full_match(x, '\s*'))) > 0
+       THEN 'categories:Category name cannot be blank' END,
+  CASE WHEN length(description) > 5000 THEN 'description:Product description must not exceed 5000 characters' END,
+  CASE WHEN len(list_filter(images, lambda x: NOT coalesce(regexp_matches(x, '^https?://.*'), false))) > 0
+       THEN 'images:Image URL must be a valid HTTP/HTTPS URL' END,
+  CASE WHEN name IS NULL OR regexp_full_match(name, '\s*') THEN 'name:Product name is required'
+       WHEN length(name) > 255 THEN 'name:Product name must not exceed 255 characters' END,
+  CASE WHEN price IS NULL THEN 'price:Product price is required'
+       WHEN price < 0.01 THEN 'price:Product price must be greater than 0'
+       WHEN NOT (price = round(price, 2) AND abs(price) < 100000000)
+       THEN 'price:Price must have at most 8 integer digits and 2 decimal places' END,
+  CASE WHEN sku IS NULL OR regexp_full_match(sku, '\s*') THEN 'sku:Product SKU is required'
+       WHEN length(sku) > 100 THEN 'sku:SKU must not exceed 100 characters'
+       WHEN NOT regexp_full_match(sku, '[A-Z0-9_-]+')
+       THEN 'sku:SKU must contain only uppercase letters, numbers, hyphens, and underscores' END) AS errors
+FROM create_req_v""")
+
+_view("create_ok_v", ("create_chk_v", "product_v"), """
+SELECT *, upper(trim(sku)) AS sku_norm,
+       (request_id <> min(request_id) OVER (PARTITION BY upper(trim(sku)))
+        OR upper(trim(sku)) IN (SELECT sku FROM product_v)) AS duplicate
+FROM create_chk_v WHERE errors = ''""")
+
+_view("update_req_v", (), """
+SELECT e.event_id AS request_id, e.user_id * 14 + e.event_id % 14 AS id,
+       CASE WHEN e.event_id % 3 = 0 THEN 'Renamed ' || CAST(e.user_id * 14 + e.event_id % 14 AS VARCHAR) END AS name,
+       CASE WHEN e.event_id % 2 = 0 THEN CAST(CAST((e.event_id % 500) * 100 + 99 AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,4))
+            END AS price,
+       CASE WHEN e.event_id % 7 = 0
+            THEN upper(substr(p.p_type, 1, 3)) || '-' || lpad(CAST(p.p_partkey AS VARCHAR), 6, '0') END AS sku
+FROM events e LEFT JOIN part p ON p.p_partkey - 1 = e.user_id * 14 + e.event_id % 14
+WHERE e.event_type = 'signup'""")
+
+
 def _order(names: tuple[str, ...]) -> list[str]:
     seen: list[str] = []
 

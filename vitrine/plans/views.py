@@ -245,3 +245,74 @@ def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         pid.alias("partition_key"),
         i.alias("event_id"),
     )
+
+
+def create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A create-request batch: one re-import request per part row, with a fixed
+    share of broken requests (blank name, no categories, bad price, bad SKU,
+    SKU repeated in the batch or already in the catalogue, blank attribute
+    value, non-HTTP image)."""
+    k = F.col("p_partkey")
+    m = k % 50
+    cents = F.expr("(cast(round(p_retailprice * 100) as bigint) * p_size) div 50")
+    price = cents_to_money(cents, 18).cast("decimal(18,4)")
+    new_sku = lambda x: F.concat(F.lit("NEW-"), F.lpad(x.cast("string"), 6, "0"))
+    return table(spark, sf_dir, "part").select(
+        k.alias("request_id"),
+        F.when(m == 1, F.lit("")).when(m == 11, F.repeat(F.lit("x"), 300))
+         .otherwise(F.concat_ws(" ", "p_name", "p_brand")).alias("name"),
+        F.concat_ws(" ", "p_type", "p_name").alias("description"),
+        F.when(m == 2, F.array().cast("array<string>"))
+         .when(m == 12, F.array(F.col("p_type"), F.lit(" ")))
+         .otherwise(F.array("p_type", "p_brand")).alias("categories"),
+        F.when(m == 3, F.lit(-10).cast("decimal(18,4)"))
+         .when(m == 4, price + F.lit("0.001").cast("decimal(18,4)"))
+         .when(m == 13, F.lit(123456789).cast("decimal(18,4)"))
+         .otherwise(price).cast("decimal(18,4)").alias("price"),
+        F.when(m == 5, F.lit("")).when(m == 6, F.lower(new_sku(k)))
+         .when(m == 17, new_sku(k - 1))
+         .when(m == 8, F.concat(F.upper(F.substring("p_type", 1, 3)), F.lit("-"),
+                                F.lpad(k.cast("string"), 6, "0")))
+         .otherwise(new_sku(k)).alias("sku"),
+        F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("color"),
+                     F.when(m == 9, F.lit("")).otherwise(F.split("p_name", " ")[0])).alias("attributes"),
+        F.when(m == 10, F.array(F.lit("ftp://img.vitrine.test/x.jpg")))
+         .otherwise(F.array(F.concat(F.lit("https://img.vitrine.test/new/"), k.cast("string"),
+                                     F.lit(".jpg")))).alias("images"),
+    )
+
+
+def update_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update-request batch from 'signup' events: target id = user_id*14 +
+    event_id%14 (about 5% beyond the catalogue -> not found); every third
+    renames, every second reprices, every seventh moves the SKU to the SKU of
+    product id+1 (a conflict whenever that product exists)."""
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
+    nxt = table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") - 1).alias("_prev"),
+        F.concat(F.upper(F.substring("p_type", 1, 3)), F.lit("-"),
+                 F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("_next_sku"))
+    i = F.col("event_id")
+    target = F.col("user_id") * 14 + i % 14
+    u = e.select(i.alias("request_id"), target.alias("id"))
+    u = u.join(nxt, u.id == nxt._prev, "left")
+    return u.select(
+        "request_id", "id",
+        F.when(i_mod(3) == 0, F.concat(F.lit("Renamed "), F.col("id").cast("string"))).alias("name"),
+        F.lit(None).cast("string").alias("description"),
+        F.lit(None).cast("array<string>").alias("categories"),
+        F.when(i_mod(2) == 0, cents_to_money(i_mod(500) * 100 + 99, 18).cast("decimal(18,4)"))
+         .alias("price"),
+        F.when(i_mod(7) == 0, F.col("_next_sku")).alias("sku"),
+        F.lit(None).cast("map<string,string>").alias("attributes"),
+        F.lit(None).cast("array<string>").alias("images"))
+
+
+def i_mod(n: int) -> Column:
+    return F.col("request_id") % n
+
+
+def delete_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids to delete, from 'error' events (same id rule as update_requests)."""
+    return (table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+            .select((F.col("user_id") * 14 + F.col("event_id") % 14).alias("id")))
