@@ -316,3 +316,55 @@ def delete_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids to delete, from 'error' events (same id rule as update_requests)."""
     return (table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
             .select((F.col("user_id") * 14 + F.col("event_id") % 14).alias("id")))
+
+
+SORT_MENU = ["name", "price", "createdAt", "popularityScore", "rating"]
+
+
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of search requests, one per 'view' event: a word of the viewed
+    product's name (every 5th truncated by one letter, every 5th+1 with two
+    letters swapped), the whole name every 7th, blank every 11th; a category
+    filter every 3rd, a 50-500 price range every 4th; pages 0-2 of size 10/20;
+    sort field and direction from the request menu."""
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "view").select(
+        "event_id", prop_k(F.col("props")).alias("k"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    j = e.join(p, e.k == p.p_partkey)
+    i = F.col("event_id")
+    w = F.split("p_name", " ").getItem((i % 2).cast("int"))
+    n = F.length(w)
+    trunc = w.substr(F.lit(1), n - 1)
+    swap = F.concat(w.substr(F.lit(1), F.lit(1)), w.substr(F.lit(3), F.lit(1)),
+                    w.substr(F.lit(2), F.lit(1)), w.substr(F.lit(4), F.lit(100)))
+    q = (F.when(i % 11 == 0, F.lit("")).when(i % 7 == 0, F.col("p_name"))
+         .when(i % 5 == 0, trunc).when(i % 5 == 1, swap).otherwise(w))
+    menu = F.array(*[F.lit(x) for x in SORT_MENU])
+    return j.select(
+        i.alias("query_id"), q.alias("q"),
+        F.when(i % 3 == 0, F.array("p_type")).alias("categories"),
+        F.when(i % 4 == 0, F.lit(50).cast("decimal(10,2)")).alias("min_price"),
+        F.when(i % 4 == 0, F.lit(500).cast("decimal(10,2)")).alias("max_price"),
+        (i % 3).cast("int").alias("page"),
+        F.when(i % 2 == 0, 10).otherwise(20).alias("size"),
+        F.element_at(menu, (i % 5 + 1).cast("int")).alias("sort_by"),
+        F.when(i % 2 == 1, "asc").otherwise("desc").alias("sort_direction"))
+
+
+def prefix_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Autocomplete prefixes, one per 'click' event: the first word of the
+    clicked product's name and the first 1-3 letters of its second word."""
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "click").select(
+        "event_id", prop_k(F.col("props")).alias("k"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    j = e.join(p, e.k == p.p_partkey)
+    words = F.split("p_name", " ")
+    q = F.concat(words.getItem(0), F.lit(" "),
+                 words.getItem(1).substr(F.lit(1), (F.col("event_id") % 3 + 1).cast("int")))
+    return j.select(F.col("event_id").alias("query_id"), q.alias("q"))
+
+
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark texts as full-text queries over the documents corpus."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"),
+                                                    F.col("text").alias("q"))
