@@ -275,9 +275,9 @@ def autocomplete(ix: Index, queries: DataFrame, field: str = "name") -> DataFram
            .filter(F.col("k") == F.col("n")))
     matched = phr.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("freq"))
     # score: BM25 of the phrase frequency with the field's length norm
-    st = ix.field_stats.filter(F.col("field") == field)
-    dl = ix.doc_len.filter(F.col("field") == field).select("doc_id", "dl")
-    m = matched.join(dl, "doc_id").join(F.broadcast(st.select("n_docs", "avgdl")), how="inner")
+    m = (matched.withColumn("field", F.lit(field))
+         .join(ix.doc_len, ["field", "doc_id"])
+         .join(F.broadcast(ix.field_stats), "field"))          # one row per field
     s = bm25(F.col("freq"), F.lit(1.0), F.col("n_docs"), F.col("dl"), F.col("avgdl"))
     return m.select("query_id", "doc_id", s.alias("score"))
 

@@ -190,6 +190,32 @@ FROM events e LEFT JOIN part p ON p.p_partkey - 1 = e.user_id * 14 + e.event_id
 WHERE e.event_type = 'signup'""")
 
 
+_view("search_req_v", (), """
+SELECT e.event_id AS query_id,
+       CASE WHEN e.event_id % 11 = 0 THEN '' WHEN e.event_id % 7 = 0 THEN p.p_name
+            WHEN e.event_id % 5 = 0 THEN substr(p.w, 1, length(p.w) - 1)
+            WHEN e.event_id % 5 = 1 THEN substr(p.w, 1, 1) || substr(p.w, 3, 1) || substr(p.w, 2, 1) || substr(p.w, 4, 100)
+            ELSE p.w END AS q,
+       CASE WHEN e.event_id % 3 = 0 THEN [p.p_type] END AS categories,
+       CASE WHEN e.event_id % 4 = 0 THEN CAST(50 AS DECIMAL(10,2)) END AS min_price,
+       CASE WHEN e.event_id % 4 = 0 THEN CAST(500 AS DECIMAL(10,2)) END AS max_price,
+       CAST(e.event_id % 3 AS INTEGER) AS page,
+       CASE WHEN e.event_id % 2 = 0 THEN 10 ELSE 20 END AS size,
+       ['name', 'price', 'createdAt', 'popularityScore', 'rating'][e.event_id % 5 + 1] AS sort_by,
+       CASE WHEN e.event_id % 2 = 1 THEN 'asc' ELSE 'desc' END AS sort_direction
+FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
+      WHERE event_type = 'view') e
+JOIN (SELECT p_partkey, p_name, p_type, split_part(p_name, ' ', 1) AS w0, split_part(p_name, ' ', 2) AS w1 FROM part) p0
+  ON p0.p_partkey = e.k
+CROSS JOIN LATERAL (SELECT p0.p_name, p0.p_type, CASE WHEN e.event_id % 2 = 0 THEN p0.w0 ELSE p0.w1 END AS w) p""")
+
+_view("prefix_req_v", (), """
+SELECT e.event_id AS query_id,
+       split_part(p.p_name, ' ', 1) || ' ' || substr(split_part(p.p_name, ' ', 2), 1, CAST(e.event_id % 3 + 1 AS INTEGER)) AS q
+FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
+      WHERE event_type = 'click') e JOIN part p ON p.p_partkey = e.k""")
+
+
 def _order(names: tuple[str, ...]) -> list[str]:
     seen: list[str] = []
 

@@ -9,8 +9,37 @@ from vitrine.functions import text as TX
 from vitrine.operators import search as SE
 from vitrine.operators import sync as S
 from vitrine.plans import views as V
+from vitrine.plans.oracle_text import _STOP as STOP
+from vitrine.plans.oracle_text import _SYN as SYN
+from vitrine.plans.oracle_text import (index_ctes, score_ctes, sql_analyze, sql_analyze_sku,
+                                       sql_bm25, sql_raw_tokens, top_k_sql)
 from vitrine.plans.registry import register
 
+AUTOCOMPLETE_SQL = f"""
+, npos AS (SELECT p_partkey AS doc_id, unnest(list_filter(list_transform({sql_raw_tokens('p_name')},
+               lambda t, i: {{'pos': i - 1, 'term': coalesce({SYN}[t], t)}}), lambda s: NOT list_contains({STOP}, s.term))) AS s
+           FROM part),
+np AS (SELECT doc_id, s.pos AS dpos, s.term AS term FROM npos),
+dict AS (SELECT DISTINCT term FROM np),
+qpos AS (SELECT query_id, unnest(list_filter(list_transform({sql_raw_tokens('q')},
+               lambda t, i: {{'pos': i - 1, 'term': coalesce({SYN}[t], t)}}), lambda s: NOT list_contains({STOP}, s.term))) AS s
+         FROM prefix_req_v),
+qp0 AS (SELECT query_id, s.pos AS qpos, s.term AS qterm,
+               row_number() OVER (PARTITION BY query_id ORDER BY s.pos) - 1 AS i FROM qpos),
+lst AS (SELECT query_id, max(i) AS last_i, min(qpos) AS p0, count(*) AS n FROM qp0 GROUP BY query_id),
+qp AS (SELECT qp0.*, lst.last_i, lst.n, qp0.qpos - lst.p0 AS rel FROM qp0 JOIN lst USING (query_id)),
+ex AS (SELECT qp.query_id, qp.i, qp.rel, qp.n, dict.term FROM qp JOIN dict ON dict.term = qp.qterm WHERE qp.i < qp.last_i),
+pref AS (SELECT query_id, i, rel, n, term FROM (
+           SELECT qp.query_id, qp.i, qp.rel, qp.n, dict.term,
+                  row_number() OVER (PARTITION BY qp.query_id ORDER BY dict.term) AS r
+           FROM qp JOIN dict ON starts_with(dict.term, qp.qterm) WHERE qp.i = qp.last_i) WHERE r <= 50),
+terms AS (SELECT * FROM ex UNION ALL SELECT * FROM pref),
+hits AS (SELECT t.query_id, np.doc_id, np.dpos - t.rel AS start, t.n, t.i FROM terms t JOIN np ON np.term = t.term),
+phr AS (SELECT query_id, doc_id, start FROM hits GROUP BY query_id, doc_id, start, n HAVING count(DISTINCT i) = n),
+matched AS (SELECT query_id, doc_id, count(*) AS freq FROM phr GROUP BY query_id, doc_id)"""
+PIX = index_ctes("doc_v", "product_id", SE.PRODUCT_INDEX_FIELDS)
+CIX = index_ctes("documents", "doc_id", {"text": "text"}, prefix="cx")
+
 
 def product_docs(spark, sf):
     return S.full_sync(V.product(spark, sf), V.as_of())
@@ -31,7 +60,9 @@ def _scored_out(df, key="query_id"):
 
 
 # --- analysis and index ----------------------------------------------------------------
-@register("analyze_documents")
+@register("analyze_documents", f"""
+SELECT doc_id, len({sql_analyze('text')}) AS n_terms, len(list_distinct({sql_analyze('text')})) AS n_distinct
+FROM documents""")
 def q_analyze_documents(spark, sf):
     """X1 over the whole corpus: terms per document after the analyzer."""
     d = V.table(spark, sf, "documents").select("doc_id", TX.analyze(F.col("text")).alias("t"))
@@ -39,14 +70,18 @@ def q_analyze_documents(spark, sf):
                     F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
-@register("name_term_stats")
+@register("name_term_stats", f"""
+SELECT term, count(DISTINCT p_partkey) AS df FROM (SELECT p_partkey, unnest({sql_analyze('p_name')}) AS term FROM part)
+GROUP BY term""")
 def q_name_term_stats(spark, sf):
     """Document frequency of every term of the product name field."""
     _, ix = product_ix(spark, sf)
     return ix.term_stats.filter(F.col("field") == "name").select("term", "df")
 
 
-@register("corpus_term_stats")
+@register("corpus_term_stats", f"""
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf
+FROM (SELECT doc_id, unnest({sql_analyze('text')}) AS term FROM documents) GROUP BY term""")
 def q_corpus_term_stats(spark, sf):
     """X5 over the corpus: document frequency and total term frequency."""
     ix = corpus_ix(spark, sf)
@@ -54,7 +89,12 @@ def q_corpus_term_stats(spark, sf):
                                            F.sum("tf").alias("cf"))
 
 
-@register("edge_ngrams")
+@register("edge_ngrams", f"""
+SELECT gram, count(DISTINCT p_partkey) AS products FROM (
+  SELECT p_partkey, substr(t, 1, n) AS gram FROM (
+    SELECT p_partkey, t, unnest(generate_series(2, least(20, length(t)))) AS n
+    FROM (SELECT p_partkey, unnest({sql_raw_tokens('p_name')}) AS t FROM part) WHERE length(t) >= 2))
+GROUP BY gram""")
 def q_edge_ngrams(spark, sf):
     """Autocomplete grams of product names: how many names carry each gram."""
     D = product_docs(spark, sf)
@@ -63,7 +103,10 @@ def q_edge_ngrams(spark, sf):
     return grams.groupBy("gram").agg(F.count_distinct("product_id").alias("products"))
 
 
-@register("sku_terms")
+@register("sku_terms", f"""
+SELECT p_partkey AS product_id,
+       {sql_analyze_sku("upper(substr(p_type, 1, 3)) || '-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0')")} AS sku_term
+FROM part""")
 def q_sku_terms(spark, sf):
     """The SKU keyword analyzer (whole value, lower case, folded)."""
     D = product_docs(spark, sf)
@@ -71,14 +114,50 @@ def q_sku_terms(spark, sf):
 
 
 # --- product search ---------------------------------------------------------------------
-@register("search_products")
+@register("search_products", PIX + score_ctes(
+    "(SELECT * FROM search_req_v WHERE coalesce(length(trim(q)), 0) > 0)", SE.MAIN_FIELDS, "and", True) + """,
+req AS (SELECT *, lower(coalesce(sort_by, '')) AS by_, lower(coalesce(sort_direction, '')) = 'asc' AS asc_,
+               coalesce(length(trim(q)) = 0, true) AS blank_, coalesce(len(categories) > 0, false) AS has_cats
+        FROM search_req_v),
+textm AS (SELECT s.query_id, s.doc_id FROM scored s JOIN req r ON r.query_id = s.query_id
+          JOIN doc_v d ON d.product_id = s.doc_id
+          WHERE (r.categories IS NULL OR len(r.categories) = 0 OR coalesce(list_has_any(d.categories, r.categories), false))
+            AND coalesce(d.price >= r.min_price, true) AND coalesce(d.price <= r.max_price, true)),
+browse AS (SELECT DISTINCT r.query_id, d.product_id AS doc_id FROM req r JOIN doc_v d
+           ON list_has_any(d.categories, r.categories) WHERE r.blank_ AND r.has_cats),
+rng AS (SELECT r.query_id, d.product_id AS doc_id FROM req r JOIN doc_v d
+        ON d.price >= coalesce(r.min_price, 0) AND coalesce(d.price <= r.max_price, true)
+        WHERE r.blank_ AND NOT r.has_cats),
+hits AS (SELECT * FROM textm UNION ALL SELECT * FROM browse UNION ALL SELECT * FROM rng),
+ranked AS (SELECT h.query_id, h.doc_id, r.page, r.size, row_number() OVER (PARTITION BY h.query_id ORDER BY
+      CASE WHEN r.by_ = 'name' AND r.asc_ THEN d.name END ASC NULLS LAST,
+      CASE WHEN r.by_ = 'name' AND NOT r.asc_ THEN d.name END DESC NULLS LAST,
+      CASE WHEN r.by_ = 'price' AND r.asc_ THEN d.price END ASC NULLS LAST,
+      CASE WHEN r.by_ = 'price' AND NOT r.asc_ THEN d.price END DESC NULLS LAST,
+      CASE WHEN r.by_ = 'createdat' AND r.asc_ THEN d.created_at END ASC NULLS LAST,
+      CASE WHEN r.by_ = 'createdat' AND NOT r.asc_ THEN d.created_at END DESC NULLS LAST,
+      CASE WHEN r.by_ = 'popularityscore' AND r.asc_ THEN d.popularity_score END ASC NULLS LAST,
+      CASE WHEN r.by_ = 'popularityscore' AND NOT r.asc_ THEN d.popularity_score END DESC NULLS LAST,
+      CASE WHEN r.by_ NOT IN ('name', 'price', 'createdat', 'popularityscore') THEN d.popularity_score END DESC NULLS LAST,
+      CASE WHEN r.by_ NOT IN ('name', 'price', 'createdat', 'popularityscore') THEN d.created_at END DESC NULLS LAST,
+      h.doc_id ASC) AS rank
+    FROM hits h JOIN req r ON r.query_id = h.query_id JOIN doc_v d ON d.product_id = h.doc_id)
+SELECT query_id, doc_id, rank FROM ranked WHERE rank > page * size AND rank <= (page + 1) * size""",
+          ("doc_v", "search_req_v"))
 def q_search_products(spark, sf):
     """One page per search request of the batch."""
     D, ix = product_ix(spark, sf)
     return SE.search_products(ix, D, V.search_requests(spark, sf))
 
 
-@register("fuzzy_expansions")
+@register("fuzzy_expansions", f"""
+, qt AS (SELECT DISTINCT qterm FROM (SELECT unnest(list_distinct({sql_analyze('q')})) AS qterm FROM search_req_v)
+         WHERE length(qterm) > 0),
+dict AS (SELECT DISTINCT unnest({sql_analyze('p_name')}) AS term FROM part),
+c AS (SELECT qterm, term, CASE WHEN qterm = term THEN 0 ELSE damerau_levenshtein(qterm, term) END AS edits,
+             CASE WHEN length(qterm) <= 2 THEN 0 WHEN length(qterm) <= 5 THEN 1 ELSE 2 END AS k FROM qt, dict)
+SELECT qterm, term, edits FROM (SELECT *, row_number() OVER (PARTITION BY qterm ORDER BY edits, term) AS r
+                                FROM c WHERE edits <= k) WHERE r <= 50""", ("search_req_v",))
 def q_fuzzy_expansions(spark, sf):
     """Name-dictionary terms within AUTO distance of each request term."""
     _, ix = product_ix(spark, sf)
@@ -89,7 +168,8 @@ def q_fuzzy_expansions(spark, sf):
     return e.select("qterm", "term", "edits")
 
 
-@register("name_fuzzy")
+@register("name_fuzzy", PIX + score_ctes("search_req_v", {"name": ("text", 1.0)}, "or", True)
+          + "\n" + top_k_sql("scored", "query_id", 10), ("doc_v", "search_req_v"))
 def q_name_fuzzy(spark, sf):
     """Fuzzy name match (any term), best 10 per request."""
     _, ix = product_ix(spark, sf)
@@ -97,7 +177,8 @@ def q_name_fuzzy(spark, sf):
     return _scored_out(SE.top_k(SE.name_fuzzy(ix, reqs), "query_id", 10))
 
 
-@register("name_simple_fuzzy")
+@register("name_simple_fuzzy", PIX + score_ctes("search_req_v", {"name": ("text", 1.0)}, "or", True, raw=True)
+          + "\n" + top_k_sql("scored", "query_id", 10), ("doc_v", "search_req_v"))
 def q_name_simple_fuzzy(spark, sf):
     """X11: the raw request text as one fuzzy term on name."""
     _, ix = product_ix(spark, sf)
@@ -105,7 +186,8 @@ def q_name_simple_fuzzy(spark, sf):
     return _scored_out(SE.top_k(SE.name_simple_fuzzy(ix, reqs), "query_id", 10))
 
 
-@register("multi_field_search")
+@register("multi_field_search", PIX + score_ctes("search_req_v", SE.MULTI_FIELDS, "or", False)
+          + "\n" + top_k_sql("scored", "query_id", 10), ("doc_v", "search_req_v"))
 def q_multi_field_search(spark, sf):
     """Exact multi-field search, best 10 per request."""
     _, ix = product_ix(spark, sf)
@@ -113,7 +195,11 @@ def q_multi_field_search(spark, sf):
     return _scored_out(SE.top_k(SE.multi_field_search(ix, reqs), "query_id", 10))
 
 
-@register("search_in_category")
+@register("search_in_category", PIX + score_ctes(
+    "(SELECT * FROM search_req_v WHERE categories IS NOT NULL)", SE.CATEGORY_FIELDS, "or", False) + """,
+f AS (SELECT s.* FROM scored s JOIN search_req_v r ON r.query_id = s.query_id
+      JOIN doc_v d ON d.product_id = s.doc_id WHERE list_has_any(d.categories, r.categories))
+""" + top_k_sql("f", "query_id", 10), ("doc_v", "search_req_v"))
 def q_search_in_category(spark, sf):
     """X7 fields within the request's category (requests that have one)."""
     D, ix = product_ix(spark, sf)
@@ -121,7 +207,11 @@ def q_search_in_category(spark, sf):
     return _scored_out(SE.top_k(SE.search_in_category(ix, D, reqs), "query_id", 10))
 
 
-@register("search_in_price_range")
+@register("search_in_price_range", PIX + score_ctes(
+    "(SELECT * FROM search_req_v WHERE min_price IS NOT NULL)", SE.CATEGORY_FIELDS, "or", False) + """,
+f AS (SELECT s.* FROM scored s JOIN search_req_v r ON r.query_id = s.query_id
+      JOIN doc_v d ON d.product_id = s.doc_id WHERE d.price >= r.min_price AND d.price <= r.max_price)
+""" + top_k_sql("f", "query_id", 10), ("doc_v", "search_req_v"))
 def q_search_in_price_range(spark, sf):
     """X7 fields within the request's price range (requests that have one)."""
     D, ix = product_ix(spark, sf)
@@ -129,21 +219,41 @@ def q_search_in_price_range(spark, sf):
     return _scored_out(SE.top_k(SE.search_in_price_range(ix, D, reqs), "query_id", 10))
 
 
-@register("autocomplete")
+@register("autocomplete", AUTOCOMPLETE_SQL + "\nSELECT query_id, doc_id FROM matched", ("prefix_req_v",))
 def q_autocomplete(spark, sf):
     """Every product whose name completes the prefix as a phrase."""
     _, ix = product_ix(spark, sf)
     return SE.autocomplete(ix, V.prefix_requests(spark, sf)).select("query_id", "doc_id")
 
 
-@register("suggest")
+@register("suggest", AUTOCOMPLETE_SQL + PIX + f""",
+sc AS (SELECT m.query_id, m.doc_id, {sql_bm25('m.freq', '1.0', 'fs.n_docs', 'l.dl', 'fs.avgdl')} AS score
+       FROM matched m JOIN ix_len l ON l.field = 'name' AND l.doc_id = m.doc_id JOIN ix_fs fs ON fs.field = 'name'),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank
+                       FROM sc) WHERE rank <= 5)
+SELECT DISTINCT t.query_id, p.name FROM top t JOIN doc_v p ON p.product_id = t.doc_id""",
+          ("prefix_req_v", "doc_v"))
 def q_suggest(spark, sf):
     """X13 + T7: first 5 completions per prefix, then distinct names."""
     D, ix = product_ix(spark, sf)
     return SE.suggest(ix, D, V.prefix_requests(spark, sf), 5)
 
 
-@register("more_like_this")
+@register("more_like_this", PIX + f""",
+seeds AS (SELECT DISTINCT product_id AS seed_id FROM views_v),
+st AS (SELECT s.seed_id, p.field, p.term, p.tf, d.df, fs.n_docs, fs.avgdl FROM seeds s
+       JOIN ix_post p ON p.doc_id = s.seed_id JOIN ix_df d ON d.field = p.field AND d.term = p.term
+       JOIN ix_fs fs ON fs.field = p.field WHERE p.field IN ('name', 'description', 'categories')),
+wt AS (SELECT *, CAST(tf AS DOUBLE) * (ln(CAST(n_docs AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + CAST(1.0 AS DOUBLE)) AS w FROM st),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY w DESC, field, term) AS r FROM wt)
+           WHERE r <= 50),
+need AS (SELECT seed_id, greatest(1, floor(CAST(count(*) AS DOUBLE) * CAST(0.3 AS DOUBLE))) AS need FROM chosen GROUP BY 1),
+hits AS (SELECT c.seed_id, p.doc_id, {sql_bm25('p.tf', 'c.df', 'c.n_docs', 'l.dl', 'c.avgdl')} AS sc
+         FROM chosen c JOIN ix_post p ON p.field = c.field AND p.term = c.term
+         JOIN ix_len l ON l.field = c.field AND l.doc_id = p.doc_id WHERE p.doc_id <> c.seed_id),
+agg AS (SELECT seed_id, doc_id, sum(sc) AS score, count(*) AS matched FROM hits GROUP BY 1, 2),
+res AS (SELECT a.seed_id, a.doc_id, a.score FROM agg a JOIN need n USING (seed_id) WHERE a.matched >= n.need)
+""" + top_k_sql("res", "seed_id", 5), ("doc_v", "views_v"))
 def q_more_like_this(spark, sf):
     """5 most similar products for every viewed product."""
     _, ix = product_ix(spark, sf)
@@ -152,7 +262,9 @@ def q_more_like_this(spark, sf):
 
 
 # --- corpus search ---------------------------------------------------------------------
-@register("corpus_search")
+@register("corpus_search", CIX + score_ctes(
+    "(SELECT item_id AS query_id, text AS q FROM benchmark)", {"text": ("text", 1.0)}, "or", False, prefix="cx")
+          + "\n" + top_k_sql("scored", "query_id", 10))
 def q_corpus_search(spark, sf):
     """X7/X15 on the corpus: each whole benchmark text as a query (any term),
     BM25, best 10 documents per query."""
@@ -161,7 +273,9 @@ def q_corpus_search(spark, sf):
     return _scored_out(SE.top_k(s, "query_id", 10))
 
 
-@register("corpus_search_all_terms")
+@register("corpus_search_all_terms", CIX + score_ctes(
+    "(SELECT item_id AS query_id, text AS q FROM benchmark)", {"text": ("text", 1.0)}, "and", False, prefix="cx")
+          + "\nSELECT query_id, doc_id, round(score, 4) AS score FROM scored")
 def q_corpus_search_all_terms(spark, sf):
     """X6 on the corpus without fuzziness: documents containing every term of
     a whole benchmark text (the texts are quoted inside documents)."""
@@ -170,7 +284,21 @@ def q_corpus_search_all_terms(spark, sf):
     return s.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-@register("corpus_more_like_this")
+@register("corpus_more_like_this", CIX + f""",
+seeds AS (SELECT DISTINCT doc_id AS seed_id FROM labels),
+st AS (SELECT s.seed_id, p.field, p.term, p.tf, d.df, fs.n_docs, fs.avgdl FROM seeds s
+       JOIN cx_post p ON p.doc_id = s.seed_id JOIN cx_df d ON d.field = p.field AND d.term = p.term
+       JOIN cx_fs fs ON fs.field = p.field WHERE p.field IN ('text')),
+wt AS (SELECT *, CAST(tf AS DOUBLE) * (ln(CAST(n_docs AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + CAST(1.0 AS DOUBLE)) AS w FROM st),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY w DESC, field, term) AS r FROM wt)
+           WHERE r <= 50),
+need AS (SELECT seed_id, greatest(1, floor(CAST(count(*) AS DOUBLE) * CAST(0.3 AS DOUBLE))) AS need FROM chosen GROUP BY 1),
+hits AS (SELECT c.seed_id, p.doc_id, {sql_bm25('p.tf', 'c.df', 'c.n_docs', 'l.dl', 'c.avgdl')} AS sc
+         FROM chosen c JOIN cx_post p ON p.field = c.field AND p.term = c.term
+         JOIN cx_len l ON l.field = c.field AND l.doc_id = p.doc_id WHERE p.doc_id <> c.seed_id),
+agg AS (SELECT seed_id, doc_id, sum(sc) AS score, count(*) AS matched FROM hits GROUP BY 1, 2),
+res AS (SELECT a.seed_id, a.doc_id, a.score FROM agg a JOIN need n USING (seed_id) WHERE a.matched >= n.need)
+""" + top_k_sql("res", "seed_id", 5))
 def q_corpus_more_like_this(spark, sf):
     """X14 on the corpus: 5 most similar documents for every labelled document."""
     ix = corpus_ix(spark, sf)

@@ -25,7 +25,12 @@ def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(sql, *views) if views else sql
+            if views:
+                ORACLES[name] = with_views(sql, *views)
+            elif sql.lstrip().startswith(","):
+                ORACLES[name] = "WITH " + sql.lstrip()[1:]
+            else:
+                ORACLES[name] = sql
         return fn
     return deco
 
