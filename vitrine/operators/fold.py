@@ -166,6 +166,40 @@ def apply_metrics(D: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFram
     return out, unmatched
 
 
+def merge_batch(D: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """ST9 incremental form: fold one more slice of the log (a micro-batch,
+    offsets after everything already in D) into documents D.
+
+    Products with a lifecycle event in the slice are rebuilt from it exactly as
+    ``fold_events`` does; the others only take the slice's metric events:
+    counters add (null counts as 0 once touched), popularity is the last
+    metric event's absolute value, else F13 of the new counters. Products
+    without a live document ignore their metric events. One partial aggregate
+    per product per slice, so a hot product costs one row per map task.
+    """
+    E = parse_events(batch)
+    L = latest_lifecycle(E).select("product_id")
+    rebuilt, _ = fold_events(batch, dedup=False)
+    if D is None:
+        return rebuilt
+    m = metric_increments(E.filter(F.col("event_type").isin(METRIC)))
+    agg = m.groupBy("product_id").agg(
+        F.sum("view_inc").alias("_dc"), F.count("view_inc").alias("_nv"),
+        F.sum("buy_inc").alias("_dp"), F.count("buy_inc").alias("_nb"),
+        F.max_by(F.struct("offset", "pop_set"), F.col("offset")).alias("_last"))
+    kept = D.join(L, "product_id", "left_anti").join(agg, "product_id", "left")
+    c = F.when(F.coalesce(F.col("_nv"), F.lit(0)) > 0,
+               FX.add_counter("click_count", F.col("_dc"))).otherwise(F.col("click_count"))
+    p = F.when(F.coalesce(F.col("_nb"), F.lit(0)) > 0,
+               FX.add_counter("purchase_count", F.col("_dp"))).otherwise(F.col("purchase_count"))
+    pop = F.when(F.col("_last").isNotNull(),
+                 F.coalesce(F.col("_last.pop_set"), FX.popularity(c, p, "sync"))
+                 ).otherwise(F.col("popularity_score"))
+    new = {"click_count": c.cast("bigint"), "purchase_count": p.cast("bigint"), "popularity_score": pop}
+    kept = kept.select(*[new[x].alias(x) if x in new else F.col(x) for x in D.columns])
+    return kept.unionByName(rebuilt.select(*D.columns))
+
+
 # roll-ups ------------------------------------------------------------------------
 def view_counts(views: DataFrame) -> DataFrame:
     """A10: total views per product."""
