@@ -94,7 +94,10 @@ def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True) -> tupl
                                    counters when any metric event follows L,
                                    else 0.0 after Created / null after Updated.
     ``mode="merge"`` keeps counters across Updated (they restart only at the
-    last Created/Deleted). Metric events with no live document are dropped.
+    last Created/Deleted). The second frame lists metric events after a
+    product's last lifecycle event that find no live document (deleted or
+    never created) and events whose product id is unreadable; metric events
+    before the last lifecycle event are superseded by it and not listed.
     """
     E = parse_events(dedupe(M) if dedup else M)
     L = latest_lifecycle(E, mode)
@@ -103,7 +106,8 @@ def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True) -> tupl
                                F.col("L.event_type").alias("l_type")), "product_id", "left")
     live = (F.col("l_type").isNotNull() & (F.col("l_type") != "ProductDeleted"))
     counted = mj.filter(live & (F.col("offset") > F.col("counter_from")))
-    dropped = mj.filter(~F.coalesce(live, F.lit(False)) | F.col("product_id").isNull()) \
+    dropped = mj.filter(F.col("product_id").isNull() | F.col("l_type").isNull()
+                        | ((F.col("l_type") == "ProductDeleted") & (F.col("offset") > F.col("l_off")))) \
         .select("product_id", "offset", "event_type")
     last_metric = F.max_by(F.struct("offset", "pop_set"), F.col("offset"))
     agg = counted.groupBy("product_id").agg(

@@ -121,7 +121,7 @@ def q_fold_replayed_log(spark, sf):
 SELECT m.event_type, count(*) AS dropped
 FROM pevents_v m LEFT JOIN L ON L.product_id = m.product_id
 WHERE m.event_type IN ('ProductViewed', 'ProductPurchased')
-  AND (L.product_id IS NULL OR L.event_type = 'ProductDeleted')
+  AND (L.product_id IS NULL OR (L.event_type = 'ProductDeleted' AND m."offset" > L."offset"))
 GROUP BY m.event_type""", ("pevents_v",))
 def q_fold_dropped_metrics(spark, sf):
     _, dropped = FO.fold_events(product_topic(spark, sf))
