@@ -42,35 +42,34 @@ class Index:
     field_stats: DataFrame
 
 
-def _field_terms(D: DataFrame, field: str, kind: str, key: str) -> DataFrame:
-    """(doc_id, field, term, pos) for one field."""
+def _field_tokens(field: str, kind: str) -> Column:
+    """array<struct<field, term, pos>> of one field of the current row."""
     c = F.col(field)
     if kind == "text":
-        x = D.select(F.col(key).alias("doc_id"), F.explode(TX.analyze_positions(c)).alias("t"))
-        return x.select("doc_id", F.lit(field).alias("field"), F.col("t.term").alias("term"),
-                        F.col("t.pos").alias("pos"))
+        return F.transform(TX.analyze_positions(c), lambda t: F.struct(
+            F.lit(field).alias("field"), t["term"].alias("term"), t["pos"].alias("pos")))
     if kind == "keyword_array":
-        x = D.select(F.col(key).alias("doc_id"), F.posexplode(c).alias("pos", "term"))
-        return x.select("doc_id", F.lit(field).alias("field"), "term", "pos")
+        return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v, i: F.struct(
+            F.lit(field).alias("field"), v.alias("term"), i.alias("pos")))
     if kind == "sku":
-        return D.select(F.col(key).alias("doc_id"), F.lit(field).alias("field"),
-                        TX.analyze_sku(c).alias("term"), F.lit(0).alias("pos")).filter(
-            F.col("term").isNotNull())
+        t = TX.analyze_sku(c)
+        return F.when(t.isNull(), F.array().cast("array<struct<field:string,term:string,pos:int>>")).otherwise(
+            F.array(F.struct(F.lit(field).alias("field"), t.alias("term"), F.lit(0).alias("pos"))))
     raise ValueError(kind)
 
 
 def build_index(D: DataFrame, fields: dict[str, str], key: str = "id") -> Index:
     """Postings with term frequency and positions, field lengths, document
-    frequencies and per-field averages. Keyword fields have no length norm
-    (dl = avgdl), as in the index mapping."""
-    toks = None
-    for f, kind in fields.items():
-        t = _field_terms(D, f, kind, key)
-        toks = t if toks is None else toks.unionByName(t)
+    frequencies and per-field averages, from ONE pass over the documents (all
+    fields' tokens are concatenated and exploded once). Keyword fields have no
+    length norm (dl = avgdl), as in the index mapping."""
+    arrays = [_field_tokens(f, k) for f, k in fields.items()]
+    toks = (D.select(F.col(key).alias("doc_id"), F.explode(F.concat(*arrays)).alias("t"))
+            .select("doc_id", "t.field", "t.term", "t.pos"))
     postings = toks.groupBy("field", "term", "doc_id").agg(
         F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
     keyword = [f for f, k in fields.items() if k != "text"]
-    doc_len = toks.groupBy("field", "doc_id").agg(F.count(F.lit(1)).alias("dl"))
+    doc_len = postings.groupBy("field", "doc_id").agg(F.sum("tf").alias("dl"))
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     field_stats = doc_len.groupBy("field").agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -142,6 +141,26 @@ def expand_terms(qterms: DataFrame, term_stats: DataFrame, fuzzy: bool) -> DataF
             .filter(F.col("_r") <= MAX_EXPANSIONS).drop("_r", "k"))
 
 
+def match_fields(ix: Index, queries: DataFrame, fields: dict[str, tuple[str, float]],
+                 operator: str = "or", fuzzy: bool = False) -> DataFrame:
+    """Membership of best-fields multi-match without scores: (query_id,
+    doc_id) for documents that some field matches (every term with 'and').
+    Skips the statistics joins when only membership decides (Q19)."""
+    qt = None
+    for f, (kind, _boost) in fields.items():
+        t = query_terms(queries, f, kind)
+        qt = t if qt is None else qt.unionByName(t)
+    exp = expand_terms(qt, ix.term_stats, fuzzy).select("query_id", "field", "qterm", "term")
+    hits = exp.join(ix.postings.select("field", "term", "doc_id"), ["field", "term"])
+    per_field = hits.groupBy("query_id", "field", "doc_id").agg(
+        F.count_distinct("qterm").alias("matched"))
+    if operator == "and":
+        n_terms = qt.groupBy("query_id", "field").agg(F.count(F.lit(1)).alias("n_terms"))
+        per_field = per_field.join(n_terms, ["query_id", "field"]).filter(
+            F.col("matched") == F.col("n_terms"))
+    return per_field.select("query_id", "doc_id").distinct()
+
+
 def score_fields(ix: Index, queries: DataFrame, fields: dict[str, tuple[str, float]],
                  operator: str = "or", fuzzy: bool = False, raw: bool = False) -> DataFrame:
     """Best-fields multi-match: per field, BM25 summed over query terms (the
@@ -389,8 +408,15 @@ def search_products(ix: Index, D: DataFrame, queries: DataFrame) -> DataFrame:
           .join(in_range, F.col("min_price").eqNullSafe(F.col("r_min"))
                 & F.col("max_price").eqNullSafe(F.col("r_max")))
           .select("combo_id", "doc_id"))
-    text = combos.filter(~blank).withColumnRenamed("combo_id", "query_id")
-    r3 = search(ix, D, text).select(F.col("query_id").alias("combo_id"), "doc_id")
+    # text matching depends only on q: match each distinct text once
+    text = combos.filter(~blank).withColumn("text_id", F.xxhash64("q"))
+    texts = text.select(F.col("text_id").alias("query_id"), "q").distinct()
+    matched = match_fields(ix, texts, MAIN_FIELDS, operator="and", fuzzy=True)
+    per_combo = (text.select("combo_id", "text_id")
+                 .join(matched.withColumnRenamed("query_id", "text_id"), "text_id")
+                 .select(F.col("combo_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score")))
+    r3 = _filter_docs(per_combo, D, text.withColumnRenamed("combo_id", "query_id")).select(
+        F.col("query_id").alias("combo_id"), "doc_id")
     hits = r1.unionByName(r2).unionByName(r3)
     hits = (hits.join(combos.select("combo_id", "sort_by", "sort_direction", "page", "size"), "combo_id")
             .join(d.select("doc_id", "name", "popularity_score", "created_at", "price"), "doc_id"))

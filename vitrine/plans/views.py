@@ -332,7 +332,7 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     j = e.join(p, e.k == p.p_partkey)
     i = F.col("event_id")
-    w = F.split("p_name", " ").getItem((i % 2).cast("int"))
+    w = F.split("p_name", " ")[(i % 2).cast("int")]
     n = F.length(w)
     trunc = w.substr(F.lit(1), n - 1)
     swap = F.concat(w.substr(F.lit(1), F.lit(1)), w.substr(F.lit(3), F.lit(1)),
