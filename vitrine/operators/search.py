@@ -329,6 +329,19 @@ def more_like_this(ix: Index, seeds: DataFrame, fields: tuple[str, ...] = ("name
             .select("seed_id", "doc_id", "score"))
 
 
+def per_distinct(queries: DataFrame, params: list[str], run) -> DataFrame:
+    """Answer identical requests once: ``run`` gets one row per distinct
+    parameter combination (query_id = the exact JSON of the parameters) and
+    its rows are joined back to every request with those parameters. A batch
+    of n requests over a small parameter menu costs one answer per distinct
+    request, and nothing is expanded before each answer's own top-k."""
+    key = F.to_json(F.struct(*[F.col(p) for p in params]))
+    keyed = queries.withColumn("_combo", key)
+    combos = keyed.select("_combo", *params).dropDuplicates(["_combo"]).withColumnRenamed("_combo", "query_id")
+    res = run(combos).withColumnRenamed("query_id", "_combo")
+    return keyed.select("query_id", "_combo").join(res, "_combo").drop("_combo")
+
+
 def top_k(scored: DataFrame, key: str, k: int, order: list[Column] | None = None) -> DataFrame:
     """W2 over scores: best k per query (score desc, doc id asc)."""
     # scores equal to 1e-6 tie (summation order may move the last bits)
@@ -355,7 +368,7 @@ def _request_combos(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     params = ["q", "categories", "min_price", "max_price", "sort_by", "sort_direction", "page", "size"]
     cats = F.array_sort(F.coalesce("categories", F.array().cast("array<string>")))
     q = queries.withColumn("categories", cats).withColumn(
-        "combo_id", F.xxhash64(*[F.col(c) for c in params]))
+        "combo_id", F.to_json(F.struct(*[F.col(c) for c in params])))
     combos = q.groupBy("combo_id").agg(*[F.first(c).alias(c) for c in params])
     return combos, q.select("query_id", "combo_id")
 
@@ -409,7 +422,7 @@ def search_products(ix: Index, D: DataFrame, queries: DataFrame) -> DataFrame:
                 & F.col("max_price").eqNullSafe(F.col("r_max")))
           .select("combo_id", "doc_id"))
     # text matching depends only on q: match each distinct text once
-    text = combos.filter(~blank).withColumn("text_id", F.xxhash64("q"))
+    text = combos.filter(~blank).withColumn("text_id", F.col("q"))
     texts = text.select(F.col("text_id").alias("query_id"), "q").distinct()
     matched = match_fields(ix, texts, MAIN_FIELDS, operator="and", fuzzy=True)
     per_combo = (text.select("combo_id", "text_id")

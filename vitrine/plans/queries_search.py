@@ -174,7 +174,7 @@ def q_name_fuzzy(spark, sf):
     """Fuzzy name match (any term), best 10 per request."""
     _, ix = product_ix(spark, sf)
     reqs = V.search_requests(spark, sf)
-    return _scored_out(SE.top_k(SE.name_fuzzy(ix, reqs), "query_id", 10))
+    return _scored_out(SE.per_distinct(reqs, ["q"], lambda c: SE.top_k(SE.name_fuzzy(ix, c), "query_id", 10)))
 
 
 @register("name_simple_fuzzy", PIX + score_ctes("search_req_v", {"name": ("text", 1.0)}, "or", True, raw=True)
@@ -183,7 +183,8 @@ def q_name_simple_fuzzy(spark, sf):
     """X11: the raw request text as one fuzzy term on name."""
     _, ix = product_ix(spark, sf)
     reqs = V.search_requests(spark, sf)
-    return _scored_out(SE.top_k(SE.name_simple_fuzzy(ix, reqs), "query_id", 10))
+    return _scored_out(SE.per_distinct(
+        reqs, ["q"], lambda c: SE.top_k(SE.name_simple_fuzzy(ix, c), "query_id", 10)))
 
 
 @register("multi_field_search", PIX + score_ctes("search_req_v", SE.MULTI_FIELDS, "or", False)
@@ -192,7 +193,8 @@ def q_multi_field_search(spark, sf):
     """Exact multi-field search, best 10 per request."""
     _, ix = product_ix(spark, sf)
     reqs = V.search_requests(spark, sf)
-    return _scored_out(SE.top_k(SE.multi_field_search(ix, reqs), "query_id", 10))
+    return _scored_out(SE.per_distinct(
+        reqs, ["q"], lambda c: SE.top_k(SE.multi_field_search(ix, c), "query_id", 10)))
 
 
 @register("search_in_category", PIX + score_ctes(
@@ -204,7 +206,8 @@ def q_search_in_category(spark, sf):
     """X7 fields within the request's category (requests that have one)."""
     D, ix = product_ix(spark, sf)
     reqs = V.search_requests(spark, sf).filter(F.col("categories").isNotNull())
-    return _scored_out(SE.top_k(SE.search_in_category(ix, D, reqs), "query_id", 10))
+    return _scored_out(SE.per_distinct(
+        reqs, ["q", "categories"], lambda c: SE.top_k(SE.search_in_category(ix, D, c), "query_id", 10)))
 
 
 @register("search_in_price_range", PIX + score_ctes(
@@ -216,14 +219,17 @@ def q_search_in_price_range(spark, sf):
     """X7 fields within the request's price range (requests that have one)."""
     D, ix = product_ix(spark, sf)
     reqs = V.search_requests(spark, sf).filter(F.col("min_price").isNotNull())
-    return _scored_out(SE.top_k(SE.search_in_price_range(ix, D, reqs), "query_id", 10))
+    return _scored_out(SE.per_distinct(
+        reqs, ["q", "min_price", "max_price"],
+        lambda c: SE.top_k(SE.search_in_price_range(ix, D, c), "query_id", 10)))
 
 
 @register("autocomplete", AUTOCOMPLETE_SQL + "\nSELECT query_id, doc_id FROM matched", ("prefix_req_v",))
 def q_autocomplete(spark, sf):
     """Every product whose name completes the prefix as a phrase."""
     _, ix = product_ix(spark, sf)
-    return SE.autocomplete(ix, V.prefix_requests(spark, sf)).select("query_id", "doc_id")
+    return SE.per_distinct(V.prefix_requests(spark, sf), ["q"],
+                           lambda c: SE.autocomplete(ix, c)).select("query_id", "doc_id")
 
 
 @register("suggest", AUTOCOMPLETE_SQL + PIX + f""",
@@ -236,7 +242,7 @@ SELECT DISTINCT t.query_id, p.name FROM top t JOIN doc_v p ON p.product_id = t.d
 def q_suggest(spark, sf):
     """X13 + T7: first 5 completions per prefix, then distinct names."""
     D, ix = product_ix(spark, sf)
-    return SE.suggest(ix, D, V.prefix_requests(spark, sf), 5)
+    return SE.per_distinct(V.prefix_requests(spark, sf), ["q"], lambda c: SE.suggest(ix, D, c, 5))
 
 
 @register("more_like_this", PIX + f""",
