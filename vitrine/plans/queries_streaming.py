@@ -19,9 +19,8 @@ from vitrine.streaming import streams as ST
 SLICE_EDGES = ["2024-01-08", "2024-01-16", "2024-01-24"]
 
 
-def write_slices(df, ts_col: str, path: str) -> None:
-    """Write a log as consecutive event-time slices, one write each, so a file
-    source replays them in order (one slice per micro-batch)."""
+def slices(df, ts_col: str):
+    """A log cut into consecutive event-time slices (fixed edges)."""
     edges = [None] + [F.lit(e).cast("timestamp_ntz") for e in SLICE_EDGES] + [None]
     for i in range(len(edges) - 1):
         lo, hi = edges[i], edges[i + 1]
@@ -30,7 +29,16 @@ def write_slices(df, ts_col: str, path: str) -> None:
             cond = cond & (F.col(ts_col) >= lo)
         if hi is not None:
             cond = cond & (F.col(ts_col) < hi)
-        df.filter(cond).write.mode("append").parquet(path)
+        yield df.filter(cond)
+
+
+def replay(df, ts_col: str, path: str, start_stream) -> None:
+    """Let the log arrive slice by slice: append a slice, then run the stream
+    (availableNow, same checkpoint) over whatever is new - one micro-batch per
+    slice, in log order."""
+    for part in slices(df, ts_col):
+        part.write.mode("append").parquet(path)
+        start_stream().awaitTermination()
 
 
 @register("stream_fold", FOLD_SQL, ("pevents_v",))
@@ -39,10 +47,9 @@ def q_stream_fold(spark, sf):
     folded batch by batch into versioned documents; equals the batch fold."""
     log = product_topic(spark, sf)
     src = scratch_path(spark, "topic-product-events")
-    write_slices(log, "timestamp", src)
     docs = scratch_path(spark, "docs")
-    q = ST.fold_stream(spark, src, log.schema, docs)
-    q.awaitTermination()
+    group = f"search-sync-{docs.rsplit('-', 1)[-1]}"
+    replay(log, "timestamp", src, lambda: ST.fold_stream(spark, src, log.schema, docs, group=group))
     return _fold_out(ST.VersionedTable(docs).latest(spark))
 
 
@@ -52,11 +59,10 @@ def q_stream_daily_views(spark, sf):
     """ST10: daily view counters maintained by a watermarked stream."""
     v = V.views(spark, sf)
     src = scratch_path(spark, "views")
-    write_slices(v, "ts", src)
     out = scratch_path(spark, "daily-views")
-    q = ST.daily_view_stream(spark, src, v.schema, out, trigger=ST.AVAILABLE_NOW,
-                             name=f"daily-views-{out.rsplit('-', 1)[-1]}")
-    q.awaitTermination()
+    name = f"daily-views-{out.rsplit('-', 1)[-1]}"
+    replay(v, "ts", src, lambda: ST.daily_view_stream(spark, src, v.schema, out,
+                                                      trigger=ST.AVAILABLE_NOW, name=name))
     return ST.VersionedTable(out).latest(spark)
 
 
@@ -70,11 +76,10 @@ def q_stream_relay(spark, sf):
     """ST1/ST2/ST13: outbox files relayed by a stream into per-topic folders."""
     O = V.outbox(spark, sf)
     src = scratch_path(spark, "outbox")
-    write_slices(O, "created_at", src)
     topics = scratch_path(spark, "topics")
-    q = ST.relay_stream(spark, src, topics, O.schema, V.as_of(), trigger=ST.AVAILABLE_NOW,
-                        name=f"relay-{topics.rsplit('-', 1)[-1]}")
-    q.awaitTermination()
+    name = f"relay-{topics.rsplit('-', 1)[-1]}"
+    replay(O, "created_at", src, lambda: ST.relay_stream(spark, src, topics, O.schema, V.as_of(),
+                                                         trigger=ST.AVAILABLE_NOW, name=name, max_files=None))
     return spark.read.parquet(topics).select("id", "topic", "event_type", "partition_key")
 
 

@@ -53,8 +53,10 @@ def relay_stream(spark: SparkSession, outbox_path: str, topics_path: str, schema
     """Outbox files -> topic folders (one per topic, ST2). Each micro-batch
     relays its fresh and due rows; the checkpoint makes the relay exactly-once
     per input file."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-           .parquet(outbox_path))
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    src = r.parquet(outbox_path)
     msgs = OB.relay(src, as_of)
     w = (msgs.writeStream.format("parquet").option("path", topics_path)
          .option("checkpointLocation", _checkpoint(spark, name)).partitionBy("topic"))
@@ -69,8 +71,10 @@ def consume(spark: SparkSession, topic_path: str, schema, group: str,
     every group reads every message once, from its own position (ST5).
     Duplicates of an idempotency key within the watermark are dropped before
     the handler sees them (ST6); the handler gets (batch, batch_id) (U2)."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-           .parquet(topic_path))
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    src = r.parquet(topic_path)
     if watermark:
         src = (src.withColumn("_idem", F.coalesce(F.col("headers")["idempotency-key"], F.col("id")))
                .withColumn("_et", event_time("timestamp"))
@@ -132,7 +136,7 @@ def fold_handler(table: VersionedTable) -> Callable[[DataFrame, int], None]:
 
 def fold_stream(spark: SparkSession, topic_path: str, schema, docs_path: str,
                 trigger: dict = AVAILABLE_NOW, group: str = "search-sync",
-                max_files: int = 1) -> StreamingQuery:
+                max_files: int | None = None) -> StreamingQuery:
     """ST9 stream form: product events -> (ST6) -> incremental fold (U2) ->
     versioned search documents. Same result as the batch fold of the log."""
     return consume(spark, topic_path, schema, group, fold_handler(VersionedTable(docs_path)),
@@ -142,14 +146,16 @@ def fold_stream(spark: SparkSession, topic_path: str, schema, docs_path: str,
 # ST10 ------------------------------------------------------------------------------
 def daily_view_stream(spark: SparkSession, views_path: str, schema, out_path: str,
                       trigger: dict = VIEW_FLUSH_TRIGGER, watermark: str = "1 day",
-                      name: str = "daily-views", max_files: int = 1) -> StreamingQuery:
+                      name: str = "daily-views", max_files: int | None = None) -> StreamingQuery:
     """Views per product and day as a windowed aggregation with a watermark
     (state of days older than the watermark is dropped; later events for
     them are ignored). Update mode emits the new count of every (product,
     day) touched by a micro-batch; the handler replaces those rows in the next
     version of a counter table, so the table is current after every flush."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-           .parquet(views_path))
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    src = r.parquet(views_path)
     agg = (src.withColumn("_et", event_time("ts")).withWatermark("_et", watermark)
            .groupBy(F.window("_et", "1 day").alias("w"), "product_id", F.to_date("ts").alias("day"))
            .agg(F.count(F.lit(1)).alias("views")))
