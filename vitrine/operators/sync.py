@@ -71,7 +71,7 @@ def sync_ids(P: DataFrame, D: DataFrame, ids: DataFrame, as_of: Column) -> DataF
     keys = ids.select(F.col("id").alias("product_id")).distinct()
     fresh = to_document(P.join(keys.withColumnRenamed("product_id", "id"), "id", "left_semi"), as_of)
     kept = D.join(keys, "product_id", "left_anti")
-    return kept.unionByName(fresh.select(*D.columns))
+    return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def sync_diff(P: DataFrame, D: DataFrame) -> DataFrame:

@@ -175,3 +175,30 @@ def q_realtime_views(spark, sf):
     return r.select("productId", "userId", "viewedAt",
                     F.col("metadata")["view_increment"].alias("view_increment"),
                     F.col("metadata")["event_source"].alias("event_source"))
+
+
+@register("assemble_roundtrip", f"""
+SELECT id, name, description, array_to_string(categories, '|') AS categories,
+       CAST(price AS DOUBLE) AS price, sku, {ATTR_TEXT_SQL} AS attributes,
+       array_to_string(images, '|') AS images, created_at, updated_at, click_count,
+       purchase_count, popularity_score
+FROM product_v""", ("product_v",))
+def q_assemble_roundtrip(spark, sf):
+    """The catalogue flattened into its three side tables and assembled
+    back into nested rows."""
+    from vitrine.sources import tables as T
+    base, cats, attrs, imgs = T.flatten(V.product(spark, sf))
+    d = C.to_dto(T.assemble(base, cats, attrs, imgs))
+    return d.select("id", "name", "description", joined("categories").alias("categories"),
+                    money("price").alias("price"), "sku", attr_text().alias("attributes"),
+                    joined("images").alias("images"), "created_at", "updated_at",
+                    "click_count", "purchase_count", "popularity_score")
+
+
+@register("serialize_products", """
+SELECT '{"id":' || CAST(id AS VARCHAR) || ',"sku":"' || sku || '","createdAt":"'
+       || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '"}' AS payload FROM product_v""", ("product_v",))
+def q_serialize_products(spark, sf):
+    """Rows -> JSON payload text."""
+    from vitrine.sources import tables as T
+    return T.serialize(V.product(spark, sf), ["id", "sku", F.col("created_at").alias("createdAt")])

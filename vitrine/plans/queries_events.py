@@ -390,3 +390,15 @@ def q_apply_metrics(spark, sf):
 
 
 _ = joined
+
+
+@register("sync_ids", """
+SELECT id AS product_id, name, click_count FROM product_v WHERE id IN (SELECT product_id FROM views_v)""",
+          ("product_v", "views_v"))
+def q_sync_ids(spark, sf):
+    """ST15: targeted resync of the viewed products into the event-folded
+    index (present in the catalogue -> rebuilt documents)."""
+    new = S.sync_ids(V.product(spark, sf), folded_index(spark, sf),
+                     V.views(spark, sf).select(F.col("product_id").alias("id")), V.as_of())
+    keys = V.views(spark, sf).select("product_id").distinct()
+    return new.join(keys, "product_id", "left_semi").select("product_id", "name", "click_count")
