@@ -37,7 +37,7 @@ def q_topic_offsets(spark, sf):
 
 
 # --- fold -----------------------------------------------------------------------
-FOLD_SQL = """
+FOLD_CTES = """
 , L AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY "offset" DESC) AS rn
                        FROM pevents_v WHERE event_type IN ('ProductCreated', 'ProductUpdated', 'ProductDeleted'))
         WHERE rn = 1),
@@ -65,7 +65,8 @@ d AS (
                         ELSE L.price_cents + (L.event_id % 7) * 100 END AS DECIMAL(18,0)) * 0.01
               AS DECIMAL(10,2)) AS price
   FROM L LEFT JOIN agg ON agg.product_id = L.product_id
-  WHERE L.event_type <> 'ProductDeleted')
+  WHERE L.event_type <> 'ProductDeleted')"""
+FOLD_SQL = FOLD_CTES + """
 SELECT product_id,
        CASE WHEN created THEN p_name ELSE p_name || ' v' || CAST(event_id AS VARCHAR) END AS name,
        CAST(price AS DOUBLE) AS price,
@@ -170,14 +171,48 @@ def folded_index(spark, sf):
     return doc
 
 
-@register("reconcile_actions", None)
+RECONCILE_SQL = FOLD_CTES + """,
+idx AS (
+  SELECT product_id,
+         CASE WHEN created THEN p_name ELSE p_name || ' v' || CAST(event_id AS VARCHAR) END AS name,
+         concat_ws(' ', p_type, p_brand, p_name) AS description,
+         [p_type, p_brand] AS categories, price,
+         upper(substr(p_type, 1, 3)) || '-' || lpad(CAST(product_id AS VARCHAR), 6, '0') AS sku,
+         MAP {'brand': p_brand, 'size': CAST(p_size AS VARCHAR)} AS attributes,
+         CAST([] AS VARCHAR[]) AS images,
+         CASE WHEN created THEN date_trunc('second', ts) END AS created_at,
+         date_trunc('second', ts) AS updated_at,
+         CAST(click_count AS BIGINT) AS click_count, CAST(purchase_count AS BIGINT) AS purchase_count,
+         CASE WHEN any_metric THEN coalesce(last_pop, CAST(coalesce(click_count, 0) AS DOUBLE) * 1.0
+                                                     + CAST(coalesce(purchase_count, 0) AS DOUBLE) * 10.0)
+              WHEN created THEN CAST(0.0 AS DOUBLE) END AS popularity_score
+  FROM d),
+act AS (
+  SELECT coalesce(p.id, i.product_id) AS id,
+         CASE WHEN i.product_id IS NULL THEN 'insert' WHEN p.id IS NULL THEN 'delete'
+              WHEN p.name IS DISTINCT FROM i.name OR p.description IS DISTINCT FROM i.description
+                OR p.categories IS DISTINCT FROM i.categories OR p.price IS DISTINCT FROM i.price
+                OR p.sku IS DISTINCT FROM i.sku
+                OR list_sort(map_entries(p.attributes)) IS DISTINCT FROM list_sort(map_entries(i.attributes))
+                OR p.images IS DISTINCT FROM i.images OR p.created_at IS DISTINCT FROM i.created_at
+                OR p.updated_at IS DISTINCT FROM i.updated_at OR p.click_count IS DISTINCT FROM i.click_count
+                OR p.purchase_count IS DISTINCT FROM i.purchase_count
+                OR p.popularity_score IS DISTINCT FROM i.popularity_score THEN 'update'
+              ELSE 'noop' END AS action
+  FROM product_v p FULL OUTER JOIN idx i ON i.product_id = p.id)"""
+
+
+@register("reconcile_actions", RECONCILE_SQL + """
+SELECT action, count(*) AS ids FROM act GROUP BY action""", ("pevents_v", "product_v"))
 def q_reconcile_actions(spark, sf):
     """Source catalogue vs the event-folded index: one action per id."""
     a = S.reconcile(V.product(spark, sf), folded_index(spark, sf))
     return a.groupBy("action").agg(F.count(F.lit(1)).alias("ids"))
 
 
-@register("sync_diff", None)
+@register("sync_diff", RECONCILE_SQL + """
+SELECT id, CASE action WHEN 'insert' THEN 'missing' WHEN 'delete' THEN 'orphaned' ELSE 'differs' END AS kind
+FROM act WHERE action <> 'noop'""", ("pevents_v", "product_v"))
 def q_sync_diff(spark, sf):
     """SET1: missing / orphaned / differing ids between catalogue and index."""
     return S.sync_diff(V.product(spark, sf), folded_index(spark, sf))
