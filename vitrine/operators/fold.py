@@ -70,13 +70,22 @@ def latest_lifecycle(E: DataFrame, mode: str = "replace") -> DataFrame:
     ``merge`` mode also returns the last Created/Deleted, where counters restart."""
     life = E.filter(F.col("event_type").isin(LIFECYCLE))
     aggs = [F.max_by(F.struct("offset", "event_type", "ev"), F.col("offset")).alias("L")]
-    if mode == "merge":
-        aggs.append(F.max(F.when(F.col("event_type") != "ProductUpdated", F.col("offset")))
-                    .alias("counter_from"))
-    out = life.groupBy("product_id").agg(*aggs)
     if mode != "merge":
-        out = out.withColumn("counter_from", F.col("L.offset"))
-    return out
+        return life.groupBy("product_id").agg(*aggs).withColumn("counter_from", F.col("L.offset"))
+    # merge: counters live as long as the document: from the last Created, or
+    # from the first lifecycle event after the last Deleted, whichever is later
+    t = F.col("event_type")
+    aggs += [F.max(F.when(t == "ProductDeleted", F.col("offset"))).alias("_last_del"),
+             F.max(F.when(t == "ProductCreated", F.col("offset"))).alias("_last_cr")]
+    out = life.groupBy("product_id").agg(*aggs)
+    first_after = (life.select("product_id", "offset")
+                   .join(out.select("product_id", "_last_del"), "product_id")
+                   .filter(F.col("offset") > F.coalesce(F.col("_last_del"), F.lit(-1)))
+                   .groupBy("product_id").agg(F.min("offset").alias("_first_after")))
+    return (out.join(first_after, "product_id", "left")
+            .withColumn("counter_from", F.greatest(F.coalesce("_last_cr", F.lit(-1)),
+                                                   F.coalesce("_first_after", F.lit(-1))))
+            .drop("_last_del", "_last_cr", "_first_after"))
 
 
 def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -142,8 +142,15 @@ def q_latest_lifecycle(spark, sf):
 
 
 @register("fold_merge_mode", """
-, C AS (SELECT product_id, max("offset") AS c_off FROM pevents_v
-        WHERE event_type IN ('ProductCreated', 'ProductDeleted') GROUP BY product_id),
+, LC AS (SELECT product_id, max(CASE WHEN event_type = 'ProductDeleted' THEN "offset" END) AS last_del,
+               max(CASE WHEN event_type = 'ProductCreated' THEN "offset" END) AS last_cr
+        FROM pevents_v WHERE event_type IN ('ProductCreated', 'ProductUpdated', 'ProductDeleted')
+        GROUP BY product_id),
+FA AS (SELECT e.product_id, min(e."offset") AS first_after FROM pevents_v e JOIN LC ON LC.product_id = e.product_id
+       WHERE e.event_type IN ('ProductCreated', 'ProductUpdated', 'ProductDeleted')
+         AND e."offset" > coalesce(LC.last_del, -1) GROUP BY e.product_id),
+C AS (SELECT LC.product_id, greatest(coalesce(LC.last_cr, -1), coalesce(FA.first_after, -1)) AS c_off
+      FROM LC LEFT JOIN FA ON FA.product_id = LC.product_id),
 L AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY "offset" DESC) AS rn
                      FROM pevents_v WHERE event_type IN ('ProductCreated', 'ProductUpdated', 'ProductDeleted'))
       WHERE rn = 1),
