@@ -178,7 +178,8 @@ def related_by_category(P: DataFrame, seeds: DataFrame, n: int, mode: str = "set
         ws = Window.partitionBy("seed_id").orderBy(*order)
     else:
         ws = Window.partitionBy("seed_id").orderBy(*order, F.col("category").asc())
-    return cand.withColumn("rank", F.row_number().over(ws)).filter(F.col("rank") <= n)
+    return (cand.withColumn("rank", F.row_number().over(ws)).filter(F.col("rank") <= n)
+            .withColumn("rank", F.col("rank").cast("bigint")))
 
 
 # sorts and pages ---------------------------------------------------------------
@@ -258,7 +259,8 @@ def top_n_per(df: DataFrame, key: str | list[str], order: list[Column], n: int,
     rows per map task."""
     keys = [key] if isinstance(key, str) else key
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
+    return (df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
+            .withColumn(rank_col, F.col(rank_col).cast("bigint")))
 
 
 # aggregates ------------------------------------------------------------------

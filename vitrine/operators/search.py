@@ -347,7 +347,8 @@ def top_k(scored: DataFrame, key: str, k: int, order: list[Column] | None = None
     # scores equal to 1e-6 tie (summation order may move the last bits)
     order = order or [F.round("score", 6).desc(), F.col("doc_id").asc()]
     w = Window.partitionBy(key).orderBy(*order)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def suggest(ix: Index, D: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -436,6 +437,7 @@ def search_products(ix: Index, D: DataFrame, queries: DataFrame) -> DataFrame:
     end = queries.agg(F.max((F.col("page") + 1) * F.col("size"))).first()[0] or 0
     w = Window.partitionBy("combo_id").orderBy(*_sort_columns())
     ranked = (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(int(end)))
+              .withColumn("rank", F.col("rank").cast("bigint"))
               .filter((F.col("rank") > F.col("page") * F.col("size"))
                       & (F.col("rank") <= (F.col("page") + 1) * F.col("size"))))
     return qmap.join(ranked.select("combo_id", "doc_id", "rank"), "combo_id").drop("combo_id")

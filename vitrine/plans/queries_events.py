@@ -359,7 +359,7 @@ def q_group_stats(spark, sf):
 @register("consumer_retry_split", """
 SELECT id, CASE WHEN retry_count < 3 THEN 'retry' ELSE 'dead' END AS outcome,
        CASE WHEN retry_count < 3 THEN CAST(retry_count + 1 AS VARCHAR) ELSE CAST(retry_count AS VARCHAR) END AS retry_header,
-       CASE WHEN retry_count < 3 THEN 1000 * (1 << retry_count) END AS backoff_ms
+       CASE WHEN retry_count < 3 THEN CAST(1000 * (1 << retry_count) AS BIGINT) END AS backoff_ms
 FROM topic_v WHERE retry_count > 0""", ("topic_v",))
 def q_consumer_retry_split(spark, sf):
     M = topic_log(spark, sf)

@@ -22,8 +22,8 @@ live AS (SELECT product_id FROM L WHERE event_type <> 'ProductDeleted')"""
 
 @register("system_health", LIVE_INDEX_SQL + """
 SELECT CASE WHEN (SELECT count(*) FROM part) = (SELECT count(*) FROM live) THEN 'UP' ELSE 'DOWN' END AS status,
-       4 AS components,
-       CASE WHEN (SELECT count(*) FROM part) = (SELECT count(*) FROM live) THEN 0 ELSE 1 END AS not_up""",
+       CAST(4 AS BIGINT) AS components,
+       CAST(CASE WHEN (SELECT count(*) FROM part) = (SELECT count(*) FROM live) THEN 0 ELSE 1 END AS BIGINT) AS not_up""",
           ("pevents_v",))
 def q_system_health(spark, sf):
     """Database, broker and outbox are UP when their tables are readable;
@@ -45,7 +45,7 @@ SELECT (SELECT count(*) FROM part) AS product_count,
        (SELECT count(*) FROM live) AS index_count,
        (SELECT count(*) FROM part) = (SELECT count(*) FROM live) AS in_sync,
        (SELECT count(*) FROM t) AS topics,
-       3 AS consumer_groups,
+       CAST(3 AS BIGINT) AS consumer_groups,
        (SELECT CAST(sum(m) AS BIGINT) FROM t) AS messages,
        (SELECT CAST(sum(messages) AS BIGINT) FROM b) AS total_messages,
        (SELECT count(*) FROM b) AS total_batches,

@@ -66,8 +66,8 @@ FROM documents""")
 def q_analyze_documents(spark, sf):
     """X1 over the whole corpus: terms per document after the analyzer."""
     d = V.table(spark, sf, "documents").select("doc_id", TX.analyze(F.col("text")).alias("t"))
-    return d.select("doc_id", F.size("t").alias("n_terms"),
-                    F.size(F.array_distinct("t")).alias("n_distinct"))
+    return d.select("doc_id", F.size("t").cast("bigint").alias("n_terms"),
+                    F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
 
 
 @register("name_term_stats", f"""
@@ -165,7 +165,7 @@ def q_fuzzy_expansions(spark, sf):
     qt = SE.query_terms(reqs, "name", "text").select("field", "qterm").distinct() \
         .withColumn("query_id", F.lit(0))
     e = SE.expand_terms(qt, ix.term_stats, fuzzy=True)
-    return e.select("qterm", "term", "edits")
+    return e.select("qterm", "term", F.col("edits").cast("bigint").alias("edits"))
 
 
 @register("name_fuzzy", PIX + score_ctes("search_req_v", {"name": ("text", 1.0)}, "or", True)
