@@ -39,3 +39,35 @@ def test_daily_view_stream_equals_batch(spark):
 
 
 _ = B
+
+
+def test_listeners_batch_and_message_handlers(spark):
+    import datetime as dt
+
+    from vitrine.sources import schemas as SC
+    rows = [(f"m{i}", ["product-events", "order-events"][i % 2], "ProductViewed", "{}", {},
+             dt.datetime(2024, 1, 1, 0, i), str(i), i + 1) for i in range(10)]
+    M = spark.createDataFrame(rows, SC.MESSAGE)
+    root = tempfile.mkdtemp(prefix="vitrine-test-listeners-")
+    topics = os.path.join(root, "topics")
+    M.write.partitionBy("topic").parquet(topics)
+    seen = {}
+
+    def batch_handler(df, batch_id):
+        seen["batch"] = sorted(r.id for r in df.collect())
+
+    def per_message(pdf):
+        return pdf[["id"]].assign(length=pdf["id"].str.len())
+
+    def sink(df, batch_id):
+        seen["message"] = sorted((r.id, r.length) for r in df.collect())
+
+    listeners = [
+        ST.Listener("search-" + os.path.basename(root), ["product-events"], batch_handler=batch_handler),
+        ST.Listener("notify-" + os.path.basename(root), ["order-events"], message_handler=per_message,
+                    output_schema="id string, length long"),
+    ]
+    for q in ST.start_listeners(spark, topics, SC.MESSAGE, listeners, sink=sink):
+        q.awaitTermination()
+    assert seen["batch"] == [f"m{i}" for i in (0, 2, 4, 6, 8)]
+    assert seen["message"] == [(f"m{i}", 2) for i in (1, 3, 5, 7, 9)]
