@@ -80,7 +80,7 @@ def in_tags(D: DataFrame, tags: Sequence[str]) -> DataFrame:
 
 
 def recent_products(D: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """Created within ``days`` of ``as_of``, newest first."""
+    """Created within ``days`` of ``as_of`` (F21), newest first."""
     return (D.filter(F.col("created_at") >= as_of - F.make_dt_interval(F.lit(days)))
             .orderBy(F.col("created_at").desc(), F.col("id").asc()))
 

@@ -161,7 +161,8 @@ def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True) -> tupl
 
 
 def apply_metrics(D: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """J8/ST11: add pre-aggregated counters (product_id, clicks, purchases,
+    """J8/ST11/U4: the index's scripted update as Column expressions: add
+    pre-aggregated counters (product_id, clicks, purchases,
     popularity_set) to existing documents; popularity is set when given, else
     recomputed by F13. Metrics for unknown documents go to the side output."""
     m = metrics.groupBy("product_id").agg(

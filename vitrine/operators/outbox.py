@@ -164,7 +164,7 @@ def apply_failures(O: DataFrame, failures: DataFrame, as_of: Column) -> DataFram
 
 
 def purge(O: DataFrame, as_of: Column, days: int = RETENTION_DAYS) -> DataFrame:
-    """ST12: drop processed rows whose processed_at is before as_of - days;
+    """ST12: drop processed rows whose processed_at is before as_of - days (F21);
     the caller overwrites the table with the result."""
     cutoff = as_of - F.make_dt_interval(F.lit(days))
     old = F.col("processed") & (F.col("processed_at") < cutoff)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Limits, patterns and messages of the request contract.
+# Limits, patterns (F23) and messages of the request contract.
 NAME_MAX, DESCRIPTION_MAX, SKU_MAX = 255, 5000, 100
 PRICE_MIN = "0.01"
 PRICE_INTEGER_DIGITS, PRICE_FRACTION_DIGITS = 8, 2

@@ -166,7 +166,8 @@ def score_fields(ix: Index, queries: DataFrame, fields: dict[str, tuple[str, flo
     """Best-fields multi-match: per field, BM25 summed over query terms (the
     best expansion of each term); with operator 'and' a field matches only if
     it matches every query term; a document's score is its best field's score
-    x boost. Returns (query_id, doc_id, score)."""
+    x boost. The expanded query terms join the postings on (field, term)
+    (J9). Returns (query_id, doc_id, score)."""
     qt = None
     for f, (kind, _boost) in fields.items():
         t = query_terms(queries, f, kind, raw)
@@ -303,7 +304,7 @@ def autocomplete(ix: Index, queries: DataFrame, field: str = "name") -> DataFram
 
 def more_like_this(ix: Index, seeds: DataFrame, fields: tuple[str, ...] = ("name", "description", "categories")
                    ) -> DataFrame:
-    """For each seed document, its 50 best (field, term) pairs by
+    """For each seed document, its 50 best (field, term) pairs by
     tf x idf (idf = ln(N/(df+1)) + 1; min tf 1, min df 1), then documents
     matching at least 30% of them (at least one), scored by BM25 over the
     matched terms; the seed itself is excluded. (seed_id, doc_id, score)."""

@@ -22,7 +22,8 @@ CONTENT_COLUMNS = ["name", "description", "categories", "price", "sku", "attribu
 
 
 def to_document(P: DataFrame, as_of: Column) -> DataFrame:
-    """Product -> 19-column search document, one narrow projection."""
+    """Product -> 19-column search document, one narrow projection
+    (document id = product id as text, F4)."""
     return P.select(
         F.col("id").cast("string").alias("id"),
         F.col("id").alias("product_id"),
