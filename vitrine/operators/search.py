@@ -58,16 +58,22 @@ def _field_tokens(field: str, kind: str) -> Column:
     raise ValueError(kind)
 
 
-def build_index(D: DataFrame, fields: dict[str, str], key: str = "id") -> Index:
+def build_index(D: DataFrame, fields: dict[str, str], key: str = "id",
+                positions: bool = True) -> Index:
     """Postings with term frequency and positions, field lengths, document
     frequencies and per-field averages, from ONE pass over the documents (all
     fields' tokens are concatenated and exploded once). Keyword fields have no
-    length norm (dl = avgdl), as in the index mapping."""
+    length norm (dl = avgdl), as in the index mapping. ``positions=False``
+    skips the per-posting position lists (only phrase queries need them)."""
     arrays = [_field_tokens(f, k) for f, k in fields.items()]
     toks = (D.select(F.col(key).alias("doc_id"), F.explode(F.concat(*arrays)).alias("t"))
             .select("doc_id", "t.field", "t.term", "t.pos"))
-    postings = toks.groupBy("field", "term", "doc_id").agg(
-        F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    if positions:
+        postings = toks.groupBy("field", "term", "doc_id").agg(
+            F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    else:
+        postings = (toks.groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+                    .withColumn("positions", F.lit(None).cast("array<int>")))
     keyword = [f for f, k in fields.items() if k != "text"]
     doc_len = postings.groupBy("field", "doc_id").agg(F.sum("tf").alias("dl"))
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
