@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import fuzzy as FZ
 from vitrine.functions import text as TX
+from vitrine.session import checkpoint_dir
 
 K1, B = 1.2, 0.75
 MAX_EXPANSIONS = 50
@@ -59,12 +60,15 @@ def _field_tokens(field: str, kind: str) -> Column:
 
 
 def build_index(D: DataFrame, fields: dict[str, str], key: str = "id",
-                positions: bool = True) -> Index:
+                positions: bool = True, materialize: bool = False) -> Index:
     """Postings with term frequency and positions, field lengths, document
     frequencies and per-field averages, from ONE pass over the documents (all
     fields' tokens are concatenated and exploded once). Keyword fields have no
     length norm (dl = avgdl), as in the index mapping. ``positions=False``
-    skips the per-posting position lists (only phrase queries need them)."""
+    skips the per-posting position lists (only phrase queries need them).
+    ``materialize=True`` writes the postings once as a reliable checkpoint in
+    the shared checkpoint folder, so the statistics and every later join read
+    them instead of re-analysing the documents."""
     arrays = [_field_tokens(f, k) for f, k in fields.items()]
     toks = (D.select(F.col(key).alias("doc_id"), F.explode(F.concat(*arrays)).alias("t"))
             .select("doc_id", "t.field", "t.term", "t.pos"))
@@ -74,6 +78,9 @@ def build_index(D: DataFrame, fields: dict[str, str], key: str = "id",
     else:
         postings = (toks.groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
                     .withColumn("positions", F.lit(None).cast("array<int>")))
+    if materialize:
+        checkpoint_dir(postings.sparkSession)
+        postings = postings.checkpoint(eager=True)
     keyword = [f for f, k in fields.items() if k != "text"]
     doc_len = postings.groupBy("field", "doc_id").agg(F.sum("tf").alias("dl"))
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))

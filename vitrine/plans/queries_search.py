@@ -52,7 +52,7 @@ def product_ix(spark, sf):
 
 def corpus_ix(spark, sf):
     docs = V.table(spark, sf, "documents").select("doc_id", "text")
-    return SE.build_index(docs, {"text": "text"}, key="doc_id", positions=False)
+    return SE.build_index(docs, {"text": "text"}, key="doc_id", positions=False, materialize=True)
 
 
 def _scored_out(df, key="query_id"):
