@@ -6,7 +6,10 @@ settings that are unset, so a cluster's own choices always win.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -36,29 +39,49 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
+    """The shared checkpoint folder: the one the context already uses, else the
+    one the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a fresh scratch folder is
-    created and registered, so reliable ``checkpoint()`` and streaming
-    checkpoints have somewhere to go.
+    Where neither is set, a ``local[...]`` session (tests) gets a fresh scratch
+    folder; any other master raises, because a folder of one machine would be
+    invisible to the executors.
     """
-    global _LOCAL_DIR
     sc = spark.sparkContext
+    d = sc.getCheckpointDir()
+    if d:
+        return d
     d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not d:
-        if _LOCAL_DIR is None:
-            _LOCAL_DIR = tempfile.mkdtemp(prefix="vitrine-ckpt-")
-        d = _LOCAL_DIR
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
-    return d
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and "
+                               "all executors share")
+        d = tempfile.mkdtemp(prefix="vitrine-ckpt-")
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for one job."""
-    import uuid
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_LOCAL_DIR: str | None = None
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per context), so that
+    Python stages run from any working folder and on any executor."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("app") == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="vitrine-pkg-"), "vitrine.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+    _SHIPPED["app"] = sc.applicationId
+
+
+_SHIPPED: dict[str, str] = {}
