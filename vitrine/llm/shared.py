@@ -13,7 +13,7 @@ from vitrine.session import checkpoint_dir
 #: A key is hot above this share of the rows, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 0.001
 #: Below so many rows a key is never hot.
-HOT_ROWS = 10_000
+HOT_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
