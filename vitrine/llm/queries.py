@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import byte_bpe, exact_dedup, packing, quality_rules, simhash, token_counts
+from vitrine.llm import byte_bpe, exact_dedup, packing, pii, quality_rules, simhash, token_counts
 from vitrine.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_simhash")
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"), width=4, radius=4)
+
+
+@_query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))

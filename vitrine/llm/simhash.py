@@ -36,7 +36,8 @@ from vitrine.session import ship_package
 WIDTH = 4
 RADIUS = 4
 SEED = 42
-CHUNK_VARIANTS = 4_000_000      # variants a task lists at a time
+CHUNK_VARIANTS = 1_500_000      # variants a task lists at a time
+TASK_BYTES = 64 << 20           # what a task emits
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -192,7 +193,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         if size:
             yield done(np.concatenate(kept, axis=1))
 
-    spread = fps.select("fp").mapInArrow(emit, "prefix long, fp long")
+    # a task emits len(around) rows of about 24 bytes for each it reads
+    tasks = max(12, math.ceil(n * len(around) * 24 / TASK_BYTES))
+    spread = fps.select("fp").repartition(tasks).mapInArrow(emit, "prefix long, fp long")
     return (spread.repartition("prefix").sortWithinPartitions("prefix")
             .mapInArrow(collide, "a long, b long").distinct())
 
