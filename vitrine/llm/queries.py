@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import byte_bpe, exact_dedup, html_main, packing, pii, quality_rules, simhash, token_counts
+from vitrine.llm import byte_bpe, exact_dedup, html_main, packing, pii, quality_rules, simhash, token_counts, toxicity
 from vitrine.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_html_main")
 def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+@_query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
