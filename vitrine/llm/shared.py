@@ -32,16 +32,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def lookup(rows: DataFrame, key: str, small: DataFrame, how: str = "left") -> DataFrame:
+def lookup(rows: DataFrame, key: str, small: DataFrame, how: str = "left",
+           counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``small`` on ``key``, where ``small`` has a key at
     most once and ``rows`` may hold a third of its rows under one key.
 
     Keys with over max(HOT_ROWS, HOT_SHARE of the rows) rows are at most
     1 / HOT_SHARE in number; their entries are broadcast and their rows never
     shuffle. All other rows are joined by an ordinary shuffle join. ``rows`` is
-    read several times: pass a table or the result of ``cut``.
+    read several times: pass a table or the result of ``cut``. ``counts``: (key,
+    __n) if the rows of the keys that matter are counted already.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     limit = max(HOT_ROWS, int(rows.count() * HOT_SHARE))
     hot = cut(counts.where((F.col("__n") > limit) & F.col(key).isNotNull()).select(key))
     if not hot.take(1):
