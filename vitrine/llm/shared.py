@@ -14,6 +14,8 @@ from vitrine.session import checkpoint_dir
 HOT_SHARE = 0.001
 #: Below so many rows a key is never hot.
 HOT_ROWS = 1_000
+#: The most words of 64 bits that a filter broadcasts: 8 MB of bits.
+FILTER_WORDS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,20 @@ def lookup(rows: DataFrame, key: str, small: DataFrame, how: str = "left",
     return hot_rows.unionByName(rest)
 
 
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` (long) is in ``wanted``, and a few others: a filter
+    of 16 bits a key, broadcast in words of 64 bits, lets the rest not shuffle.
+    It has FILTER_WORDS words at most; a fuller one lets more rows pass. Join
+    with ``wanted`` to be exact."""
+    words = min(FILTER_WORDS, wanted.count() // 4 + 1)
+    slot = F.pmod(F.xxhash64(key), F.lit(words * 64))
+    word, bit = F.shiftright(slot, 6), slot.bitwiseAND(63).cast("int")
+    bits = (wanted.select(word.alias("__word"), bit.alias("__bit"))
+            .groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__mask")))
+    tested = rows.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(bits), "__word")
+    return tested.where(F.expr("shiftright(__mask, __bit) & 1 = 1")).select(rows.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the
     smallest node reachable. Empty edges give an empty result.
