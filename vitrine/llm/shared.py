@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.session import checkpoint_dir
+from vitrine.session import checkpoint_dir, scratch_path
 
 #: A key is hot above this share of the rows, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 0.001
@@ -29,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in the shared checkpoint folder, for what is
+    too large for ``cut``, whose files are not compressed."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body) -> Column:
     """``body(x)`` with x bound to ``value``, evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)
