@@ -37,6 +37,7 @@ WIDTH = 4
 RADIUS = 4
 SEED = 42
 CHUNK_VARIANTS = 1_500_000      # variants a task lists at a time
+CHUNK_HASHES = 200_000          # shingle hashes a task holds beside one text's
 TASK_BYTES = 64 << 20           # what a task emits
 _LANES = np.uint64(0x0101010101010101)
 
@@ -80,10 +81,15 @@ def fingerprint(text: Column, width: int = WIDTH) -> Column:
     """The fingerprint as a long (the 64 bits, signed)."""
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
-        found = [shingle_hashes(t, width) for t in texts]
-        sizes = np.array([len(x) for x in found], np.int64)
-        hashes = np.fromiter((h for x in found for h in x), np.uint64, int(sizes.sum()))
-        return pd.Series(majority_bits(hashes, sizes).view(np.int64))
+        out, runs = [], []
+        for text in texts:
+            runs.append(np.array(shingle_hashes(text, width), np.uint64))
+            if len(runs) == 64 or sum(map(len, runs)) >= CHUNK_HASHES:
+                out.append(majority_bits(np.concatenate(runs), np.array([len(x) for x in runs])))
+                runs = []
+        if runs:
+            out.append(majority_bits(np.concatenate(runs), np.array([len(x) for x in runs])))
+        return pd.Series(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64))
 
     return run(text)
 
