@@ -177,16 +177,18 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ones too, is part of the cascade and computes its own columns, so that a
     rejected row skips the dearer ones."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    ws, ls = words(text), lines(text)
-    n = F.size(ws).cast("long")
-
-    def share(ls: Column) -> Column:
-        return n_dup_lines(ls) * 100 > F.size(ls) * MAX_DUP_LINE_SHARE
-
-    rules = [Rule("few_words", n < MIN_WORDS),
-             Rule("repeats", let(ws, lambda w: n_repeat_words(w) * 100 > F.size(w) * MAX_REPEAT_SHARE)),
-             Rule("dup_lines", let(ls, share))]
-    rules += [r for r in method_rules(text, n, word_chars(ws), n_symbols(text), F.size(ls), F.lit(0))
-              if r.name != "dup_lines"]
-    order = [name for name, _, _ in ranked(sample_of(docs, sample_rows), rules)]
-    return docs.where(cascade(rules, order).isNull())
+
+    def rules(ws: Column, ls: Column) -> list[Rule]:
+        n = F.size(ws).cast("long")
+        return [Rule("few_words", n < MIN_WORDS),
+                Rule("repeats", n_repeat_words(ws) * 100 > n * MAX_REPEAT_SHARE),
+                *method_rules(text, n, word_chars(ws), n_symbols(text), F.size(ls), n_dup_lines(ls))]
+
+    def bound(body) -> Column:
+        """``body`` of the text's words and lines, each split once."""
+        return let(words(text), lambda ws: let(lines(text), lambda ls: body(ws, ls)))
+
+    names = [r.name for r in rules(F.lit(None), F.lit(None))]
+    alone = [Rule(name, bound(lambda ws, ls, k=k: rules(ws, ls)[k].rejects)) for k, name in enumerate(names)]
+    order = [name for name, _, _ in ranked(sample_of(docs, sample_rows), alone)]
+    return docs.where(bound(lambda ws, ls: cascade(rules(ws, ls), order)).isNull())
