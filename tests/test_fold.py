@@ -139,3 +139,14 @@ def test_incremental_merge_matches_batch(spark):
         D = FO.merge_batch(D, M.filter((F.col("offset") > lo) & (F.col("offset") <= hi)))
         D = spark.createDataFrame(D.collect(), D.schema)   # materialise the version, as the sink does
     assert _result(D) == model(msgs)
+
+
+def test_malformed_payloads_go_to_the_error_output(spark):
+    rows = [("m1", 1, "ProductCreated", '{"productId": 1, "name": "a", "sku": "s"}', {"aggregate-id": "1"}),
+            ("m2", 2, "ProductCreated", '{"productId": 2, "name"', {"aggregate-id": "2"}),
+            ("m3", 3, "ProductUpdated", '{"name": "no id"}', {"aggregate-id": "3"}),
+            ("m4", 4, "ProductViewed", "not json", {"aggregate-id": "1"})]
+    M = spark.createDataFrame(rows, "id string, offset long, event_type string, payload string, headers map<string,string>")
+    docs, _ = FO.fold_events(M)
+    assert [(r.product_id, r.name) for r in docs.collect()] == [(1, "a")]
+    assert sorted(r.id for r in FO.corrupt_events(M).collect()) == ["m2", "m3", "m4"]

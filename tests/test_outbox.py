@@ -63,7 +63,7 @@ def test_routing_and_headers(spark):
                                                       3: "general-events", 4: "user-events"}
     h = msgs[1].headers
     assert h["idempotency-key"] == "outbox-event-1"
-    assert h["aggregate-id"] == "123" and h["source"] == "ecommerce-backend"
+    assert h["aggregate-id"] == "123" and h["source"] == "vitrine"
     assert msgs[1].partition_key == "123"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # Topic per aggregate type (lower-cased), and the fallback topic.
 TOPICS = {"product": "product-events", "order": "order-events", "user": "user-events"}
 GENERAL_TOPIC = "general-events"
-SOURCE_NAME = "ecommerce-backend"
+SOURCE_NAME = "vitrine"
 MAX_OUTBOX_RETRIES = 5
 MAX_CONSUMER_RETRIES = 3
 CONSUMER_BACKOFF_MS = 1000
@@ -36,7 +36,8 @@ def ts_text(ts) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def outbox_headers(id_, aggregate_id, aggregate_type, event_type, created_at) -> Column:
+def outbox_headers(id_, aggregate_id, aggregate_type, event_type, created_at,
+                   source: str = SOURCE_NAME) -> Column:
     """F16: idempotency-key outbox-event-<id>, aggregate-id, aggregate-type,
     event-type, source, created-at."""
     return F.create_map(
@@ -44,7 +45,7 @@ def outbox_headers(id_, aggregate_id, aggregate_type, event_type, created_at) ->
         F.lit("aggregate-id"), _c(aggregate_id),
         F.lit("aggregate-type"), _c(aggregate_type),
         F.lit("event-type"), _c(event_type),
-        F.lit("source"), F.lit(SOURCE_NAME),
+        F.lit("source"), F.lit(source),
         F.lit("created-at"), ts_text(created_at))
 
 

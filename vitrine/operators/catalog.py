@@ -20,7 +20,6 @@ PUBLIC_COLUMNS = ["id", "name", "description", "categories", "price", "sku", "at
 # the column each maps to.
 SEARCH_SORT_FIELDS = {"name": "name", "price": "price", "createdat": "created_at",
                       "popularityscore": "popularity_score"}
-MAX_RESULT_WINDOW = 50_000  # deep-paging cap of the search index
 
 
 # projections -----------------------------------------------------------------
@@ -204,7 +203,7 @@ def list_sort_columns(P: DataFrame, by: str | None = None, direction: str = "des
 
 
 def page(df: DataFrame, order: list[Column], page_no: int, size: int,
-         cap: int | None = MAX_RESULT_WINDOW) -> DataFrame:
+         cap: int | None = None) -> DataFrame:
     """Rows of one page (offset = page x size). Spark plans this as a
     per-partition top-(offset+size) and a final merge, never a full sort."""
     if page_no < 0 or size < 1:

@@ -141,10 +141,11 @@ def delete_products(P: DataFrame, ids: DataFrame, as_of: Column
 
 
 def record_purchases(P: DataFrame, purchases: DataFrame, as_of: Column
-                     ) -> tuple[DataFrame, DataFrame]:
+                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """purchase_count += quantity (pre-aggregated per product before the
-    join), popularity by F12, one ProductPurchased event per purchase row with
-    total = unit price x quantity (F14, Decimal)."""
+    join), popularity by F12, one ProductPurchased event of the product per
+    purchase row with total = unit price x quantity (F14, Decimal). Third:
+    rejected purchases, of products that do not exist."""
     q = purchases.groupBy(F.col("product_id").alias("_p")).agg(
         F.sum(F.col("quantity").cast("bigint")).alias("_q"))
     j = P.join(q, P.id == q._p, "left")
@@ -152,18 +153,21 @@ def record_purchases(P: DataFrame, purchases: DataFrame, as_of: Column
     newP = j.select(*[pc.alias(c) if c == "purchase_count" else
                       FX.popularity("click_count", pc, "entity").alias(c) if c == "popularity_score" else
                       F.col(c) for c in P.columns])
+    known = P.select(F.col("id").alias("product_id"), F.col("sku").alias("_sku"))
+    rejected = purchases.join(known, "product_id", "left_anti")
+    purchases = purchases.join(known, "product_id")
     total = (F.col("unit_price") * F.col("quantity").cast("decimal(10,0)")).cast("decimal(18,2)")
     payload = F.to_json(F.struct(
-        F.col("product_id").alias("productId"), F.col("user_id").cast("string").alias("userId"),
+        F.col("product_id").alias("productId"), F.col("_sku").alias("sku"), F.col("user_id").cast("string").alias("userId"),
         F.col("order_id").cast("string").alias("orderId"), "quantity",
         F.col("unit_price").alias("unitPrice"), total.alias("totalPrice"),
         F.col("purchased_at").alias("purchasedAt")), JSON_OPTS)
     events = purchases.select(
         (F.lit(4).cast("bigint") * F.lit(10 ** 15) + F.col("order_id") * 1000 + F.col("line_number"))
         .alias("id"), F.col("product_id").cast("string").alias("aggregate_id"),
-        F.lit("Order").alias("aggregate_type"), F.lit("ProductPurchased").alias("event_type"),
+        F.lit("Product").alias("aggregate_type"), F.lit("ProductPurchased").alias("event_type"),
         payload.alias("event_data"), as_of.alias("created_at"), F.lit(False).alias("processed"))
-    return newP, events
+    return newP, events, rejected
 
 
 def increment(P: DataFrame, ids: DataFrame, col: str) -> DataFrame:

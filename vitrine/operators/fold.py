@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.functions import features as FX
 from vitrine.functions import messaging as MX
@@ -20,6 +21,7 @@ from vitrine.sources import schemas as SC
 
 LIFECYCLE = ["ProductCreated", "ProductUpdated", "ProductDeleted"]
 METRIC = ["ProductViewed", "ProductPurchased"]
+CORRUPT = "_corrupt"
 JSON_OPTS = {"timestampNTZFormat": SC.JSON_TIME_FORMAT, "timestampFormat": SC.JSON_TIME_FORMAT}
 
 
@@ -37,27 +39,34 @@ def parse_events(M: DataFrame) -> DataFrame:
     """JSON payload -> typed columns (one union schema for all six types).
     ``product_id``: payload productId for lifecycle events, the aggregate-id
     header (try_cast; 'product-7' -> null, Q15) for metric events.
-    ``corrupt``: payload is not parseable JSON."""
-    ev = F.from_json("payload", SC.EVENT_UNION, JSON_OPTS)
+    ``corrupt``: the payload does not parse, or a lifecycle event names no
+    product; ``corrupt_events`` lists these, and no document comes of them."""
+    schema = T.StructType([*SC.EVENT_UNION.fields, T.StructField(CORRUPT, T.StringType())])
+    ev = F.from_json("payload", schema, JSON_OPTS | {"columnNameOfCorruptRecord": CORRUPT})
     hdr_id = F.expr("try_cast(try_element_at(headers, 'aggregate-id') AS BIGINT)")
     is_life = F.col("event_type").isin(LIFECYCLE)
     return (M.withColumn("ev", ev)
             .withColumn("product_id", F.when(is_life, F.col("ev.productId")).otherwise(hdr_id))
-            .withColumn("corrupt", F.col("ev").isNull()))
+            .withColumn("corrupt", F.col("ev").isNull() | F.col(f"ev.{CORRUPT}").isNotNull()
+                        | (is_life & F.col("product_id").isNull())))
+
+
+def corrupt_events(M: DataFrame) -> DataFrame:
+    """S5 error output: (id, offset, event_type, payload) of messages that
+    cannot be read."""
+    return parse_events(M).filter("corrupt").select("id", "offset", "event_type", "payload")
 
 
 def metric_increments(E: DataFrame) -> DataFrame:
     """ST11/F17: per metric event, the view increment (metadata view_increment,
     bad or missing -> 1), the absolute popularity_score if given, and the
     purchase increment (purchase_increment, else quantity, else 1)."""
-    meta = F.col("ev.metadata")
     view_inc = F.coalesce(F.expr("try_cast(try_element_at(ev.metadata, 'view_increment') AS BIGINT)"),
                           F.lit(1).cast("bigint"))
     pop = F.expr("try_cast(try_element_at(ev.metadata, 'popularity_score') AS DOUBLE)")
     buy_inc = F.coalesce(F.expr("try_cast(try_element_at(ev.metadata, 'purchase_increment') AS BIGINT)"),
                          F.col("ev.quantity").cast("bigint"), F.lit(1).cast("bigint"))
     is_view = F.col("event_type") == "ProductViewed"
-    del meta
     return E.select(
         "product_id", "offset", "event_type",
         F.when(is_view, view_inc).alias("view_inc"),
@@ -68,7 +77,7 @@ def metric_increments(E: DataFrame) -> DataFrame:
 def latest_lifecycle(E: DataFrame, mode: str = "replace") -> DataFrame:
     """Per product, the last lifecycle event (max_by over offset).
     ``merge`` mode also returns the last Created/Deleted, where counters restart."""
-    life = E.filter(F.col("event_type").isin(LIFECYCLE))
+    life = E.filter(F.col("event_type").isin(LIFECYCLE) & ~F.col("corrupt"))
     aggs = [F.max_by(F.struct("offset", "event_type", "ev"), F.col("offset")).alias("L")]
     if mode != "merge":
         return life.groupBy("product_id").agg(*aggs).withColumn("counter_from", F.col("L.offset"))

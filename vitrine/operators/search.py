@@ -29,9 +29,7 @@ from vitrine.functions import text as TX
 from vitrine.session import checkpoint_dir
 
 K1, B = 1.2, 0.75
-MAX_EXPANSIONS = 50
 PREFIX_MAX = 20
-MLT_MAX_QUERY_TERMS = 50
 MLT_MIN_SHOULD_MATCH = 0.3
 
 
@@ -126,11 +124,13 @@ def query_terms(queries: DataFrame, field: str, kind: str, raw: bool = False) ->
             .withColumn("field", F.lit(field)))
 
 
-def expand_terms(qterms: DataFrame, term_stats: DataFrame, fuzzy: bool) -> DataFrame:
+def expand_terms(qterms: DataFrame, term_stats: DataFrame, fuzzy: bool,
+                 max_expansions: int | None = None) -> DataFrame:
     """(query_id, field, qterm) -> matching dictionary terms with edits.
     Exact: equi-join. Fuzzy (AUTO: 0 / 1 / 2 edits by query-term length):
-    deletion-neighbourhood equi-join for candidates, exact distance check,
-    then the first 50 expansions per query term (fewest edits, term order)."""
+    deletion-neighbourhood equi-join for candidates, then the exact distance
+    check; all of them, or the first ``max_expansions`` per query term (fewest
+    edits, term order)."""
     if not fuzzy:
         return (qterms.join(term_stats.select("field", F.col("term").alias("qterm")),
                             ["field", "qterm"])
@@ -149,9 +149,11 @@ def expand_terms(qterms: DataFrame, term_stats: DataFrame, fuzzy: bool) -> DataF
     checked = (cand.withColumn("edits", F.when(F.col("qterm") == F.col("term"), F.lit(0))
                                .otherwise(FZ.dl_distance("qterm", "term")))
                .filter(F.col("edits") <= F.col("k")))
+    if max_expansions is None:
+        return checked.drop("k")
     w = Window.partitionBy("query_id", "field", "qterm").orderBy("edits", "term")
     return (checked.withColumn("_r", F.row_number().over(w))
-            .filter(F.col("_r") <= MAX_EXPANSIONS).drop("_r", "k"))
+            .filter(F.col("_r") <= max_expansions).drop("_r", "k"))
 
 
 def match_fields(ix: Index, queries: DataFrame, fields: dict[str, tuple[str, float]],
@@ -279,10 +281,12 @@ def prefix_table(dict_terms: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: t.substr(F.lit(1), i))).alias("prefix"))
 
 
-def autocomplete(ix: Index, queries: DataFrame, field: str = "name") -> DataFrame:
+def autocomplete(ix: Index, queries: DataFrame, field: str = "name",
+                 max_expansions: int | None = None) -> DataFrame:
     """Phrase-prefix: the query's leading terms as a phrase (relative
     positions kept, stop-word gaps included) and its last term as a prefix
-    expanded to the first 50 dictionary terms in term order.
+    expanded to all dictionary terms it begins, or the first ``max_expansions``
+    in term order.
     Returns (query_id, doc_id, score)."""
     qp = (queries.select("query_id", F.posexplode(TX.analyze_positions(F.col("q"))).alias("i", "t"))
           .select("query_id", "i", F.col("t.pos").alias("qpos"), F.col("t.term").alias("qterm")))
@@ -297,8 +301,9 @@ def autocomplete(ix: Index, queries: DataFrame, field: str = "name") -> DataFram
             .withColumn("prefix", F.substring("qterm", 1, PREFIX_MAX))
             .join(prefixes, "prefix")
             .filter(F.col("term").startswith(F.col("qterm"))).drop("prefix"))
-    w = Window.partitionBy("query_id").orderBy("term")
-    pref = pref.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= MAX_EXPANSIONS).drop("_r")
+    if max_expansions is not None:
+        w = Window.partitionBy("query_id").orderBy("term")
+        pref = pref.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_expansions).drop("_r")
     terms = exact.unionByName(pref)
     post = (ix.postings.filter(F.col("field") == field)
             .select("term", "doc_id", "tf", F.explode("positions").alias("dpos")))
@@ -315,10 +320,10 @@ def autocomplete(ix: Index, queries: DataFrame, field: str = "name") -> DataFram
     return m.select("query_id", "doc_id", s.alias("score"))
 
 
-def more_like_this(ix: Index, seeds: DataFrame, fields: tuple[str, ...] = ("name", "description", "categories")
-                   ) -> DataFrame:
-    """For each seed document, its 50 best (field, term) pairs by
-    tf x idf (idf = ln(N/(df+1)) + 1; min tf 1, min df 1), then documents
+def more_like_this(ix: Index, seeds: DataFrame, fields: tuple[str, ...] = ("name", "description", "categories"),
+                   max_query_terms: int | None = None) -> DataFrame:
+    """For each seed document, its (field, term) pairs, all or the
+    ``max_query_terms`` best by tf x idf (idf = ln(N/(df+1)) + 1; min tf 1, min df 1), then documents
     matching at least 30% of them (at least one), scored by BM25 over the
     matched terms; the seed itself is excluded. (seed_id, doc_id, score)."""
     p = ix.postings.filter(F.col("field").isin(list(fields)))
@@ -328,8 +333,10 @@ def more_like_this(ix: Index, seeds: DataFrame, fields: tuple[str, ...] = ("name
                   .join(F.broadcast(ix.field_stats), "field"))
     weight = F.col("tf") * (F.log(F.col("n_docs") / (F.col("df") + 1)) + 1.0)
     w = Window.partitionBy("seed_id").orderBy(F.desc("w"), "field", "term")
-    chosen = (seed_terms.withColumn("w", weight).withColumn("_r", F.row_number().over(w))
-              .filter(F.col("_r") <= MLT_MAX_QUERY_TERMS).drop("_r"))
+    chosen = seed_terms.withColumn("w", weight)
+    if max_query_terms is not None:
+        chosen = (chosen.withColumn("_r", F.row_number().over(w))
+                  .filter(F.col("_r") <= max_query_terms).drop("_r"))
     need = chosen.groupBy("seed_id").agg(
         F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * MLT_MIN_SHOULD_MATCH)).alias("need"))
     hits = (chosen.select("seed_id", "field", "term", "df", "n_docs", "avgdl")
@@ -428,9 +435,9 @@ def search_products(ix: Index, D: DataFrame, queries: DataFrame) -> DataFrame:
     ranged = combos.filter(blank & ~has_cats)
     ranges = ranged.select(F.col("min_price").alias("r_min"), F.col("max_price").alias("r_max")).distinct()
     lo = F.coalesce(F.col("r_min"), F.lit(0).cast("decimal(10,2)"))
-    # one row per distinct range of the batch (bounded by the request menu)
+    # distinct ranges of the batch
     in_range = (d.select("doc_id", "d_price")
-                .join(F.broadcast(ranges), (F.col("d_price") >= lo)
+                .join(ranges, (F.col("d_price") >= lo)
                       & F.coalesce(F.col("d_price") <= F.col("r_max"), F.lit(True))))
     r2 = (ranged.select("combo_id", "min_price", "max_price")
           .join(in_range, F.col("min_price").eqNullSafe(F.col("r_min"))

@@ -51,7 +51,8 @@ def content_hash(df: DataFrame, key: str) -> DataFrame:
             cols.append(F.array_sort(F.map_entries(F.col(c))))
         else:
             cols.append(F.col(c))
-    return df.select(F.col(key).alias("id"), F.xxhash64(*cols).alias("h"))
+    # the hash skips nulls, so their places are hashed, too
+    return df.select(F.col(key).alias("id"), F.xxhash64(*cols, *[c.isNull() for c in cols]).alias("h"))
 
 
 def reconcile(P: DataFrame, D: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def score_ctes(queries: str, fields: dict[str, tuple[str, float]], operator: str
                       CASE WHEN length(q.qterm) <= 2 THEN 0 WHEN length(q.qterm) <= 5 THEN 1 ELSE 2 END AS k
                FROM {out}_qt q JOIN {prefix}_df d ON d.field = q.field),
 {out}_exp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, field, qterm ORDER BY edits, term) AS r
-                             FROM {out}_cand WHERE edits <= k) WHERE r <= 50)"""
+                             FROM {out}_cand WHERE edits <= k))"""
     else:
         exp = f"""
 {out}_exp AS (SELECT q.query_id, q.field, q.qterm, q.qterm AS term, 0 AS edits

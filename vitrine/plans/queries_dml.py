@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitrine.functions import messaging as MX
 from vitrine.operators import catalog as C
 from vitrine.operators import dml as DM
 from vitrine.operators import quality as Q
@@ -132,20 +133,34 @@ SELECT id, purchase_count,
 FROM product_v""", ("product_v",))
 def q_record_purchases(spark, sf):
     P0 = V.product(spark, sf).withColumn("purchase_count", F.lit(0).cast("bigint"))
-    newP, _ = DM.record_purchases(P0, V.purchases(spark, sf), V.as_of())
+    newP, _, _ = DM.record_purchases(P0, V.purchases(spark, sf), V.as_of())
     return newP.select("id", "purchase_count", F.round("popularity_score", 4).alias("popularity_score"))
 
 
 @register("purchase_events", """
-SELECT CAST(product_id AS VARCHAR) AS aggregate_id,
+SELECT CAST(product_id AS VARCHAR) AS aggregate_id, 'Product' AS aggregate_type, 'product-events' AS topic, p.sku,
+       CAST(u.quantity AS INTEGER) AS quantity,
        CAST(CAST(unit_price * quantity AS DECIMAL(18,2)) AS DOUBLE) AS total_price
-FROM purchases_v""", ("purchases_v",))
+FROM purchases_v u JOIN product_v p ON p.id = u.product_id""", ("purchases_v", "product_v"))
 def q_purchase_events(spark, sf):
-    _, events = DM.record_purchases(V.product(spark, sf), V.purchases(spark, sf), V.as_of())
-    return events.select("aggregate_id", F.get_json_object("event_data", "$.totalPrice")
+    _, events, _ = DM.record_purchases(V.product(spark, sf), V.purchases(spark, sf), V.as_of())
+    field = lambda c: F.get_json_object("event_data", f"$.{c}")
+    return events.select("aggregate_id", "aggregate_type", MX.topic_for("aggregate_type").alias("topic"),
+                         field("sku").alias("sku"), field("quantity").cast("int").alias("quantity"),
+                         F.get_json_object("event_data", "$.totalPrice")
                          .cast("decimal(18,2)").cast("double").alias("total_price"))
 
 
+@register("purchase_rejections", """
+SELECT product_id, order_id, line_number FROM purchases_v
+WHERE product_id NOT IN (SELECT id FROM product_v WHERE id % 10 <> 3)""", ("purchases_v", "product_v"))
+def q_purchase_rejections(spark, sf):
+    """Purchases of products that are gone (here those whose id ends in 3) are rejected."""
+    P = V.product(spark, sf).filter("id % 10 <> 3")
+    _, _, rejected = DM.record_purchases(P, V.purchases(spark, sf), V.as_of())
+    return rejected.select("product_id", "order_id", "line_number")
+
+
 @register("increment_clicks", "SELECT id, click_count FROM product_v", ("product_v",))
 def q_increment_clicks(spark, sf):
     P0 = V.product(spark, sf).withColumn("click_count", F.lit(0).cast("bigint"))

@@ -86,7 +86,7 @@ SELECT 'outbox-' || CAST(id AS VARCHAR) AS id,
        CASE lower(aggregate_type) WHEN 'product' THEN 'product-events' WHEN 'order' THEN 'order-events'
             WHEN 'user' THEN 'user-events' ELSE 'general-events' END AS topic,
        event_type, event_data AS payload, aggregate_id AS partition_key,
-       'outbox-event-' || CAST(id AS VARCHAR) AS idempotency_key, 'ecommerce-backend' AS source,
+       'outbox-event-' || CAST(id AS VARCHAR) AS idempotency_key, 'vitrine' AS source,
        strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at_header
 FROM outbox_v WHERE (NOT processed AND retry_count = 0) OR {DUE_SQL}""", ("outbox_v",))
 def q_outbox_relay(spark, sf):

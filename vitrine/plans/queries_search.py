@@ -32,7 +32,7 @@ ex AS (SELECT qp.query_id, qp.i, qp.rel, qp.n, dict.term FROM qp JOIN dict ON di
 pref AS (SELECT query_id, i, rel, n, term FROM (
            SELECT qp.query_id, qp.i, qp.rel, qp.n, dict.term,
                   row_number() OVER (PARTITION BY qp.query_id ORDER BY dict.term) AS r
-           FROM qp JOIN dict ON starts_with(dict.term, qp.qterm) WHERE qp.i = qp.last_i) WHERE r <= 50),
+           FROM qp JOIN dict ON starts_with(dict.term, qp.qterm) WHERE qp.i = qp.last_i)),
 terms AS (SELECT * FROM ex UNION ALL SELECT * FROM pref),
 hits AS (SELECT t.query_id, np.doc_id, np.dpos - t.rel AS start, t.n, t.i FROM terms t JOIN np ON np.term = t.term),
 phr AS (SELECT query_id, doc_id, start FROM hits GROUP BY query_id, doc_id, start, n HAVING count(DISTINCT i) = n),
@@ -157,7 +157,7 @@ dict AS (SELECT DISTINCT unnest({sql_analyze('p_name')}) AS term FROM part),
 c AS (SELECT qterm, term, CASE WHEN qterm = term THEN 0 ELSE damerau_levenshtein(qterm, term) END AS edits,
              CASE WHEN length(qterm) <= 2 THEN 0 WHEN length(qterm) <= 5 THEN 1 ELSE 2 END AS k FROM qt, dict)
 SELECT qterm, term, edits FROM (SELECT *, row_number() OVER (PARTITION BY qterm ORDER BY edits, term) AS r
-                                FROM c WHERE edits <= k) WHERE r <= 50""", ("search_req_v",))
+                                FROM c WHERE edits <= k)""", ("search_req_v",))
 def q_fuzzy_expansions(spark, sf):
     """Name-dictionary terms within AUTO distance of each request term."""
     _, ix = product_ix(spark, sf)
@@ -251,8 +251,7 @@ st AS (SELECT s.seed_id, p.field, p.term, p.tf, d.df, fs.n_docs, fs.avgdl FROM s
        JOIN ix_post p ON p.doc_id = s.seed_id JOIN ix_df d ON d.field = p.field AND d.term = p.term
        JOIN ix_fs fs ON fs.field = p.field WHERE p.field IN ('name', 'description', 'categories')),
 wt AS (SELECT *, CAST(tf AS DOUBLE) * (ln(CAST(n_docs AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + CAST(1.0 AS DOUBLE)) AS w FROM st),
-chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY w DESC, field, term) AS r FROM wt)
-           WHERE r <= 50),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY w DESC, field, term) AS r FROM wt)),
 need AS (SELECT seed_id, greatest(1, floor(CAST(count(*) AS DOUBLE) * CAST(0.3 AS DOUBLE))) AS need FROM chosen GROUP BY 1),
 hits AS (SELECT c.seed_id, p.doc_id, {sql_bm25('p.tf', 'c.df', 'c.n_docs', 'l.dl', 'c.avgdl')} AS sc
          FROM chosen c JOIN ix_post p ON p.field = c.field AND p.term = c.term
@@ -309,4 +308,4 @@ def q_corpus_more_like_this(spark, sf):
     """X14 on the corpus: 5 most similar documents for every labelled document."""
     ix = corpus_ix(spark, sf)
     seeds = V.table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
-    return _scored_out(SE.top_k(SE.more_like_this(ix, seeds, ("text",)), "seed_id", 5), key="seed_id")
+    return _scored_out(SE.top_k(SE.more_like_this(ix, seeds, ("text",), max_query_terms=50), "seed_id", 5), key="seed_id")
