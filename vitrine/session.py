@@ -66,10 +66,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows that Spark sends to a Python worker at a time, unless the session says
+#: otherwise: whole documents are long, and a worker holds a batch twice or more.
+BATCH_ROWS = 1_000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers (once per context), so that
-    Python stages run from any working folder and on any executor."""
+    """Prepare a session for Python stages: send this package to the workers
+    (once per context), so that they run from any working folder and on any
+    executor, and keep batches small where the session has Spark's default."""
     sc = spark.sparkContext
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, str(BATCH_ROWS))
     if _SHIPPED.get("app") == sc.applicationId:
         return
     root = os.path.dirname(os.path.abspath(__file__))
