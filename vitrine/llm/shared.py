@@ -66,18 +66,23 @@ def lookup(rows: DataFrame, key: str, small: DataFrame, how: str = "left",
     return hot_rows.unionByName(rest)
 
 
-def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``key`` (long) is in ``wanted``, and a few others: a filter
-    of 16 bits a key, broadcast in words of 64 bits, lets the rest not shuffle.
-    It has FILTER_WORDS words at most; a fuller one lets more rows pass. Join
-    with ``wanted`` to be exact."""
+def flag_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` plus ``__maybe``: true where ``key`` (long) is in ``wanted``, and
+    on a few other rows: a filter of 16 bits a key, broadcast in words of 64
+    bits. It has FILTER_WORDS words at most; a fuller one flags more rows."""
     words = min(FILTER_WORDS, wanted.count() // 4 + 1)
     slot = F.pmod(F.xxhash64(key), F.lit(words * 64))
     word, bit = F.shiftright(slot, 6), slot.bitwiseAND(63).cast("int")
     bits = (wanted.select(word.alias("__word"), bit.alias("__bit"))
             .groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__mask")))
-    tested = rows.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(bits), "__word")
-    return tested.where(F.expr("shiftright(__mask, __bit) & 1 = 1")).select(rows.columns)
+    tested = rows.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(bits), "__word", "left")
+    return tested.select(*rows.columns, F.expr("coalesce(shiftright(__mask, __bit) & 1 = 1, false)").alias("__maybe"))
+
+
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows that ``flag_in`` flags, so that the rest need not shuffle; join
+    with ``wanted`` to be exact."""
+    return flag_in(rows, key, wanted).where("__maybe").drop("__maybe")
 
 
 def components(edges: DataFrame) -> DataFrame:

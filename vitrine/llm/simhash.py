@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.shared import components, cut, lookup
+from vitrine.llm.shared import components, cut, flag_in, lookup
 from vitrine.session import ship_package
 
 WIDTH = 4
@@ -234,18 +234,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
              radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest id
-    (a null id last). Documents alone in their component pass straight through;
-    for the others a partial aggregate keeps one row per component and task."""
+    (a null id last). Fingerprints are computed once; whole documents are then
+    found by hashes of their texts. Those alone in their component pass straight
+    through; for the others a partial aggregate keeps one per component and task."""
     ship_package(docs.sparkSession)
-    columns = docs.columns
-    slim = cut(docs.select(fingerprint(F.col(f"`{text_col}`"), width).alias("fp")))
+    text = F.col(f"`{text_col}`")
+    whole = F.coalesce(text, F.lit(""))
+    names = [F.xxhash64(whole).alias("k"), F.sha2(whole, 256).alias("sha")]
+    slim = cut(docs.select(*names, fingerprint(text, width).alias("fp")))
     sizes = slim.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     of = cut(classes(slim, radius).join(sizes, "fp"))
-    shared = of.groupBy("root").agg(F.sum("n").alias("n")).where("n > 1").select("root", F.lit(True).alias("many"))
+    shared = of.groupBy("root").agg(F.sum("n").alias("n")).where("n > 1").select("root")
     many = cut(lookup(of.select("fp", "root"), "root", shared, "inner").select("fp", "root"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),
-                       fingerprint(F.col(f"`{text_col}`"), width).alias("fp"))
-    rows = rows.join(many, "fp", "left")
+    texts = cut(lookup(slim, "fp", many, "inner").select("k", "sha", "root").distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{id_col}`").alias("id"), *names)
+    rows = flag_in(rows, "k", texts)
+    found = rows.where("__maybe").join(texts.select("sha", "root"), "sha", "left")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("row"))
-    one = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min_by("row", order).alias("row"))
-    return rows.where(F.col("root").isNull()).select("row.*").unionByName(one.select("row.*"))
+    one = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min_by("row", order).alias("row"))
+    alone = rows.where(~F.col("__maybe")).select("row.*").unionByName(found.where(F.col("root").isNull()).select("row.*"))
+    return alone.unionByName(one.select("row.*"))
