@@ -69,6 +69,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 #: Rows that Spark sends to a Python worker at a time, unless the session says
 #: otherwise: whole documents are long, and a worker holds a batch twice or more.
 BATCH_ROWS = 1_000
+BATCH_BYTES = "16m"
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -79,6 +80,7 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if spark.conf.get(_ARROW_ROWS) == "10000":
         spark.conf.set(_ARROW_ROWS, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if _SHIPPED.get("app") == sc.applicationId:
         return
     root = os.path.dirname(os.path.abspath(__file__))
