@@ -66,6 +66,25 @@ def test_partial_update_and_unknown_id(spark):
     assert [(x.request_id, x.code) for x in rejects.collect()] == [(2, "PRODUCT_NOT_FOUND")]
 
 
+def test_several_updates_of_a_product_apply_in_order(spark):
+    P = _catalogue(spark)
+    P = P.unionByName(P.withColumn("id", F.lit(2).cast("long")).withColumn("sku", F.lit("TEST-002")))
+    upd = spark.createDataFrame(
+        [(1, 1, "Renamed", None, None, None, None, None, None),
+         (2, 1, None, None, None, Decimal("5.00"), "NEW-1", None, None),
+         (3, 2, "Lost", None, None, None, "NEW-1", None, None),          # asked for earlier in the batch
+         (4, 2, None, None, None, Decimal("-1"), None, None, None),      # breaks a rule
+         (5, 1, "Again", None, None, None, "TEST-001", None, None)], SC.UPDATE_REQUEST)
+    newP, events, rejects = DM.update_products(P, upd, as_of())
+    rows = {r.id: r for r in newP.collect()}
+    assert (rows[1].name, rows[1].price, rows[1].sku, rows[1].version) == ("Again", Decimal("5.00"), "TEST-001", 3)
+    assert (rows[2].name, rows[2].sku, rows[2].version) == ("Test Product", "TEST-002", 0)
+    after = [r[0] for r in events.orderBy("id").select(F.get_json_object("event_data", "$.name")).collect()]
+    assert after == ["Renamed", "Renamed", "Again"]
+    assert sorted((x.request_id, x.code) for x in rejects.collect()) == [
+        (3, "PRODUCT_ALREADY_EXISTS"), (4, "VALIDATION_ERROR")]
+
+
 def test_delete_unknown_is_rejected_without_event(spark):
     P = _catalogue(spark)
     ids = spark.createDataFrame([(1,), (2,)], "id long")

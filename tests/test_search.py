@@ -42,7 +42,12 @@ def _hits(df):
 
 def test_analyzer(spark):
     df = spark.createDataFrame([("The Wireless ÉARBUDS and a Mobile-phone",)], "t string")
-    assert df.select(TX.analyze(F.col("t"))).first()[0] == ["wireless", "headphones", "phone", "phone"]
+    assert df.select(TX.analyze_query(F.col("t"))).first()[0] == ["wireless", "earbuds", "mobile", "phone"]
+    group = ["phone", "mobile", "smartphone", "cell"]
+    assert df.select(TX.analyze(F.col("t"))).first()[0] == ["wireless", "headphones", "earphones", "earbuds",
+                                                            *group, *group]
+    pos = df.select(TX.analyze_positions(F.col("t"))).first()[0]
+    assert [p.pos for p in pos] == [1, 2, 2, 2, 5, 5, 5, 5, 6, 6, 6, 6]
 
 
 def test_fuzzy_main_search(spark):
@@ -71,6 +76,26 @@ def test_synonyms_match(spark):
     assert 1 in hits[0] and 3 in hits[1]
 
 
+def test_synonyms_keep_their_spelling(spark):
+    """Parts and misspellings of any word of a group find the others' products."""
+    D = _docs(spark, [(6, "Notebook Stand", "Aluminium", ["Office"], "39.00")])
+    ix = SE.product_index(D)
+    hits = _hits(SE.autocomplete(ix, _queries(spark, ["smartp", "noteb", "mobile", "computer st"])))
+    assert hits == {0: {2}, 1: {3, 6}, 2: {2}, 3: {6}}
+    q = _queries(spark, ["notebok", "notebook", "mobil"])
+    for search in (SE.name_fuzzy, SE.name_simple_fuzzy):
+        assert _hits(search(ix, q)) == {0: {3, 6}, 1: {3, 6}, 2: {2}}
+
+
+def test_phrase_score_follows_the_terms(spark):
+    """A phrase of rarer words scores higher than one of common words."""
+    D = _docs(spark, [(i, "Plain Cable", "", ["Audio"], "9.00") for i in range(6, 12)]
+              + [(12, "Rare Cable", "", ["Audio"], "9.00")])
+    ix = SE.product_index(D)
+    best = {r.query_id: r.score for r in SE.autocomplete(ix, _queries(spark, ["plain cab", "rare cab"])).collect()}
+    assert best[1] > best[0]
+
+
 def test_autocomplete_prefixes(spark):
     D = _docs(spark)
     ix = SE.product_index(D)

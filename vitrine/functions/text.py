@@ -1,8 +1,10 @@
 """Text analysis as Column expressions.
 
-``product_search`` analyzer: word tokens -> lowercase -> ASCII folding ->
-synonyms -> stop words. Everything is a JVM-side array expression; the fold
-table is generated once from Unicode decompositions (a rule, not a list).
+Index analyzer: word tokens -> lowercase -> ASCII folding -> synonyms (every
+word of a group, at the same position) -> stop words. The query analyzer is the
+same without synonyms: a typed word, or a part or a misspelling of it, meets the
+index under its own spelling. Everything is a JVM-side array expression; the
+fold table is generated once from Unicode decompositions (a rule, not a list).
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The index's synonym groups (every word of a group matches
-# every other; we index the group's first word) and the default English stop
+# every other: the index holds them all) and the default English stop
 # word set of the `stop` token filter.
 SYNONYM_GROUPS = [
     ["phone", "mobile", "smartphone", "cell"],
@@ -52,7 +54,6 @@ def _fold_table() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _fold_table()
-SYNONYM_CANON = {w: g[0] for g in SYNONYM_GROUPS for w in g}
 
 
 def _c(x) -> Column:
@@ -68,9 +69,9 @@ def fold(s: Column) -> Column:
 
 def _synonym_map() -> Column:
     items = []
-    for w, canon in SYNONYM_CANON.items():
-        if w != canon:
-            items += [F.lit(w), F.lit(canon)]
+    for group in SYNONYM_GROUPS:
+        for word in group:
+            items += [F.lit(word), F.array(*map(F.lit, group))]
     return F.create_map(*items)
 
 
@@ -81,27 +82,36 @@ def raw_tokens(text) -> Column:
     return F.regexp_extract_all(lowered, F.lit(f"({TOKEN_PATTERN})"), 1)
 
 
-def canonical(term: Column) -> Column:
-    """A synonym's group representative (or the term itself)."""
-    return F.coalesce(_synonym_map()[term], term)
+def with_synonyms(term: Column) -> Column:
+    """Every word of the term's synonym group (or the term alone): array."""
+    return F.coalesce(_synonym_map()[term], F.array(term))
 
 
 def is_stop(term: Column) -> Column:
     return term.isin(STOP_WORDS)
 
 
+def analyze_query(text) -> Column:
+    """X1 of a query: terms as typed (stop words removed): array<string>."""
+    return F.filter(raw_tokens(text), lambda t: ~is_stop(t))
+
+
+def analyze_query_positions(text) -> Column:
+    """``analyze_query`` with positions: array<struct<pos:int, term:string>>;
+    removed stop words leave gaps in positions, as the index does."""
+    with_pos = F.transform(raw_tokens(text), lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
+    return F.filter(with_pos, lambda s: ~is_stop(s["term"]))
+
+
 def analyze(text) -> Column:
-    """Analyzed terms (stop words removed): array<string>."""
-    toks = F.transform(raw_tokens(text), canonical)
-    return F.filter(toks, lambda t: ~is_stop(t))
+    """Indexed terms, synonyms included: array<string>."""
+    return F.flatten(F.transform(analyze_query(text), with_synonyms))
 
 
 def analyze_positions(text) -> Column:
-    """X1 with positions: array<struct<pos:int, term:string>>; removed stop
-    words leave gaps in positions, as the index does."""
-    toks = F.transform(raw_tokens(text), canonical)
-    with_pos = F.transform(toks, lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
-    return F.filter(with_pos, lambda s: ~is_stop(s["term"]))
+    """X1 with positions; the words of a synonym group share theirs."""
+    return F.flatten(F.transform(analyze_query_positions(text), lambda s: F.transform(
+        with_synonyms(s["term"]), lambda t: F.struct(s["pos"].alias("pos"), t.alias("term")))))
 
 
 def analyze_sku(sku) -> Column:

@@ -9,11 +9,12 @@ same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import features as FX
 from vitrine.operators import quality as Q
+from vitrine.session import checkpoint_dir
 from vitrine.sources import schemas as SC
 
 JSON_OPTS = {"timestampNTZFormat": SC.JSON_TIME_FORMAT, "timestampFormat": SC.JSON_TIME_FORMAT}
@@ -79,46 +80,83 @@ def create_products(P: DataFrame, req: DataFrame, as_of: Column
     return P.unionByName(new.select(*P.columns)), events, rejects
 
 
+def _newest(field: str) -> Column:
+    """The field's value in the last request that gives one."""
+    return F.max_by(field, F.when(F.col(field).isNotNull(), F.col("request_id")))
+
+
+def _running(good: DataFrame, P: DataFrame) -> DataFrame:
+    """Each accepted request with the product's row as it is after it. A
+    product may have a third of the requests, so no window holds all of one:
+    requests are range-partitioned by (id, request_id), a window runs within
+    (id, partition), and what earlier partitions leave (at most one row per id
+    and partition) is carried in."""
+    spark = good.sparkSession
+    checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = (good.repartitionByRange(n, "id", "request_id").withColumn("_pid", F.spark_partition_id())
+            .checkpoint(eager=True))                       # partition numbers stay as they are
+    left = rows.groupBy("id", "_pid").agg(*[_newest(c).alias(c) for c in PRODUCT_FIELDS],
+                                          F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.select("id", "_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"),
+                       *[F.last(c, ignorenulls=True).over(earlier).alias(f"_{c}") for c in PRODUCT_FIELDS])
+    left = left.join(P, "id").select(
+        "id", "_pid", *[F.coalesce(f"_{c}", c).alias(f"_{c}") for c in PRODUCT_FIELDS],
+        (F.col("version") + F.col("_n")).alias("_version"))
+    here = Window.partitionBy("id", "_pid").orderBy("request_id").rowsBetween(Window.unboundedPreceding, 0)
+    changed = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in PRODUCT_FIELDS]),
+                       lambda x: x.isNotNull())
+    return rows.join(left, ["id", "_pid"]).select(
+        "id", "request_id", changed.alias("_changed"),
+        *[F.coalesce(F.last(c, ignorenulls=True).over(here), f"_{c}").alias(c) for c in PRODUCT_FIELDS],
+        (F.col("_version") + F.row_number().over(here)).alias("version"))
+
+
 def update_products(P: DataFrame, req: DataFrame, as_of: Column
                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Partial update; a null request field keeps the old value. Unknown
-    id -> PRODUCT_NOT_FOUND; a changed SKU that another product has ->
-    PRODUCT_ALREADY_EXISTS (no check when unchanged). One request per id: the
-    last one (highest request_id) wins. Emits ProductUpdated with the full new
-    row and the changed field names."""
-    checked = Q.validate_update(req)
-    ok, bad = Q.split_valid(checked)
-    last = ok.groupBy("id").agg(F.max_by(F.struct(*ok.columns), "request_id").alias("r")).select("r.*")
-    r = last.select(*[F.col(c).alias(f"r_{c}") for c in last.columns])
-    j = r.join(P, r.r_id == P.id, "left")
-    missing = j.filter(F.col("id").isNull()).select(
-        F.col("r_request_id").alias("request_id"), F.lit(Q.PRODUCT_NOT_FOUND).alias("code"),
-        F.col("r_id").cast("string").alias("detail"))
-    found = j.filter(F.col("id").isNotNull())
-    new_sku = FX.normalise_sku("r_sku")
-    changed_sku = F.col("r_sku").isNotNull() & (new_sku != F.col("sku"))
-    taken = P.select(F.col("sku").alias("_taken"), F.col("id").alias("_owner"))
-    found = found.join(taken, (new_sku == F.col("_taken")) & changed_sku, "left")
-    conflict = F.col("_owner").isNotNull() & (F.col("_owner") != F.col("id"))
+    """Partial updates; a null request field keeps the old value. Requests
+    of one product apply in the order of ``request_id`` (unique, not null),
+    each raising the version by one and emitting ProductUpdated with the full
+    row after it and the changed field names. Broken rules -> VALIDATION_ERROR;
+    unknown id -> PRODUCT_NOT_FOUND; an SKU that another product had before the
+    batch, or that another product asked for earlier in it ->
+    PRODUCT_ALREADY_EXISTS (no check against the product itself). A rejected
+    request changes nothing."""
+    ok, bad = Q.split_valid(Q.validate_update(req))
+    types = dict(P.dtypes)
+    asked = ok.select("request_id", "id", *[
+        (FX.normalise_sku("sku") if c == "sku" else F.col(c).cast(types[c])).alias(c) for c in PRODUCT_FIELDS])
+    ids = P.select("id", F.lit(True).alias("_known"))
+    asked = asked.join(ids, "id", "left")
+    missing = asked.filter(F.col("_known").isNull()).select(
+        "request_id", F.lit(Q.PRODUCT_NOT_FOUND).alias("code"), F.col("id").cast("string").alias("detail"))
+    found = asked.filter(F.col("_known")).drop("_known")
+    # one owner per SKU asked for: who has it, else who asks first (a min, reduced map-side)
+    first = (found.filter(F.col("sku").isNotNull()).groupBy("sku")
+             .agg(F.min(F.struct("request_id", "id"))["id"].alias("_first")))
+    owner = (first.join(P.select("sku", F.col("id").alias("_has")), "sku", "left")
+             .select("sku", F.coalesce("_has", "_first").alias("_owner")))
+    found = found.join(owner, "sku", "left")
+    conflict = F.coalesce(F.col("_owner") != F.col("id"), F.lit(False))
     conflicts = found.filter(conflict).select(
-        F.col("r_request_id").alias("request_id"), F.lit(Q.PRODUCT_ALREADY_EXISTS).alias("code"),
-        new_sku.alias("detail"))
-    good = found.filter(~conflict)
-    merged = {c: F.coalesce(F.col(f"r_{c}").cast(dict(P.dtypes)[c]) if c != "sku" else new_sku, F.col(c))
-              for c in PRODUCT_FIELDS}
-    changed = F.filter(F.array(*[F.when(F.col(f"r_{c}").isNotNull(), F.lit(c)) for c in PRODUCT_FIELDS]),
-                       lambda x: x.isNotNull())
-    upd = good.select(
-        "id", *[merged[c].alias(c) for c in PRODUCT_FIELDS], "created_at",
-        as_of.alias("updated_at"), (F.col("version") + 1).alias("version"),
-        "click_count", "purchase_count",
-        FX.popularity("click_count", "purchase_count", "entity").alias("popularity_score"),
-        changed.alias("_changed"))
+        "request_id", F.lit(Q.PRODUCT_ALREADY_EXISTS).alias("code"), F.col("sku").alias("detail"))
+    good = found.filter(~conflict).drop("_owner")
+
+    final = good.groupBy("id").agg(*[_newest(c).alias(f"_{c}") for c in PRODUCT_FIELDS],
+                                   F.count(F.lit(1)).alias("_n"))
+    touched = F.col("_n").isNotNull()
+    merged = {c: F.coalesce(f"_{c}", c) for c in PRODUCT_FIELDS} | {
+        "updated_at": F.when(touched, as_of).otherwise(F.col("updated_at")),
+        "version": F.col("version") + F.coalesce("_n", F.lit(0)),
+        "popularity_score": F.when(touched, FX.popularity("click_count", "purchase_count", "entity"))
+        .otherwise(F.col("popularity_score"))}
+    newP = P.join(final, "id", "left").select(*[merged.get(c, F.col(c)).alias(c) for c in P.columns])
+
     payload = F.to_json(F.struct(
-        F.col("id").alias("productId"), *PRODUCT_FIELDS, F.col("updated_at").alias("updatedAt"),
+        F.col("id").alias("productId"), *PRODUCT_FIELDS, as_of.alias("updatedAt"),
         F.lit("system").alias("updatedBy"), F.col("_changed").alias("changedFields")), JSON_OPTS)
-    events = _outbox_rows(upd, "ProductUpdated", payload, as_of, _event_id(2, F.col("id")))
-    newP = P.join(upd.select("id"), "id", "left_anti").unionByName(upd.select(*P.columns))
+    events = _outbox_rows(_running(good, P), "ProductUpdated", payload, as_of, _event_id(2, F.col("request_id")))
     rejects = (bad.select("request_id", "code", F.to_json("errors").alias("detail"))
                .unionByName(missing).unionByName(conflicts))
     return newP, events, rejects

@@ -12,9 +12,8 @@ by term, so the join is a broadcast or a term-partitioned shuffle; scores are
 summed with partial aggregates per (query, doc).
 
 Scoring is BM25 (k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5)/(df + 0.5))),
-rounded to 4 places on output. A fuzzy hit is weighted 1 - edits/min(len) and
-each query term expands to at most 50 dictionary terms (fewest edits, then
-term order), like the index's max_expansions. These are our definitions.
+rounded to 4 places on output; a field's length counts synonyms too. A fuzzy hit
+is weighted 1 - edits/min(len). These are our definitions.
 """
 
 from __future__ import annotations
@@ -100,13 +99,21 @@ def write_index(ix: Index, path: str) -> None:
     ix.field_stats.write.mode("overwrite").parquet(f"{path}/field_stats")
 
 
-def bm25(tf: Column, df: Column, n_docs: Column, dl: Column, avgdl: Column) -> Column:
-    """BM25 term score; a null dl (keyword field) means no length norm."""
-    idf = F.log(F.lit(1.0) + (n_docs - df + F.lit(0.5)) / (df + F.lit(0.5)))
+def idf(df: Column, n_docs: Column) -> Column:
+    return F.log(F.lit(1.0) + (n_docs - df + F.lit(0.5)) / (df + F.lit(0.5)))
+
+
+def weighted(tf: Column, idf: Column, dl: Column, avgdl: Column) -> Column:
+    """BM25 from the idf; a null dl (keyword field) means no length norm."""
     norm = F.coalesce(F.lit(1.0 - B) + F.lit(B) * dl / avgdl, F.lit(1.0))
     return idf * (tf * F.lit(K1 + 1.0)) / (tf + F.lit(K1) * norm)
 
 
+def bm25(tf: Column, df: Column, n_docs: Column, dl: Column, avgdl: Column) -> Column:
+    """BM25 score of one term."""
+    return weighted(tf, idf(df, n_docs), dl, avgdl)
+
+
 def query_terms(queries: DataFrame, field: str, kind: str, raw: bool = False) -> DataFrame:
     """(query_id, field, qterm) for one field: analysed text terms, the whole
     query for keyword fields, or the raw query text when ``raw`` (X11)."""
@@ -114,7 +121,7 @@ def query_terms(queries: DataFrame, field: str, kind: str, raw: bool = False) ->
     if raw:
         arr = F.array(q)
     elif kind == "text":
-        arr = F.array_distinct(TX.analyze(q))
+        arr = F.array_distinct(TX.analyze_query(q))
     elif kind == "sku":
         arr = F.array(TX.analyze_sku(q))
     else:
@@ -277,7 +284,7 @@ def prefix_table(dict_terms: DataFrame) -> DataFrame:
     a prefix lookup is an equi-join instead of a LIKE scan."""
     t = F.col("term")
     n = F.least(F.length(t), F.lit(PREFIX_MAX))
-    return dict_terms.select("term", F.explode(F.transform(
+    return dict_terms.select(*dict_terms.columns, F.explode(F.transform(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: t.substr(F.lit(1), i))).alias("prefix"))
 
 
@@ -286,14 +293,14 @@ def autocomplete(ix: Index, queries: DataFrame, field: str = "name",
     """Phrase-prefix: the query's leading terms as a phrase (relative
     positions kept, stop-word gaps included) and its last term as a prefix
     expanded to all dictionary terms it begins, or the first ``max_expansions``
-    in term order.
-    Returns (query_id, doc_id, score)."""
-    qp = (queries.select("query_id", F.posexplode(TX.analyze_positions(F.col("q"))).alias("i", "t"))
+    in term order. The score is BM25 of the phrase's frequency, with the sum of
+    the idf of all terms it may consist of. Returns (query_id, doc_id, score)."""
+    qp = (queries.select("query_id", F.posexplode(TX.analyze_query_positions(F.col("q"))).alias("i", "t"))
           .select("query_id", "i", F.col("t.pos").alias("qpos"), F.col("t.term").alias("qterm")))
     last = qp.groupBy("query_id").agg(F.max("i").alias("last_i"), F.min("qpos").alias("p0"),
                                       F.count(F.lit(1)).alias("n"))
     qp = qp.join(last, "query_id").withColumn("rel", F.col("qpos") - F.col("p0"))
-    dict_f = ix.term_stats.filter(F.col("field") == field).select("term")
+    dict_f = ix.term_stats.filter(F.col("field") == field).select("term", "df")
     exact = (qp.filter(F.col("i") < F.col("last_i"))
              .join(dict_f, F.col("qterm") == F.col("term")))
     prefixes = prefix_table(dict_f)
@@ -307,16 +314,18 @@ def autocomplete(ix: Index, queries: DataFrame, field: str = "name",
     terms = exact.unionByName(pref)
     post = (ix.postings.filter(F.col("field") == field)
             .select("term", "doc_id", "tf", F.explode("positions").alias("dpos")))
-    hits = terms.join(post, "term").withColumn("start", F.col("dpos") - F.col("rel"))
+    hits = terms.drop("df").join(post, "term").withColumn("start", F.col("dpos") - F.col("rel"))
     phr = (hits.groupBy("query_id", "doc_id", "start", "n")
            .agg(F.count_distinct("i").alias("k"))
            .filter(F.col("k") == F.col("n")))
     matched = phr.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("freq"))
-    # score: BM25 of the phrase frequency with the field's length norm
-    m = (matched.withColumn("field", F.lit(field))
+    stats = F.broadcast(ix.field_stats.filter(F.col("field") == field))          # one row
+    idfs = (terms.withColumn("field", F.lit(field)).join(stats, "field")
+            .groupBy("query_id").agg(F.sum(idf(F.col("df"), F.col("n_docs"))).alias("idf")))
+    m = (matched.join(idfs, "query_id").withColumn("field", F.lit(field))
          .join(ix.doc_len, ["field", "doc_id"])
-         .join(F.broadcast(ix.field_stats), "field"))          # one row per field
-    s = bm25(F.col("freq"), F.lit(1.0), F.col("n_docs"), F.col("dl"), F.col("avgdl"))
+         .join(stats, "field"))
+    s = weighted(F.col("freq"), F.col("idf"), F.col("dl"), F.col("avgdl"))
     return m.select("query_id", "doc_id", s.alias("score"))
 
 

@@ -8,9 +8,14 @@ joins). Only meant for the small correctness tables.
 
 from __future__ import annotations
 
-from vitrine.functions.text import MULTI_CHAR_FOLDS, STOP_WORDS, SYNONYM_CANON
-
-_SYN = "MAP {" + ", ".join(f"'{w}': '{c}'" for w, c in SYNONYM_CANON.items() if w != c) + "}"
+from vitrine.functions.text import MULTI_CHAR_FOLDS, STOP_WORDS
+
+# What each word of the contract's synonym groups is indexed as.
+_PHONE = "['phone', 'mobile', 'smartphone', 'cell']"
+_LAPTOP = "['laptop', 'computer', 'notebook']"
+_HEADPHONES = "['headphones', 'earphones', 'earbuds']"
+_TV = "['tv', 'television']"
+_CAR = "['car', 'automobile', 'vehicle']"
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
@@ -25,9 +30,24 @@ def sql_raw_tokens(x: str) -> str:
     return f"regexp_extract_all({sql_fold(x)}, '[\\p{{L}}\\p{{N}}]+')"
 
 
+def sql_synonyms(t: str) -> str:
+    """The words that the word ``t`` is indexed as."""
+    return "CASE " + " ".join(f"WHEN list_contains({g}, {t}) THEN {g}" for g in (
+        _PHONE, _LAPTOP, _HEADPHONES, _TV, _CAR)) + f" ELSE [{t}] END"
+
+
+def sql_analyze_query(x: str) -> str:
+    return f"list_filter({sql_raw_tokens(x)}, lambda t: NOT list_contains({_STOP}, t))"
+
+
 def sql_analyze(x: str) -> str:
-    return (f"list_filter(list_transform({sql_raw_tokens(x)}, lambda t: coalesce({_SYN}[t], t)), "
-            f"lambda t: NOT list_contains({_STOP}, t))")
+    return f"flatten(list_transform({sql_analyze_query(x)}, lambda t: {sql_synonyms('t')}))"
+
+
+def sql_positions(x: str) -> str:
+    """Rows (pos, term) of a text as typed, stop words left out."""
+    return (f"unnest(list_filter(list_transform({sql_raw_tokens(x)}, "
+            f"lambda t, i: {{'pos': i - 1, 'term': t}}), lambda s: NOT list_contains({_STOP}, s.term)))")
 
 
 def sql_analyze_sku(x: str) -> str:
@@ -38,8 +58,12 @@ def _d(v: float) -> str:
     return f"CAST({v!r} AS DOUBLE)"
 
 
-def sql_bm25(tf="tf", df="df", n="n_docs", dl="dl", avgdl="avgdl") -> str:
-    idf = f"ln({_d(1.0)} + (CAST({n} - {df} AS DOUBLE) + {_d(0.5)}) / (CAST({df} AS DOUBLE) + {_d(0.5)}))"
+def sql_idf(df="df", n="n_docs") -> str:
+    return f"ln({_d(1.0)} + (CAST({n} - {df} AS DOUBLE) + {_d(0.5)}) / (CAST({df} AS DOUBLE) + {_d(0.5)}))"
+
+
+def sql_bm25(tf="tf", df="df", n="n_docs", dl="dl", avgdl="avgdl", idf: str | None = None) -> str:
+    idf = idf or sql_idf(df, n)
     norm = f"coalesce({_d(0.25)} + {_d(0.75)} * {dl} / {avgdl}, {_d(1.0)})"
     return f"{idf} * (CAST({tf} AS DOUBLE) * {_d(2.2)}) / (CAST({tf} AS DOUBLE) + {_d(1.2)} * {norm})"
 
@@ -60,7 +84,7 @@ def query_terms_sql(queries: str, field: str, kind: str, raw: bool) -> str:
     if raw or kind == "keyword_array":
         arr = "[q]"
     elif kind == "text":
-        arr = f"list_distinct({sql_analyze('q')})"
+        arr = f"list_distinct({sql_analyze_query('q')})"
     else:
         arr = f"[{sql_analyze_sku('q')}]"
     return (f"SELECT query_id, '{field}' AS field, qterm FROM (SELECT query_id, unnest({arr}) AS qterm "

@@ -181,11 +181,15 @@ FROM create_chk_v WHERE errors = ''""")
 
 _view("update_req_v", (), """
 SELECT e.event_id AS request_id, e.user_id * 14 + e.event_id % 14 AS id,
-       CASE WHEN e.event_id % 3 = 0 THEN 'Renamed ' || CAST(e.user_id * 14 + e.event_id % 14 AS VARCHAR) END AS name,
-       CASE WHEN e.event_id % 2 = 0 THEN CAST(CAST((e.event_id % 500) * 100 + 99 AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,4))
+       CASE WHEN e.event_id % 3 = 0 THEN concat_ws(' ', 'Renamed', e.user_id * 14 + e.event_id % 14, 'by', e.event_id)
+            END AS name,
+       CASE WHEN e.event_id % 11 = 0 THEN CAST(-1 AS DECIMAL(18,4))
+            WHEN e.event_id % 2 = 0 THEN CAST(CAST((e.event_id % 500) * 100 + 99 AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,4))
             END AS price,
        CASE WHEN e.event_id % 7 = 0
-            THEN upper(substr(p.p_type, 1, 3)) || '-' || lpad(CAST(p.p_partkey AS VARCHAR), 6, '0') END AS sku
+            THEN upper(substr(p.p_type, 1, 3)) || '-' || lpad(CAST(p.p_partkey AS VARCHAR), 6, '0')
+            WHEN e.event_id % 7 = 3 THEN 'MOVED-' || CAST((e.user_id * 14 + e.event_id % 14) % 40 AS VARCHAR) END AS sku,
+       CASE WHEN e.event_id % 13 = 0 THEN ['ftp://img'] END AS images
 FROM events e LEFT JOIN part p ON p.p_partkey - 1 = e.user_id * 14 + e.event_id % 14
 WHERE e.event_type = 'signup'""")
 

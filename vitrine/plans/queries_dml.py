@@ -65,49 +65,61 @@ def q_create_events(spark, sf):
 
 
 UPDATE_SQL = """
-, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY request_id DESC) AS rn
-                          FROM update_req_v) WHERE rn = 1),
-j AS (SELECT l.request_id, l.id AS rid, l.name AS r_name, l.price AS r_price, l.sku AS r_sku, p.*
-      FROM last l LEFT JOIN product_v p ON p.id = l.id),
-j2 AS (SELECT j.*, (j.r_sku IS NOT NULL AND upper(trim(j.r_sku)) <> j.sku
-                    AND EXISTS (SELECT 1 FROM product_v q WHERE q.sku = upper(trim(j.r_sku)) AND q.id <> j.id)) AS conflict
-       FROM j)"""
+, asked AS (SELECT r.*, upper(trim(r.sku)) AS new_sku, p.id IS NOT NULL AS known,
+                   coalesce(r.price <= 0, false)
+                   OR len(list_filter(coalesce(r.images, []), lambda x: NOT regexp_matches(x, '^https?://'))) > 0 AS broken
+            FROM update_req_v r LEFT JOIN product_v p ON p.id = r.id),
+firsts AS (SELECT new_sku, arg_min(id, request_id) AS first_id FROM asked
+           WHERE new_sku IS NOT NULL AND known AND NOT broken GROUP BY new_sku),
+j AS (SELECT a.*, CASE WHEN broken THEN 'VALIDATION_ERROR' WHEN NOT known THEN 'PRODUCT_NOT_FOUND'
+                       WHEN coalesce(q.id, f.first_id) <> a.id THEN 'PRODUCT_ALREADY_EXISTS' END AS code
+      FROM asked a LEFT JOIN product_v q ON q.sku = a.new_sku LEFT JOIN firsts f ON f.new_sku = a.new_sku),
+step AS (SELECT j.id, j.request_id, j.name AS r_name, j.price AS r_price, j.new_sku AS r_sku,
+                coalesce(last_value(j.name IGNORE NULLS) OVER w, p.name) AS name,
+                coalesce(last_value(CAST(j.price AS DECIMAL(10,2)) IGNORE NULLS) OVER w, p.price) AS price,
+                coalesce(last_value(j.new_sku IGNORE NULLS) OVER w, p.sku) AS sku,
+                p.version + row_number() OVER w AS version
+         FROM j JOIN product_v p ON p.id = j.id WHERE code IS NULL
+         WINDOW w AS (PARTITION BY j.id ORDER BY j.request_id)),
+fin AS (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY id ORDER BY request_id DESC) = 1)"""
 
 
 @register("update_products", UPDATE_SQL + """
-SELECT id, coalesce(r_name, name) AS name, CAST(CAST(coalesce(CAST(r_price AS DECIMAL(10,2)), price) AS DECIMAL(10,2)) AS DOUBLE) AS price,
-       coalesce(upper(trim(r_sku)), sku) AS sku, version + 1 AS version,
-       round(CAST(click_count AS DOUBLE) * 0.3 + CAST(purchase_count AS DOUBLE) * 0.7, 4) AS popularity_score
-FROM j2 WHERE id IS NOT NULL AND NOT conflict""", ("update_req_v", "product_v"))
+SELECT p.id, coalesce(f.name, p.name) AS name, CAST(CAST(coalesce(f.price, p.price) AS DECIMAL(10,2)) AS DOUBLE) AS price,
+       coalesce(f.sku, p.sku) AS sku, CAST(coalesce(f.version, p.version) AS BIGINT) AS version,
+       round(CASE WHEN f.id IS NULL THEN p.popularity_score
+                  ELSE CAST(click_count AS DOUBLE) * 0.3 + CAST(purchase_count AS DOUBLE) * 0.7 END, 4) AS popularity_score
+FROM product_v p LEFT JOIN fin f ON f.id = p.id""", ("update_req_v", "product_v"))
 def q_update_products(spark, sf):
-    P = V.product(spark, sf)
-    newP, events, _ = DM.update_products(P, V.update_requests(spark, sf), V.as_of())
-    changed = events.select(F.col("aggregate_id").cast("bigint").alias("id"))
-    return newP.join(changed, "id", "left_semi").select(
-        "id", "name", money("price").alias("price"), "sku", "version",
-        F.round("popularity_score", 4).alias("popularity_score"))
+    """The whole catalogue after the batch."""
+    newP, _, _ = DM.update_products(V.product(spark, sf), V.update_requests(spark, sf), V.as_of())
+    return newP.select("id", "name", money("price").alias("price"), "sku", "version",
+                       F.round("popularity_score", 4).alias("popularity_score"))
 
 
 @register("update_rejections", UPDATE_SQL + """
-SELECT CASE WHEN id IS NULL THEN 'PRODUCT_NOT_FOUND' ELSE 'PRODUCT_ALREADY_EXISTS' END AS code,
-       count(*) AS rejected
-FROM j2 WHERE id IS NULL OR conflict GROUP BY 1""", ("update_req_v", "product_v"))
+SELECT request_id, code FROM j WHERE code IS NOT NULL""", ("update_req_v", "product_v"))
 def q_update_rejections(spark, sf):
     _, _, rejects = DM.update_products(V.product(spark, sf), V.update_requests(spark, sf), V.as_of())
-    return Q.rejection_summary(rejects)
+    return rejects.select("request_id", "code")
 
 
 @register("update_events", UPDATE_SQL + """
-SELECT CAST(id AS VARCHAR) AS aggregate_id,
+SELECT 2000000000000000 + request_id AS event_id, CAST(id AS VARCHAR) AS aggregate_id, name, sku,
+       CAST(CAST(price AS DECIMAL(10,2)) AS DOUBLE) AS price,
        array_to_string(list_filter([CASE WHEN r_name IS NOT NULL THEN 'name' END,
                                     CASE WHEN r_price IS NOT NULL THEN 'price' END,
                                     CASE WHEN r_sku IS NOT NULL THEN 'sku' END], lambda x: x IS NOT NULL), ',')
            AS changed_fields
-FROM j2 WHERE id IS NOT NULL AND NOT conflict""", ("update_req_v", "product_v"))
+FROM step""", ("update_req_v", "product_v"))
 def q_update_events(spark, sf):
+    """One event per accepted request, with the row as it is after it."""
     _, events, _ = DM.update_products(V.product(spark, sf), V.update_requests(spark, sf), V.as_of())
-    fields = F.from_json(F.get_json_object("event_data", "$.changedFields"), "array<string>")
-    return events.select("aggregate_id", F.array_join(fields, ",").alias("changed_fields"))
+    field = lambda c: F.get_json_object("event_data", f"$.{c}")
+    fields = F.from_json(field("changedFields"), "array<string>")
+    return events.select(F.col("id").alias("event_id"), "aggregate_id", field("name").alias("name"),
+                         field("sku").alias("sku"), field("price").cast("double").alias("price"),
+                         F.array_join(fields, ",").alias("changed_fields"))
 
 
 DELETE_SQL = """

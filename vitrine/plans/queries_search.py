@@ -9,30 +9,22 @@ from vitrine.functions import text as TX
 from vitrine.operators import search as SE
 from vitrine.operators import sync as S
 from vitrine.plans import views as V
-from vitrine.plans.oracle_text import _STOP as STOP
-from vitrine.plans.oracle_text import _SYN as SYN
-from vitrine.plans.oracle_text import (index_ctes, score_ctes, sql_analyze, sql_analyze_sku,
-                                       sql_bm25, sql_raw_tokens, top_k_sql)
+from vitrine.plans.oracle_text import (index_ctes, score_ctes, sql_analyze, sql_analyze_query, sql_analyze_sku,
+                                       sql_bm25, sql_idf, sql_positions, sql_raw_tokens, sql_synonyms, top_k_sql)
 from vitrine.plans.registry import register
 
 AUTOCOMPLETE_SQL = f"""
-, npos AS (SELECT p_partkey AS doc_id, unnest(list_filter(list_transform({sql_raw_tokens('p_name')},
-               lambda t, i: {{'pos': i - 1, 'term': coalesce({SYN}[t], t)}}), lambda s: NOT list_contains({STOP}, s.term))) AS s
-           FROM part),
-np AS (SELECT doc_id, s.pos AS dpos, s.term AS term FROM npos),
-dict AS (SELECT DISTINCT term FROM np),
-qpos AS (SELECT query_id, unnest(list_filter(list_transform({sql_raw_tokens('q')},
-               lambda t, i: {{'pos': i - 1, 'term': coalesce({SYN}[t], t)}}), lambda s: NOT list_contains({STOP}, s.term))) AS s
-         FROM prefix_req_v),
+, npos AS (SELECT p_partkey AS doc_id, {sql_positions('p_name')} AS s FROM part),
+np AS (SELECT doc_id, s.pos AS dpos, unnest({sql_synonyms('s.term')}) AS term FROM npos),
+dict AS (SELECT term, count(DISTINCT doc_id) AS df FROM np GROUP BY term),
+qpos AS (SELECT query_id, {sql_positions('q')} AS s FROM prefix_req_v),
 qp0 AS (SELECT query_id, s.pos AS qpos, s.term AS qterm,
                row_number() OVER (PARTITION BY query_id ORDER BY s.pos) - 1 AS i FROM qpos),
 lst AS (SELECT query_id, max(i) AS last_i, min(qpos) AS p0, count(*) AS n FROM qp0 GROUP BY query_id),
 qp AS (SELECT qp0.*, lst.last_i, lst.n, qp0.qpos - lst.p0 AS rel FROM qp0 JOIN lst USING (query_id)),
-ex AS (SELECT qp.query_id, qp.i, qp.rel, qp.n, dict.term FROM qp JOIN dict ON dict.term = qp.qterm WHERE qp.i < qp.last_i),
-pref AS (SELECT query_id, i, rel, n, term FROM (
-           SELECT qp.query_id, qp.i, qp.rel, qp.n, dict.term,
-                  row_number() OVER (PARTITION BY qp.query_id ORDER BY dict.term) AS r
-           FROM qp JOIN dict ON starts_with(dict.term, qp.qterm) WHERE qp.i = qp.last_i)),
+ex AS (SELECT qp.query_id, qp.i, qp.rel, qp.n, dict.term, dict.df FROM qp JOIN dict ON dict.term = qp.qterm WHERE qp.i < qp.last_i),
+pref AS (SELECT qp.query_id, qp.i, qp.rel, qp.n, dict.term, dict.df
+         FROM qp JOIN dict ON starts_with(dict.term, qp.qterm) WHERE qp.i = qp.last_i),
 terms AS (SELECT * FROM ex UNION ALL SELECT * FROM pref),
 hits AS (SELECT t.query_id, np.doc_id, np.dpos - t.rel AS start, t.n, t.i FROM terms t JOIN np ON np.term = t.term),
 phr AS (SELECT query_id, doc_id, start FROM hits GROUP BY query_id, doc_id, start, n HAVING count(DISTINCT i) = n),
@@ -151,7 +143,7 @@ def q_search_products(spark, sf):
 
 
 @register("fuzzy_expansions", f"""
-, qt AS (SELECT DISTINCT qterm FROM (SELECT unnest(list_distinct({sql_analyze('q')})) AS qterm FROM search_req_v)
+, qt AS (SELECT DISTINCT qterm FROM (SELECT unnest(list_distinct({sql_analyze_query('q')})) AS qterm FROM search_req_v)
          WHERE length(qterm) > 0),
 dict AS (SELECT DISTINCT unnest({sql_analyze('p_name')}) AS term FROM part),
 c AS (SELECT qterm, term, CASE WHEN qterm = term THEN 0 ELSE damerau_levenshtein(qterm, term) END AS edits,
@@ -233,8 +225,10 @@ def q_autocomplete(spark, sf):
 
 
 @register("suggest", AUTOCOMPLETE_SQL + PIX + f""",
-sc AS (SELECT m.query_id, m.doc_id, {sql_bm25('m.freq', '1.0', 'fs.n_docs', 'l.dl', 'fs.avgdl')} AS score
-       FROM matched m JOIN ix_len l ON l.field = 'name' AND l.doc_id = m.doc_id JOIN ix_fs fs ON fs.field = 'name'),
+sc AS (SELECT m.query_id, m.doc_id, {sql_bm25('m.freq', dl='l.dl', avgdl='fs.avgdl', idf='w.idf')} AS score
+       FROM matched m JOIN (SELECT query_id, sum({sql_idf('df', 'n_docs')}) AS idf FROM terms, ix_fs
+                            WHERE field = 'name' GROUP BY query_id) w ON w.query_id = m.query_id
+       JOIN ix_len l ON l.field = 'name' AND l.doc_id = m.doc_id JOIN ix_fs fs ON fs.field = 'name'),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank
                        FROM sc) WHERE rank <= 5)
 SELECT DISTINCT t.query_id, p.name FROM top t JOIN doc_v p ON p.product_id = t.doc_id""",

@@ -284,9 +284,11 @@ def create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def update_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An update-request batch from 'signup' events: target id = user_id*14 +
-    event_id%14 (about 5% beyond the catalogue -> not found); every third
-    renames, every second reprices, every seventh moves the SKU to the SKU of
-    product id+1 (a conflict whenever that product exists)."""
+    event_id%14 (about 5% beyond the catalogue -> not found), so products get
+    several requests; every third renames, every second reprices, every seventh
+    moves the SKU to the SKU of product id+1 (a conflict whenever that product
+    exists), every seventh to one of 40 new SKUs (the first asker gets it);
+    every 11th has a bad price and every 13th a bad image (V2)."""
     e = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
     nxt = table(spark, sf_dir, "part").select(
         (F.col("p_partkey") - 1).alias("_prev"),
@@ -298,14 +300,16 @@ def update_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = u.join(nxt, u.id == nxt._prev, "left")
     return u.select(
         "request_id", "id",
-        F.when(i_mod(3) == 0, F.concat(F.lit("Renamed "), F.col("id").cast("string"))).alias("name"),
+        F.when(i_mod(3) == 0, F.concat_ws(" ", F.lit("Renamed"), F.col("id"), F.lit("by"), F.col("request_id"))).alias("name"),
         F.lit(None).cast("string").alias("description"),
         F.lit(None).cast("array<string>").alias("categories"),
-        F.when(i_mod(2) == 0, cents_to_money(i_mod(500) * 100 + 99, 18).cast("decimal(18,4)"))
+        F.when(i_mod(11) == 0, F.lit("-1").cast("decimal(18,4)"))
+         .when(i_mod(2) == 0, cents_to_money(i_mod(500) * 100 + 99, 18).cast("decimal(18,4)"))
          .alias("price"),
-        F.when(i_mod(7) == 0, F.col("_next_sku")).alias("sku"),
+        F.when(i_mod(7) == 0, F.col("_next_sku"))
+         .when(i_mod(7) == 3, F.concat(F.lit("MOVED-"), (F.col("id") % 40).cast("string"))).alias("sku"),
         F.lit(None).cast("map<string,string>").alias("attributes"),
-        F.lit(None).cast("array<string>").alias("images"))
+        F.when(i_mod(13) == 0, F.array(F.lit("ftp://img"))).alias("images"))
 
 
 def i_mod(n: int) -> Column:
