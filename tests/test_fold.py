@@ -67,7 +67,7 @@ def model(msgs):
                     inc = int(meta["view_increment"]) if "view_increment" in meta else 1
                 except ValueError:
                     inc = 1
-                d["clicks"] = (d["clicks"] or 0) + inc
+                d["clicks"] = int(meta["total_views"]) if "total_views" in meta else (d["clicks"] or 0) + inc
                 pop = float(meta["popularity_score"]) if "popularity_score" in meta else None
                 d["pop"] = pop if pop is not None else (d["clicks"] or 0) * 1.0 + (d["buys"] or 0) * 10.0
             else:
@@ -103,6 +103,21 @@ def test_fold_cases(spark):
     assert {r.offset for r in dropped.collect()} == {9, 15}
 
 
+def test_absolute_views_restart_the_clicks(spark):
+    msgs = [_msg(1, "ProductCreated", 1), _msg(2, "ProductViewed", 1), _msg(3, "ProductViewed", 1, meta={"total_views": "40"}),
+            _msg(4, "ProductViewed", 1), _msg(5, "ProductViewed", 2, meta={"total_views": "9"}),
+            _msg(6, "ProductCreated", 2), _msg(7, "ProductViewed", 2)]
+    M = _frame(spark, msgs)
+    for mode in ("replace", "merge"):
+        doc, _ = FO.fold_events(M, mode)
+        assert {k: v[1] for k, v in _result(doc).items()} == {1: 41, 2: 1}
+    D = spark.createDataFrame([], FO.fold_events(M)[0].schema)
+    for lo, hi in ((0, 2), (2, 4), (4, 7)):
+        D = FO.merge_batch(D, M.filter((F.col("offset") > lo) & (F.col("offset") <= hi)))
+        D = spark.createDataFrame(D.collect(), D.schema)
+    assert _result(D) == model(msgs)
+
+
 def _random_log(seed, n=60, products=4):
     rnd = random.Random(seed)
     msgs = []
@@ -117,6 +132,8 @@ def _random_log(seed, n=60, products=4):
                 meta["view_increment"] = rnd.choice(["2", "3", "bad"])
             if rnd.random() < 0.1:
                 meta["popularity_score"] = "7.25"
+            if rnd.random() < 0.15:
+                meta["total_views"] = str(rnd.randrange(100))
         if kind == "ProductPurchased" and rnd.random() < 0.3:
             meta["purchase_increment"] = "4"
         key = f"k{rnd.randrange(1, off)}" if off > 1 and rnd.random() < 0.1 else None

@@ -22,6 +22,7 @@ from vitrine.sources import schemas as SC
 LIFECYCLE = ["ProductCreated", "ProductUpdated", "ProductDeleted"]
 METRIC = ["ProductViewed", "ProductPurchased"]
 CORRUPT = "_corrupt"
+SALTS = 16                  # parts a product's metric events are dealt over
 JSON_OPTS = {"timestampNTZFormat": SC.JSON_TIME_FORMAT, "timestampFormat": SC.JSON_TIME_FORMAT}
 
 
@@ -57,10 +58,17 @@ def corrupt_events(M: DataFrame) -> DataFrame:
     return parse_events(M).filter("corrupt").select("id", "offset", "event_type", "payload")
 
 
+def _total_views() -> Column:
+    """The absolute view count (metadata total_views) that a view event gives; bad -> null."""
+    return F.when(F.col("event_type") == "ProductViewed",
+                  F.expr("try_cast(try_element_at(ev.metadata, 'total_views') AS BIGINT)"))
+
+
 def metric_increments(E: DataFrame) -> DataFrame:
-    """ST11/F17: per metric event, the view increment (metadata view_increment,
-    bad or missing -> 1), the absolute popularity_score if given, and the
-    purchase increment (purchase_increment, else quantity, else 1)."""
+    """ST11/F17: per metric event, the absolute view count (total_views) or else
+    the view increment (metadata view_increment, bad or missing -> 1), the
+    absolute popularity_score if given, and the purchase increment
+    (purchase_increment, else quantity, else 1)."""
     view_inc = F.coalesce(F.expr("try_cast(try_element_at(ev.metadata, 'view_increment') AS BIGINT)"),
                           F.lit(1).cast("bigint"))
     pop = F.expr("try_cast(try_element_at(ev.metadata, 'popularity_score') AS DOUBLE)")
@@ -68,25 +76,42 @@ def metric_increments(E: DataFrame) -> DataFrame:
                          F.col("ev.quantity").cast("bigint"), F.lit(1).cast("bigint"))
     is_view = F.col("event_type") == "ProductViewed"
     return E.select(
-        "product_id", "offset", "event_type",
-        F.when(is_view, view_inc).alias("view_inc"),
+        "product_id", "offset", "event_type", _total_views().alias("total"),
+        F.when(is_view & _total_views().isNull(), view_inc).alias("view_inc"),
         F.when(~is_view, buy_inc).alias("buy_inc"),
         F.when(is_view, pop).alias("pop_set"))
 
 
+def salted(rows: DataFrame, small: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """``rows`` (with an offset) left-joined with ``small``, which has a key at
+    most once and narrow rows. One key may hold a third of ``rows``: they are
+    dealt over ``salts`` parts by offset and ``small`` is repeated for each, so
+    that an aggregate by the key afterwards starts with partial sums."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("offset"), F.lit(salts)))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def latest_lifecycle(E: DataFrame, mode: str = "replace") -> DataFrame:
-    """Per product, the last lifecycle event (max_by over offset).
+    """Per product, the last lifecycle event (max_by over offset), and the
+    last absolute view count (``set_to`` at offset ``set_off``) if any.
     ``merge`` mode also returns the last Created/Deleted, where counters restart."""
-    life = E.filter(F.col("event_type").isin(LIFECYCLE) & ~F.col("corrupt"))
-    aggs = [F.max_by(F.struct("offset", "event_type", "ev"), F.col("offset")).alias("L")]
+    rows = (E.withColumn("_life", F.col("event_type").isin(LIFECYCLE) & ~F.col("corrupt"))
+            .withColumn("_total", _total_views()).filter(F.col("_life") | F.col("_total").isNotNull()))
+    life = rows.filter("_life")
+    at = F.when(F.col("_life"), F.col("offset"))
+    set_at = F.when(F.col("_total").isNotNull(), F.col("offset"))
+    aggs = [F.max_by(F.when(F.col("_life"), F.struct("offset", "event_type", "ev")), at).alias("L"),
+            F.max(set_at).alias("set_off"), F.max_by("_total", set_at).alias("set_to")]
     if mode != "merge":
-        return life.groupBy("product_id").agg(*aggs).withColumn("counter_from", F.col("L.offset"))
+        return (rows.groupBy("product_id").agg(*aggs).filter(F.col("L").isNotNull())
+                .withColumn("counter_from", F.col("L.offset")))
     # merge: counters live as long as the document: from the last Created, or
     # from the first lifecycle event after the last Deleted, whichever is later
     t = F.col("event_type")
-    aggs += [F.max(F.when(t == "ProductDeleted", F.col("offset"))).alias("_last_del"),
-             F.max(F.when(t == "ProductCreated", F.col("offset"))).alias("_last_cr")]
-    out = life.groupBy("product_id").agg(*aggs)
+    aggs += [F.max(F.when(t == "ProductDeleted", at)).alias("_last_del"),
+             F.max(F.when(t == "ProductCreated", at)).alias("_last_cr")]
+    out = rows.groupBy("product_id").agg(*aggs).filter(F.col("L").isNotNull())
     first_after = (life.select("product_id", "offset")
                    .join(out.select("product_id", "_last_del"), "product_id")
                    .filter(F.col("offset") > F.coalesce(F.col("_last_del"), F.lit(-1)))
@@ -107,6 +132,7 @@ def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True) -> tupl
       clicks / purchases        -> sum of increments after L, added to 0 after
                                    Created, to null after Updated (a counter
                                    without events after an Updated stays null);
+                                   an absolute view count restarts the clicks;
       popularity                -> popularity_score of the last metric event
                                    after L if it carries one, else F13 of the
                                    counters when any metric event follows L,
@@ -120,8 +146,10 @@ def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True) -> tupl
     E = parse_events(dedupe(M) if dedup else M)
     L = latest_lifecycle(E, mode)
     metrics = metric_increments(E.filter(F.col("event_type").isin(METRIC)))
-    mj = metrics.join(L.select("product_id", "counter_from", F.col("L.offset").alias("l_off"),
-                               F.col("L.event_type").alias("l_type")), "product_id", "left")
+    was_set = F.col("set_off") > F.col("counter_from")
+    mj = salted(metrics, L.select(
+        "product_id", "counter_from", F.when(was_set, F.col("set_off")).otherwise(F.col("counter_from")).alias("click_from"),
+        F.col("L.offset").alias("l_off"), F.col("L.event_type").alias("l_type")), "product_id")
     live = (F.col("l_type").isNotNull() & (F.col("l_type") != "ProductDeleted"))
     counted = mj.filter(live & (F.col("offset") > F.col("counter_from")))
     dropped = mj.filter(F.col("product_id").isNull() | F.col("l_type").isNull()
@@ -129,7 +157,7 @@ def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True) -> tupl
         .select("product_id", "offset", "event_type")
     last_metric = F.max_by(F.struct("offset", "pop_set"), F.col("offset"))
     agg = counted.groupBy("product_id").agg(
-        F.sum("view_inc").alias("clicks_after"),
+        F.sum(F.when(F.col("offset") > F.col("click_from"), F.col("view_inc"))).alias("clicks_after"),
         F.count("view_inc").alias("n_views"),
         F.sum("buy_inc").alias("buys_after"),
         F.count("buy_inc").alias("n_buys"),
@@ -139,8 +167,9 @@ def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True) -> tupl
     created = F.col("L.event_type") == "ProductCreated"
     restart_zero = created if mode == "replace" else F.lit(True)
     base = F.when(restart_zero, F.lit(0).cast("bigint"))
-    clicks = F.when(F.coalesce(F.col("n_views"), F.lit(0)) > 0,
-                    F.coalesce(base, F.lit(0)) + F.col("clicks_after")).otherwise(base)
+    after = F.coalesce(F.col("clicks_after"), F.lit(0))
+    clicks = (F.when(was_set, F.col("set_to") + after)
+              .when(F.coalesce(F.col("n_views"), F.lit(0)) > 0, F.coalesce(base, F.lit(0)) + after).otherwise(base))
     buys = F.when(F.coalesce(F.col("n_buys"), F.lit(0)) > 0,
                   F.coalesce(base, F.lit(0)) + F.col("buys_after")).otherwise(base)
     any_metric = F.col("last_metric").isNotNull()
@@ -206,13 +235,18 @@ def merge_batch(D: DataFrame | None, batch: DataFrame) -> DataFrame:
     if D is None:
         return rebuilt
     m = metric_increments(E.filter(F.col("event_type").isin(METRIC)))
-    agg = m.groupBy("product_id").agg(
-        F.sum("view_inc").alias("_dc"), F.count("view_inc").alias("_nv"),
+    sets = m.filter(F.col("total").isNotNull()).groupBy("product_id").agg(
+        F.max("offset").alias("set_off"), F.max_by("total", "offset").alias("set_to"))
+    later = F.col("set_off").isNull() | (F.col("offset") > F.col("set_off"))
+    agg = salted(m, sets, "product_id").groupBy("product_id").agg(
+        F.sum(F.when(later, F.col("view_inc"))).alias("_dc"), F.count("view_inc").alias("_nv"),
+        F.max("set_to").alias("_set"),
         F.sum("buy_inc").alias("_dp"), F.count("buy_inc").alias("_nb"),
         F.max_by(F.struct("offset", "pop_set"), F.col("offset")).alias("_last"))
     kept = D.join(L, "product_id", "left_anti").join(agg, "product_id", "left")
-    c = F.when(F.coalesce(F.col("_nv"), F.lit(0)) > 0,
-               FX.add_counter("click_count", F.col("_dc"))).otherwise(F.col("click_count"))
+    c = (F.when(F.col("_set").isNotNull(), F.col("_set") + F.coalesce(F.col("_dc"), F.lit(0)))
+         .when(F.coalesce(F.col("_nv"), F.lit(0)) > 0, FX.add_counter("click_count", F.col("_dc")))
+         .otherwise(F.col("click_count")))
     p = F.when(F.coalesce(F.col("_nb"), F.lit(0)) > 0,
                FX.add_counter("purchase_count", F.col("_dp"))).otherwise(F.col("purchase_count"))
     pop = F.when(F.col("_last").isNotNull(),

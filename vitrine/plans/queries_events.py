@@ -42,20 +42,25 @@ FOLD_CTES = """
                        FROM pevents_v WHERE event_type IN ('ProductCreated', 'ProductUpdated', 'ProductDeleted'))
         WHERE rn = 1),
 m AS (SELECT product_id, "offset",
-             CASE WHEN event_type = 'ProductViewed' THEN
+             CASE WHEN event_type = 'ProductViewed' AND event_id % 100 <> 24 THEN
                   CASE WHEN event_id % 50 = 3 THEN 1 ELSE 1 + event_id % 2 END END AS view_inc,
+             CASE WHEN event_id % 100 = 24 THEN 100 + event_id % 7 END AS set_to,
              CASE WHEN event_type = 'ProductPurchased' THEN 1 + event_id % 3 END AS buy_inc,
              CASE WHEN event_type = 'ProductViewed' AND event_id % 100 = 13 THEN 42.5 END AS pop_set
       FROM pevents_v WHERE event_type IN ('ProductViewed', 'ProductPurchased')),
-agg AS (SELECT m.product_id, sum(view_inc) AS clicks_after, count(view_inc) AS n_views,
+live AS (SELECT m.*, max(CASE WHEN set_to IS NOT NULL THEN m."offset" END) OVER (PARTITION BY m.product_id) AS set_off
+         FROM m JOIN L ON m.product_id = L.product_id AND m."offset" > L."offset"
+         WHERE L.event_type <> 'ProductDeleted'),
+agg AS (SELECT product_id, sum(CASE WHEN "offset" > coalesce(set_off, -1) THEN view_inc END) AS clicks_after,
+               count(view_inc) AS n_views, max(CASE WHEN "offset" = set_off THEN set_to END) AS set_to,
                sum(buy_inc) AS buys_after, count(buy_inc) AS n_buys,
-               arg_max_null(pop_set, m."offset") AS last_pop
-        FROM m JOIN L ON m.product_id = L.product_id AND m."offset" > L."offset"
-        WHERE L.event_type <> 'ProductDeleted' GROUP BY m.product_id),
+               arg_max_null(pop_set, "offset") AS last_pop
+        FROM live GROUP BY product_id),
 d AS (
   SELECT L.*, agg.product_id IS NOT NULL AS any_metric, agg.last_pop,
          (L.event_type = 'ProductCreated') AS created,
-         CASE WHEN coalesce(agg.n_views, 0) > 0
+         CASE WHEN agg.set_to IS NOT NULL THEN agg.set_to + coalesce(agg.clicks_after, 0)
+              WHEN coalesce(agg.n_views, 0) > 0
               THEN coalesce(CASE WHEN L.event_type = 'ProductCreated' THEN 0 END, 0) + agg.clicks_after
               ELSE CASE WHEN L.event_type = 'ProductCreated' THEN 0 END END AS click_count,
          CASE WHEN coalesce(agg.n_buys, 0) > 0
@@ -155,17 +160,21 @@ L AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER
                      FROM pevents_v WHERE event_type IN ('ProductCreated', 'ProductUpdated', 'ProductDeleted'))
       WHERE rn = 1),
 m AS (SELECT product_id, "offset",
-             CASE WHEN event_type = 'ProductViewed' THEN
+             CASE WHEN event_type = 'ProductViewed' AND event_id % 100 <> 24 THEN
                   CASE WHEN event_id % 50 = 3 THEN 1 ELSE 1 + event_id % 2 END END AS view_inc,
+             CASE WHEN event_id % 100 = 24 THEN 100 + event_id % 7 END AS set_to,
              CASE WHEN event_type = 'ProductPurchased' THEN 1 + event_id % 3 END AS buy_inc
-      FROM pevents_v WHERE event_type IN ('ProductViewed', 'ProductPurchased'))
-SELECT L.product_id,
-       CAST(coalesce(sum(m.view_inc), 0) AS BIGINT) AS click_count,
-       CAST(coalesce(sum(m.buy_inc), 0) AS BIGINT) AS purchase_count
-FROM L LEFT JOIN C ON C.product_id = L.product_id
-LEFT JOIN m ON m.product_id = L.product_id AND m."offset" > coalesce(C.c_off, -1)
-WHERE L.event_type <> 'ProductDeleted'
-GROUP BY L.product_id""", ("pevents_v",))
+      FROM pevents_v WHERE event_type IN ('ProductViewed', 'ProductPurchased')),
+live AS (SELECT L.product_id, m."offset", m.view_inc, m.buy_inc, m.set_to,
+                max(CASE WHEN m.set_to IS NOT NULL THEN m."offset" END) OVER (PARTITION BY L.product_id) AS set_off
+         FROM L LEFT JOIN C ON C.product_id = L.product_id
+         LEFT JOIN m ON m.product_id = L.product_id AND m."offset" > coalesce(C.c_off, -1)
+         WHERE L.event_type <> 'ProductDeleted')
+SELECT product_id,
+       CAST(coalesce(max(CASE WHEN "offset" = set_off THEN set_to END), 0)
+            + coalesce(sum(CASE WHEN "offset" > coalesce(set_off, -1) THEN view_inc END), 0) AS BIGINT) AS click_count,
+       CAST(coalesce(sum(buy_inc), 0) AS BIGINT) AS purchase_count
+FROM live GROUP BY product_id""", ("pevents_v",))
 def q_fold_merge_mode(spark, sf):
     doc, _ = FO.fold_events(product_topic(spark, sf), mode="merge")
     return doc.select("product_id", F.coalesce("click_count", F.lit(0)).cast("bigint").alias("click_count"),

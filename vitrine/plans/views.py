@@ -174,7 +174,7 @@ def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Lifecycle payloads carry the catalogue row of product k; metric payloads
     carry a metadata map. A few rows carry deliberately bad metadata
-    (``view_increment`` = 'x') and absolute ``popularity_score`` values.
+    (``view_increment`` = 'x') and absolute ``popularity_score`` and ``total_views`` values.
     """
     e = table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", prop_k(F.col("props")).alias("product_id"))
@@ -217,7 +217,9 @@ def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(',"deletedBy":"system","reason":"discontinued"}'))
     view_inc = F.when(i % 50 == 3, F.lit("x")).otherwise((1 + i % 2).cast("string"))
     view_meta = F.concat(F.lit('{"view_increment":'), _json_str(view_inc),
-                         F.when(i % 100 == 13, F.lit(',"popularity_score":"42.5"')).otherwise(F.lit("")),
+                         F.when(i % 100 == 13, F.lit(',"popularity_score":"42.5"'))
+                         .when(i % 100 == 24, F.concat(F.lit(',"total_views":'), _json_str((100 + i % 7).cast("string"))))
+                         .otherwise(F.lit("")),
                          F.lit("}"))
     viewed = F.concat(F.lit('{"productId":'), pid, F.lit(',"sku":'), _json_str(sku),
                       F.lit(',"userId":'), _json_str(F.col("user_id").cast("string")),
