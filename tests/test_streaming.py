@@ -23,6 +23,42 @@ def test_stream_fold_equals_model(spark):
     assert _result(ST.VersionedTable(docs).latest(spark)) == model(msgs)
 
 
+def test_stream_fold_takes_late_events_and_drops_late_repeats(spark):
+    """Event times run backwards, a day a message: nothing is too late."""
+    msgs = _random_log(12, n=45)
+    M = _frame(spark, msgs).withColumn(
+        "timestamp", F.expr("timestamp_ntz'2024-06-01 00:00:00' - make_dt_interval(cast(offset as int))"))
+    root = tempfile.mkdtemp(prefix="vitrine-test-late-")
+    src, docs = os.path.join(root, "topic"), os.path.join(root, "docs")
+    for lo, hi in ((0, 15), (15, 30), (30, 46)):
+        M.filter((F.col("offset") > lo) & (F.col("offset") <= hi)).write.mode("append").parquet(src)
+        ST.fold_stream(spark, src, M.schema, docs, group="late-" + os.path.basename(root)).awaitTermination()
+    table = ST.VersionedTable(docs)
+    assert _result(table.latest(spark)) == model(msgs)
+    assert table.versions(spark) == [1, 2]
+
+
+def test_relay_stream_sends_rows_once_they_fall_due(spark):
+    import datetime as dt
+
+    from vitrine.sources import schemas as SC
+    day = lambda d: dt.datetime(2024, 1, d)
+
+    def row(i, retries, due):
+        values = dict(id=i, aggregate_id="1", aggregate_type="Product", event_type="ProductUpdated", event_data="{}",
+                      created_at=day(1), processed=False, retry_count=retries, next_retry_at=due)
+        return tuple(values.get(f.name) for f in SC.OUTBOX.fields)
+
+    root = tempfile.mkdtemp(prefix="vitrine-test-relay-")
+    src, topics = os.path.join(root, "outbox"), os.path.join(root, "topics")
+    for today, rows, sent in ((2, [row(1, 0, None), row(2, 1, day(3)), row(3, 1, day(9))], [1]),
+                              (4, [row(4, 0, None)], [1, 2, 4]), (5, [row(5, 5, day(1))], [1, 2, 4])):
+        spark.createDataFrame(rows, SC.OUTBOX).write.mode("append").parquet(src)
+        ST.relay_stream(spark, src, topics, SC.OUTBOX, lambda: F.lit(str(day(today))).cast("timestamp_ntz"),
+                        trigger=ST.AVAILABLE_NOW, name="relay-" + os.path.basename(root)).awaitTermination()
+        assert sorted(r.outbox_id for r in spark.read.parquet(topics).collect()) == sent
+
+
 def test_daily_view_stream_equals_batch(spark):
     import datetime as dt
     rows = [(i, i % 3, dt.datetime(2024, 1, 1 + i // 10, i % 24)) for i in range(50)]
@@ -30,7 +66,7 @@ def test_daily_view_stream_equals_batch(spark):
     root = tempfile.mkdtemp(prefix="vitrine-test-views-")
     src, out = os.path.join(root, "views"), os.path.join(root, "daily")
     name = "dv-" + os.path.basename(root)
-    for lo, hi in ((0, 25), (25, 50)):
+    for lo, hi in ((25, 50), (0, 25)):            # the later days first
         v.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi)).write.mode("append").parquet(src)
         ST.daily_view_stream(spark, src, v.schema, out, trigger=ST.AVAILABLE_NOW, name=name).awaitTermination()
     got = {(r.product_id, r.day, r.views) for r in ST.VersionedTable(out).latest(spark).collect()}

@@ -56,7 +56,7 @@ def q_stream_fold(spark, sf):
 @register("stream_daily_views", """
 SELECT product_id, CAST(ts AS DATE) AS day, count(*) AS views FROM views_v GROUP BY 1, 2""", ("views_v",))
 def q_stream_daily_views(spark, sf):
-    """ST10: daily view counters maintained by a watermarked stream."""
+    """ST10: daily view counters maintained by a stream."""
     v = V.views(spark, sf)
     src = scratch_path(spark, "views")
     out = scratch_path(spark, "daily-views")

@@ -1,9 +1,8 @@
 """Structured Streaming forms of the event operators.
 
 ST1/ST2 relay outbox rows to topic folders, ST5 one query (and checkpoint)
-per consumer group, ST6 idempotency within a watermark, ST9 incremental fold
-into a versioned document table, ST10 daily view counters with a watermark,
-ST13 trigger choices, U1-U3 listener registry (per-batch and per-message
+per consumer group, ST6 idempotency, ST9 incremental fold into a versioned
+document table, ST10 daily view counters, ST13 trigger choices, U1-U3 listener registry (per-batch and per-message
 handlers). Checkpoints live under the cluster's spark.checkpoint.dir.
 """
 
@@ -48,29 +47,40 @@ def _start(writer, trigger: dict) -> StreamingQuery:
 
 # ST1 / ST2 --------------------------------------------------------------------------
 def relay_stream(spark: SparkSession, outbox_path: str, topics_path: str, schema,
-                 as_of: Column, trigger: dict = RELAY_TRIGGER, name: str = "relay",
+                 as_of: Column | Callable[[], Column], trigger: dict = RELAY_TRIGGER, name: str = "relay",
                  max_files: int = 1) -> StreamingQuery:
-    """Outbox files -> topic folders (one per topic, ST2). Each micro-batch
-    relays its fresh and due rows; the checkpoint makes the relay exactly-once
-    per input file."""
+    """Outbox files -> topic folders (``batch=N/topic=T``, ST2). Each micro-batch
+    relays its fresh and due rows and those of earlier batches that have become
+    due; rows not yet due wait in a table beside the topics. ``as_of`` is the
+    clock, asked once a micro-batch if callable. A re-run of a micro-batch
+    rewrites its own folder and the same version of the waiting rows."""
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    src = r.parquet(outbox_path)
-    msgs = OB.relay(src, as_of)
-    w = (msgs.writeStream.format("parquet").option("path", topics_path)
-         .option("checkpointLocation", _checkpoint(spark, name)).partitionBy("topic"))
+    waiting = VersionedTable(f"{topics_path.rstrip('/')}-waiting")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        now = as_of if isinstance(as_of, Column) else as_of()
+        before = waiting.latest_before(batch.sparkSession, batch_id)
+        rows = batch if before is None else batch.unionByName(before)
+        OB.route(OB.relay(rows, now), f"{topics_path.rstrip('/')}/batch={batch_id}", mode="overwrite")
+        waiting.write(rows.filter(OB.lifecycle(now) == "retry_waiting"), batch_id)
+
+    w = (r.parquet(outbox_path).writeStream.foreachBatch(handle)
+         .option("checkpointLocation", _checkpoint(spark, name)))
     return _start(w, trigger)
 
 
 # ST5 / ST6 --------------------------------------------------------------------------
 def consume(spark: SparkSession, topic_path: str, schema, group: str,
             handler: Callable[[DataFrame, int], None], trigger: dict = AVAILABLE_NOW,
-            watermark: str | None = "1 day", max_files: int = 1) -> StreamingQuery:
+            watermark: str | None = None, max_files: int = 1) -> StreamingQuery:
     """One consumer group = one streaming query with its own checkpoint, so
-    every group reads every message once, from its own position (ST5).
-    Duplicates of an idempotency key within the watermark are dropped before
-    the handler sees them (ST6); the handler gets (batch, batch_id) (U2)."""
+    every group reads every message once, from its own position (ST5); the
+    handler gets (batch, batch_id) (U2). With ``watermark``, duplicates of an
+    idempotency key within it are dropped before the handler sees them, with
+    bounded state, and so are rows older than it; without, all rows arrive and
+    the handler drops duplicates (``fold_handler`` does, exactly)."""
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
@@ -88,7 +98,8 @@ def consume(spark: SparkSession, topic_path: str, schema, group: str,
 class VersionedTable:
     """A table written as numbered versions: version v is complete once its
     _SUCCESS marker exists. A re-run of a micro-batch rewrites the same
-    version, so the sink is idempotent (exactly-once with the checkpoint)."""
+    version, so the sink is idempotent (exactly-once with the checkpoint). The
+    last two versions stay: the current one and the one a re-run starts from."""
 
     def __init__(self, path: str):
         self.path = path.rstrip("/")
@@ -96,41 +107,53 @@ class VersionedTable:
     def version_path(self, v: int) -> str:
         return f"{self.path}/v={v:012d}"
 
+    def _files(self, spark: SparkSession):
+        to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return to_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to_path
+
+    def versions(self, spark: SparkSession) -> list[int]:
+        """The complete versions, oldest first."""
+        fs, to_path = self._files(spark)
+        if not fs.exists(to_path(self.path)):
+            return []
+        found = [s.getPath() for s in fs.listStatus(to_path(self.path)) if s.getPath().getName().startswith("v=")]
+        return sorted(int(p.getName()[2:]) for p in found if fs.exists(to_path(p, "_SUCCESS")))
+
     def latest(self, spark: SparkSession) -> DataFrame | None:
-        jvm = spark.sparkContext._jvm
-        hconf = spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(hconf)
-        if not fs.exists(p):
-            return None
-        done = sorted(s.getPath().getName() for s in fs.listStatus(p)
-                      if s.getPath().getName().startswith("v=")
-                      and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-        if not done:
-            return None
-        return spark.read.parquet(f"{self.path}/{done[-1]}")
+        done = self.versions(spark)
+        return spark.read.parquet(self.version_path(done[-1])) if done else None
 
     def latest_before(self, spark: SparkSession, v: int) -> DataFrame | None:
-        cur = self.latest(spark)
-        if cur is None:
-            return None
-        # the newest complete version strictly before v (a re-run of v must not read itself)
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p)
-                       if s.getPath().getName().startswith("v=")
-                       and int(s.getPath().getName()[2:]) < v
-                       and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-        return spark.read.parquet(f"{self.path}/{names[-1]}") if names else None
+        """The newest complete version before v (a re-run of v must not read itself)."""
+        done = [x for x in self.versions(spark) if x < v]
+        return spark.read.parquet(self.version_path(done[-1])) if done else None
+
+    def write(self, df: DataFrame, v: int) -> None:
+        """Write version v; versions older than the one before it go."""
+        df.write.mode("overwrite").parquet(self.version_path(v))
+        spark = df.sparkSession
+        fs, to_path = self._files(spark)
+        for old in [x for x in self.versions(spark) if x < v][:-1]:
+            fs.delete(to_path(self.version_path(old)), True)
 
 
 def fold_handler(table: VersionedTable) -> Callable[[DataFrame, int], None]:
-    """U2 handler that folds each micro-batch into the next table version."""
+    """U2 handler that folds each micro-batch into the next table version. The
+    idempotency keys of each batch are kept beside the table; messages whose
+    key an earlier batch had are dropped, however late they come (ST6)."""
+    keys_path = f"{table.path}-keys"
+    key = F.coalesce(F.col("headers")["idempotency-key"], F.col("id"))
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = table.latest_before(spark, batch_id)
-        FO.merge_batch(prev, batch).write.mode("overwrite").parquet(table.version_path(batch_id))
+        new = FO.dedupe(batch).withColumn("_key", key)
+        fs, to_path = table._files(spark)
+        if fs.exists(to_path(keys_path)):
+            seen = spark.read.schema("key string, batch long").parquet(keys_path).filter(F.col("batch") < batch_id)
+            new = new.join(seen, new["_key"] == seen["key"], "left_anti")
+        table.write(FO.merge_batch(table.latest_before(spark, batch_id), new.drop("_key")), batch_id)
+        (batch.select(key.alias("key")).distinct()
+         .write.mode("overwrite").parquet(f"{keys_path}/batch={batch_id}"))
     return handle
 
 
@@ -145,31 +168,24 @@ def fold_stream(spark: SparkSession, topic_path: str, schema, docs_path: str,
 
 # ST10 ------------------------------------------------------------------------------
 def daily_view_stream(spark: SparkSession, views_path: str, schema, out_path: str,
-                      trigger: dict = VIEW_FLUSH_TRIGGER, watermark: str = "1 day",
-                      name: str = "daily-views", max_files: int | None = None) -> StreamingQuery:
-    """Views per product and day as a windowed aggregation with a watermark
-    (state of days older than the watermark is dropped; later events for
-    them are ignored). Update mode emits the new count of every (product,
-    day) touched by a micro-batch; the handler replaces those rows in the next
-    version of a counter table, so the table is current after every flush."""
+                      trigger: dict = VIEW_FLUSH_TRIGGER, name: str = "daily-views",
+                      max_files: int | None = None) -> StreamingQuery:
+    """Views per product and day. Each micro-batch's counts are added to the
+    previous version of a counter table, so the table is current after every
+    flush, no state is held in memory and views count however late they come."""
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    src = r.parquet(views_path)
-    agg = (src.withColumn("_et", event_time("ts")).withWatermark("_et", watermark)
-           .groupBy(F.window("_et", "1 day").alias("w"), "product_id", F.to_date("ts").alias("day"))
-           .agg(F.count(F.lit(1)).alias("views")))
-    out = agg.select("product_id", "day", "views")
     table = VersionedTable(out_path)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
+    def add(batch: DataFrame, batch_id: int) -> None:
+        counts = FO.daily_views(batch)
         prev = table.latest_before(batch.sparkSession, batch_id)
-        new = batch if prev is None else prev.join(
-            batch.select("product_id", "day"), ["product_id", "day"], "left_anti").unionByName(batch)
-        new.write.mode("overwrite").parquet(table.version_path(batch_id))
+        if prev is not None:
+            counts = prev.unionByName(counts).groupBy("product_id", "day").agg(F.sum("views").alias("views"))
+        table.write(counts, batch_id)
 
-    w = (out.writeStream.outputMode("update").foreachBatch(upsert)
-         .option("checkpointLocation", _checkpoint(spark, name)))
+    w = r.parquet(views_path).writeStream.foreachBatch(add).option("checkpointLocation", _checkpoint(spark, name))
     return _start(w, trigger)
 
 
