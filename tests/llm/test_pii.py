@@ -92,6 +92,33 @@ def test_windows_are_reconciled(tagger):
     assert pii.reconcile([("ip", 0, 5), ("ip", 3, 9), ("card", 8, 10), ("ip", 9, 12)]) == [("ip", 0, 9), ("ip", 9, 12)]
 
 
+@pytest.mark.parametrize("at", ["@", " (at) ", "[at]"])
+def test_each_written_form_of_emails(tagger, at):
+    r = random.Random(7)
+    values = []
+    while len(values) < 100:
+        v = pii._value(r, "email")
+        if at in v and not re.search("[0-9]", v):
+            values.append(v)
+    got = pii.all_spans([f"orea the thin {v} ndon er" for v in values], tagger)
+    assert sum(("email", 14, 14 + len(v)) in s for v, (_, s) in zip(values, got)) >= 0.85 * len(values)
+
+
+def test_windows_left_out_hold_nothing(tagger, monkeypatch):
+    """The same spans as from decoding every window."""
+    r = random.Random(15)
+    texts = []
+    for _ in range(40):
+        text = ""
+        for _ in range(12):
+            text += "the ethern of " * r.randrange(12) + r.choice([pii._value(r, r.choice(pii.KINDS)), pii._lookalike(r),
+                                                                  "abcde" * r.randrange(40) + "[at]host.org"]) + " "
+        texts.append(text)
+    got = pii.all_spans(texts, tagger)
+    monkeypatch.setattr(pii, "_AT", re.compile(r"(?s)."))
+    assert got == pii.all_spans(texts, tagger)
+
+
 def test_tables(spark):
     rows = [(1, None, 0, "a"), (2, "", 0, "b"), (3, "mail x.y@z.org or 1.2.3.4 now", 29, None), (None, "+1 (743) 555-3824", 17, "c"),
             (3, "plain", 5, "d"), (4, "long " * 30_000 + "a@b.c", 150_005, "e")]

@@ -4,8 +4,9 @@ bidirectional LSTM with CRF transitions for formats beyond them.
 The tagger is trained in numpy from labelled spans: rule matches in slices of a
 bounded sample of the documents, and values of many written forms set into such
 slices, beside look-alikes that are none. A text is cut into overlapping
-windows; all windows that hold a digit or an at sign (no kind does without) are
-decoded. Spans of neighbouring windows are reconciled over the whole text:
+windows. Each kind's check needs a digit, an at sign or an "at" in brackets; the
+windows that hold one are decoded, then those that meet a span found, until there
+are no more, so the result is that of decoding every window. Spans of neighbouring windows are reconciled over the whole text:
 overlapping ones of a kind unite, so a span that a window's edge cuts is whole
 again, and of overlapping kinds the longest span stays. A span of the tagger is
 added if it passes its kind's check (digits, parts, Luhn sum) and touches no
@@ -49,7 +50,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]")
+_AT = re.compile(r"[(\[]at[)\]]")
+_ANY = re.compile(r"[0-9@]|" + _AT.pattern)
 
 
 def luhn(digits: str) -> bool:
@@ -267,28 +269,42 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[S
     together."""
     out = [([], []) for _ in texts]
     found: dict[int, list[Span]] = {}
-    waiting: list[tuple[int, int, np.ndarray]] = []
+    asked: dict[int, set[int]] = {}
+    waiting: list[tuple[int, int]] = []
+
+    def ask(doc: int, first: int, last: int):
+        """The windows that hold a part of the blocks from first to last."""
+        for k in range(max(0, first - 1), last + 1):
+            if k not in asked[doc]:
+                asked[doc].add(k)
+                waiting.append((doc, k * STRIDE))
 
     def decode():
-        x = np.zeros((WINDOW, len(waiting)), np.int64)
-        for k, (_, _, s) in enumerate(waiting):
+        some = waiting[:BATCH_WINDOWS]
+        del waiting[:BATCH_WINDOWS]
+        parts = [symbols(texts[doc][start:start + WINDOW]) for doc, start in some]
+        x = np.zeros((WINDOW, len(some)), np.int64)
+        for k, s in enumerate(parts):
             x[:len(s), k] = s
         tags = tagger.decode(x)
-        for k, (doc, start, s) in enumerate(waiting):
-            found.setdefault(doc, []).extend(window_spans(tags[:len(s), k], start))
-        waiting.clear()
+        for k, (doc, start) in enumerate(some):
+            spans = window_spans(tags[:len(parts[k]), k], start)
+            found[doc].extend(spans)
+            for _, a, b in spans:
+                ask(doc, a // STRIDE, (b - 1) // STRIDE)
 
     for doc, text in enumerate(texts):
         if not _ANY.search(text):
             continue
+        found[doc], asked[doc] = [], set()
         s = symbols(text)
-        holds = np.unique(np.flatnonzero((s == 2) | (s == 6)) // STRIDE)
-        for k in np.unique(np.concatenate([holds, holds[holds > 0] - 1])):
-            waiting.append((doc, int(k) * STRIDE, s[k * STRIDE:k * STRIDE + WINDOW]))
-            if len(waiting) == BATCH_WINDOWS:
-                decode()
-        found.setdefault(doc, [])
-    if waiting:
+        for k in np.unique(np.flatnonzero((s == 2) | (s == 6)) // STRIDE).tolist():
+            ask(doc, k, k)
+        for m in _AT.finditer(text):
+            ask(doc, m.start() // STRIDE, (m.end() - 1) // STRIDE)
+        while len(waiting) >= BATCH_WINDOWS:
+            decode()
+    while waiting:
         decode()
     order = {k: i for i, k in enumerate(KINDS)}
     for doc, spans in found.items():
