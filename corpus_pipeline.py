@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.llm import exact_dedup, packing, pii, quality_rules, simhash
+from vitrine.llm.rank_tokens import added_tokens
 from vitrine.session import scratch_path
 
 
@@ -33,7 +34,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                        added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("personal_data", personal_data), ("packed", packed)]

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from vitrine.llm import packing, token_counts
+from vitrine.llm import packing, queries, token_counts
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 THEIRS = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -67,6 +67,20 @@ def test_pack_many_partitions(spark):
     assert sum(r.length for r in rows) == sum(len(ids(t)) + 1 for _, t in texts)
 
 
+def test_pack_added_tokens(spark, tmp_path):
+    """Ids of the query equal those of the library's default settings."""
+    theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a  <|endoftext|>\n\n b <|endoftext", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op4_packing(spark, str(tmp_path)).collect()
+    for i, text in enumerate(texts):
+        want = [*theirs.encode(text, add_special_tokens=False).ids, 0]
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert {r.doc_tokens for r in own} == {len(want)} and sum(r.length for r in own) == len(want)
+        for r in own:
+            assert r.ids_crc32 == zlib.crc32(np.array(want[r.start:r.start + r.length], "<u4").tobytes())
+
+
 def brute(text, spans, rule):
     """Sections by the library's own offsets."""
     enc = THEIRS.encode(text or "", add_special_tokens=False)

@@ -10,8 +10,8 @@ powers of two, which need no padding. No task holds more than its open windows,
 or the leftovers of MERGE_PARTITIONS partitions.
 
 A document is its ids and the end id. Ids are those of the ``tokenizers`` file
-whose ranks are given (the same vocabulary), special strings in a text being
-ordinary text. Defined cases: a null text is an empty one, that is, the end id
+whose ranks and added tokens are given (the same vocabulary); without added
+tokens, special strings in a text are ordinary text. Defined cases: a null text is an empty one, that is, the end id
 alone; null or repeated ids are separate documents; an empty table gives no
 pieces; extra columns are ignored.
 """
@@ -167,10 +167,11 @@ def _rows(windows: list[Window], with_ids: bool) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-         window: int = WINDOW, open_windows: int = OPEN_WINDOWS, end_id: int = END_ID) -> DataFrame:
+         window: int = WINDOW, open_windows: int = OPEN_WINDOWS, end_id: int = END_ID,
+         added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset."""
-    key, shared = share_ranks(docs.sparkSession, ranks_path, pattern)
+    key, shared = share_ranks(docs.sparkSession, ranks_path, pattern, added)
     end = np.array([end_id], "<u4").tobytes()
 
     def fill(batches):
@@ -179,7 +180,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             done: list[Window] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "", disallowed_special=()).astype("<u4").tobytes() + end
+                ids = encode(text or "", allowed_special="all", disallowed_special=()).astype("<u4").tobytes() + end
                 done += space.add(Piece(doc_id, 0, len(ids) // 4, ids))
                 if len(done) >= 4096:
                     yield _rows(done, False)

@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.llm import byte_bpe, exact_dedup, html_main, packing, passages, pii, quality_rules, simhash, token_counts, toxicity
+from vitrine.llm.rank_tokens import added_tokens
 from vitrine.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,7 +79,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                        public_tokenizers.PATTERN)
+                        public_tokenizers.PATTERN, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 @_query("op9_token_counts")

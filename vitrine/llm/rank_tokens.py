@@ -4,6 +4,7 @@ that need ids fast and not the encoding method itself."""
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 
@@ -13,12 +14,26 @@ from vitrine.session import ship_package
 _KNOWN: dict[str, tuple] = {}
 
 
-def share_ranks(spark, ranks_path: str, pattern: str):
-    """(key, broadcast): the vocabulary, whose size is that of its file."""
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Ids of the added tokens of a ``tokenizers`` file, which are found in a
+    text before it is split by the pattern."""
+    with open(json_path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take their surroundings are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
+def share_ranks(spark, ranks_path: str, pattern: str, added: dict[str, int] | None = None):
+    """(key, broadcast): the vocabulary, whose size is that of its file, and the
+    added tokens."""
     ship_package(spark)
-    ranks = read_ranks(ranks_path)
-    key = hashlib.sha256(repr((ranks_path, pattern, len(ranks))).encode()).hexdigest()
-    return key, spark.sparkContext.broadcast((ranks, pattern))
+    ranks, added = read_ranks(ranks_path), added or {}
+    # longer ones first, where one begins with another
+    added = dict(sorted(added.items(), key=lambda x: (-len(x[0]), x[0])))
+    ranks = {token: i for token, i in ranks.items() if i not in added.values()}
+    key = hashlib.sha256(repr((ranks_path, pattern, len(ranks), added)).encode()).hexdigest()
+    return key, spark.sparkContext.broadcast((ranks, pattern, added))
 
 
 def library(key: str, shared):
@@ -26,10 +41,11 @@ def library(key: str, shared):
     if key not in _KNOWN:
         import tiktoken
 
-        ranks, pattern = shared.value
-        sizes = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
-        for token, i in ranks.items():
+        ranks, pattern, added = shared.value
+        sizes = np.zeros(max([*ranks.values(), *added.values()], default=-1) + 1, np.int64)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
             sizes[i] = len(token)
         _KNOWN.clear()
-        _KNOWN[key] = (tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes)
+        _KNOWN[key] = (tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added),
+                       sizes)
     return _KNOWN[key]
