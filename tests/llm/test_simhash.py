@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vitrine.llm import simhash
 from vitrine.llm.shared import components
@@ -82,6 +83,28 @@ def test_links_join_all_pairs(spark, radius):
         simhash.links(df, 3)
 
 
+def test_hot_prefixes_are_split(spark):
+    """One family under a few prefixes: they are extended, and links stay."""
+    r = random.Random(6)
+    center = r.getrandbits(64)
+    fps = sorted({center ^ sum({1 << r.randrange(52) for _ in range(3)}) for _ in range(300)}
+                 | {r.getrandbits(64) for _ in range(30)})
+    ids = [int(np.uint64(f).view(np.int64)) for f in fps]
+    df = spark.createDataFrame([(i,) for i in ids], "fp long")
+    rows = simhash.links(df, 4, most=3000)
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") >= 4            # the short prefixes, and longer ones
+    n = df.count()
+    counts = df.groupBy(F.shiftrightunsigned("fp", 52).alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    assert n > 300 and len(simhash._hot(counts, 12, 2, 3000)) > 1
+    found = [tuple(x) for x in rows.collect()]
+    got = {x.node: x.root for x in components(spark.createDataFrame(found, "a long, b long")).collect()}
+    groups = {}
+    for i, w in zip(ids, brute_components(ids, fps, 4)):
+        groups.setdefault(w, set()).add(got.get(i, i))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+
+
 def test_components_of_long_chains(spark):
     r = random.Random(1)
     names = list(range(300))

@@ -5,7 +5,9 @@ radius / 2 bits of both. So every distinct fingerprint emits all its variants
 within half the radius, variants are shuffled, and fingerprints that share one
 are linked; any two that meet are within the radius of each other, which is
 verified once more. What is shuffled is the leading bits of the variants with
-the fingerprint: a task that gets a prefix lists the variants under it. The
+the fingerprint: a task that gets a prefix lists the variants under it. A prefix
+with more than CHUNK_VARIANTS variants is extended by further bits, so a task
+lists a bounded number of them however many fingerprints lie close together. The
 members of a variant are linked in a chain, not in pairs, and each task sends on
 only a spanning star of what its links join; connected components do the rest.
 
@@ -36,7 +38,8 @@ from vitrine.session import ship_package
 WIDTH = 4
 RADIUS = 4
 SEED = 42
-CHUNK_VARIANTS = 1_500_000      # variants a task lists at a time
+CHUNK_VARIANTS = 1_500_000      # variants a task lists at a time, and of one prefix
+EXTEND_BITS = 8                 # by which a prefix with more variants grows
 CHUNK_HASHES = 200_000          # shingle hashes a task holds beside one text's
 TASK_BYTES = 64 << 20           # what a task emits
 _LANES = np.uint64(0x0101010101010101)
@@ -155,55 +158,148 @@ def met(prefixes: np.ndarray, fps: np.ndarray, prefix_bits: int, radius: int) ->
     return own[root[moved]], own[moved]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _volumes(bits: int, half: int) -> list[int]:
+    """How many masks over ``bits`` bits have at most 0, 1, ... ``half`` of them set."""
+    return [sum(math.comb(bits, k) for k in range(d + 1)) for d in range(half + 1)]
+
+
+def _hot(counts: DataFrame, prefix_bits: int, half: int, most: int) -> np.ndarray:
+    """The prefixes with over ``most`` variants; ``counts`` (own, n) has the
+    number of fingerprints by their own leading bits. At most (variants / most)
+    prefixes are hot."""
+    around, volumes = masks(prefix_bits, half), np.array(_volumes(64 - prefix_bits, half))
+    each = volumes[half - _popcount(around)]
+    # a prefix has at most the largest count near it times the variants of a fingerprint
+    if not counts.where(F.col("n") * F.lit(int(each.sum())) > most).take(1):
+        return np.zeros(0, np.uint64)
+
+    def weigh(batches):
+        for batch in batches:
+            own, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for k in range(0, len(own), 4096):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((own[k:k + 4096, None] ^ around[None, :]).ravel().view(np.int64)),
+                     pa.array((n[k:k + 4096, None] * each[None, :]).ravel())], ["prefix", "n"])
+
+    return _prefixes(counts.mapInArrow(weigh, "prefix long, n long"), most)
+
+
+def _prefixes(weights: DataFrame, most: int) -> np.ndarray:
+    rows = weights.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("prefix").collect()
+    return np.sort(np.array([r.prefix for r in rows], np.int64).view(np.uint64))
+
+
+def links(fps: DataFrame, radius: int = RADIUS, most: int = CHUNK_VARIANTS) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``fps`` (fp: long) whose
-    components are those of all pairs within ``radius`` bits."""
+    components are those of all pairs within ``radius`` bits. ``most``: variants
+    of a prefix, above which it is extended."""
     if radius < 0 or radius % 2:
         raise ValueError("the radius must be even: variants meet half-way")
     n = fps.count()
     prefix_bits = min(32, max(12, math.ceil(math.log2(max(n, 1))) - 2))
     half, low_bits = radius // 2, 64 - prefix_bits
     around = masks(prefix_bits, half)
-    per_row = sum(math.comb(64, k) for k in range(half + 1)) / len(around)
     ship_package(fps.sparkSession)
+    counts = cut(fps.groupBy(F.shiftrightunsigned("fp", low_bits).alias("own")).agg(F.count(F.lit(1)).alias("n")))
+    hot = _hot(counts, prefix_bits, half, most)
 
-    def emit(batches):
+    def emit(batches, want_hot: bool, hot=hot, low_bits=low_bits):
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
             for k in range(0, len(fp), 4096):
                 some = fp[k:k + 4096]
                 prefixes = ((some >> np.uint64(low_bits))[:, None] ^ around[None, :]).ravel()
+                owners = np.repeat(some, len(around))
+                if len(hot):
+                    take = np.isin(prefixes, hot) == want_hot
+                    prefixes, owners = prefixes[take], owners[take]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(prefixes.view(np.int64)), pa.array(np.repeat(some, len(around)).view(np.int64))],
-                    ["prefix", "fp"])
-
-    def collide(batches):
-        most = max(1, int(CHUNK_VARIANTS / per_row))
-        kept: list[np.ndarray] = []
-        size = 0
+                    [pa.array(prefixes.view(np.int64)), pa.array(owners.view(np.int64))], ["prefix", "fp"])
+
+    def longer(bits: int, step: int):
+        """Rows of prefixes of ``bits`` bits as rows of prefixes longer by ``step``."""
+        low = 64 - bits - step
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    prefixes, fp = (part.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+                    left = half - _popcount(prefixes ^ (fp >> np.uint64(low + step)))
+                    own = (prefixes << np.uint64(step)) | ((fp >> np.uint64(low)) & np.uint64((1 << step) - 1))
+                    for d in range(half + 1):
+                        rows = np.flatnonzero(left == d)
+                        m = masks(step, d)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array((own[rows][:, None] ^ m[None, :]).ravel().view(np.int64)),
+                             pa.array(np.repeat(fp[rows], len(m)).view(np.int64))], ["prefix", "fp"])
+        return run
+
+    def collided(rows: DataFrame, bits: int) -> DataFrame:
+        volumes = np.array(_volumes(64 - bits, half))
+
+        def variants(rows):
+            prefixes, fp = rows.view(np.uint64)
+            return volumes[half - _popcount(prefixes ^ (fp >> np.uint64(64 - bits)))]
 
         def done(rows):
-            a, b = met(rows[0].view(np.uint64), rows[1].view(np.uint64), prefix_bits, radius)
+            a, b = met(rows[0].view(np.uint64), rows[1].view(np.uint64), bits, radius)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        for batch in batches:                                   # sorted by prefix
-            kept.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
-            size += batch.num_rows
-            if size >= most:
-                rows = np.concatenate(kept, axis=1)
-                whole = int(np.searchsorted(rows[0], rows[0][-1]))     # the last prefix may go on
-                if whole:
-                    yield done(rows[:, :whole])
-                kept = [rows[:, whole:]]
-                size = kept[0].shape[1]
-        if size:
-            yield done(np.concatenate(kept, axis=1))
+        def whole_prefixes(rows):
+            """Parts of whole prefixes, of about CHUNK_VARIANTS at most."""
+            first = np.flatnonzero(np.diff(rows[0], prepend=~rows[0][:1]))
+            before = np.concatenate(([0], np.cumsum(variants(rows))))
+            at, end = 0, rows.shape[1]
+            ends = np.append(first[1:], end)
+            while at < end:
+                fit = ends[(ends > at) & (before[ends] - before[at] <= CHUNK_VARIANTS)]
+                to = int(fit[-1] if len(fit) else ends[ends > at][0])
+                yield done(rows[:, at:to])
+                at = to
+
+        def run(batches):
+            kept: list[np.ndarray] = []
+            size = 0
+            for batch in batches:                                   # sorted by prefix
+                if not batch.num_rows:
+                    continue
+                kept.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+                size += int(variants(kept[-1]).sum())
+                if size >= CHUNK_VARIANTS:
+                    rows = np.concatenate(kept, axis=1)
+                    whole = int(np.searchsorted(rows[0], rows[0][-1]))     # the last prefix may go on
+                    if whole:
+                        yield from whole_prefixes(rows[:, :whole])
+                    kept = [rows[:, whole:]]
+                    size = int(variants(kept[0]).sum())
+            if kept:
+                yield from whole_prefixes(np.concatenate(kept, axis=1))
+
+        return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "a long, b long")
 
     # a task emits len(around) rows of about 24 bytes for each it reads
     tasks = max(12, math.ceil(n * len(around) * 24 / TASK_BYTES))
-    spread = fps.select("fp").repartition(tasks).mapInArrow(emit, "prefix long, fp long")
-    return (spread.repartition("prefix").sortWithinPartitions("prefix")
-            .mapInArrow(collide, "a long, b long").distinct())
+    dealt = fps.select("fp").repartition(tasks)
+    found = collided(dealt.mapInArrow(lambda b: emit(b, False), "prefix long, fp long"), prefix_bits)
+    rows = dealt.mapInArrow(lambda b: emit(b, True), "prefix long, fp long") if len(hot) else None
+    bits = prefix_bits
+    while len(hot):
+        step = min(EXTEND_BITS, 64 - bits)
+        rows = cut(rows.mapInArrow(longer(bits, step), "prefix long, fp long"))
+        bits += step
+        hot = np.zeros(0, np.uint64)
+        if bits < 64:                       # at 64 bits a prefix is one variant
+            volumes = F.array(*[F.lit(v) for v in _volumes(64 - bits, half)])
+            flipped = F.bit_count(F.col("prefix").bitwiseXOR(F.shiftrightunsigned("fp", 64 - bits)))
+            hot = _prefixes(rows.select("prefix", F.element_at(volumes, (half + 1 - flipped).cast("int")).alias("n")), most)
+        if not len(hot):
+            found = found.unionByName(collided(rows, bits))
+            break
+        names = F.broadcast(fps.sparkSession.createDataFrame([(x,) for x in hot.view(np.int64).tolist()], "prefix long"))
+        found = found.unionByName(collided(rows.join(names, "prefix", "left_anti"), bits))
+        rows = rows.join(names, "prefix", "left_semi")
+    return found.distinct()
 
 
 def classes(rows: DataFrame, radius: int) -> DataFrame:
