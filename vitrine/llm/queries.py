@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitrine.llm import byte_bpe, exact_dedup, html_main, packing, passages, pii, quality_rules, simhash, token_counts, toxicity
+from vitrine.llm import (byte_bpe, exact_dedup, html_main, packing, passages, pii, quality_rules, sharding, simhash,
+                         token_counts, toxicity)
 from vitrine.llm.rank_tokens import added_tokens
 from vitrine.llm.shared import table
 
@@ -112,3 +114,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_passages")
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_sharding")
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (sharding.assign(table(spark, sf_dir, "documents"), shards=16)
+            .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard")))
