@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import (byte_bpe, exact_dedup, html_main, packing, passages, pii, quality_rules, sharding, simhash,
-                         token_counts, toxicity)
+from vitrine.llm import (byte_bpe, divergence, exact_dedup, html_main, packing, passages, periodic, pii, quality_rules,
+                         sharding, simhash, token_counts, toxicity)
 from vitrine.llm.rank_tokens import added_tokens
 from vitrine.llm.shared import table
 
@@ -121,3 +121,44 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (sharding.assign(table(spark, sf_dir, "documents"), shards=16)
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard")))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS df FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(df) >= 10),
+lt AS (SELECT lang, sum(n) AS total, count(*) AS v FROM k GROUP BY lang),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n
+         FROM g JOIN k ON k.lang = g.lang
+         LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+gt AS (SELECT lang, source, sum(n) AS total FROM grid GROUP BY ALL),
+s AS (SELECT grid.lang, grid.source, term, grid.n,
+             1 + (1000000000::HUGEINT * (grid.n + 2)) // (gt.total + 2 * lt.v) AS p,
+             1 + (1000000000::HUGEINT * (grid.lang_n + 2)) // (lt.total + 2 * lt.v) AS q
+      FROM grid JOIN gt ON gt.lang = grid.lang AND gt.source = grid.source JOIN lt ON lt.lang = grid.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+          FROM s WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@_query("op12_divergence", DIVERGENCE_SQL)
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+@_query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return periodic.digest(periodic.find(docs.select("doc_id", periodic.planted(F.col("text"), seed).alias("text"))))
