@@ -4,10 +4,16 @@ reference's manual suite (headphon, bluetoot, hedphones, wireles, blue)."""
 import datetime as dt
 from decimal import Decimal
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions import text as TX
+from vitrine.operators import index as IX
 from vitrine.operators import search as SE
+from vitrine.plans import queries_search as Q
+from vitrine.session import scratch_path
 
 CATALOGUE = [
     (1, "Wireless Bluetooth Headphones", "Noise cancelling over-ear headphones", ["Electronics", "Audio"], "199.99"),
@@ -26,6 +32,11 @@ def _docs(spark, extra=()):
                                        "all_text string, popularity_score double, created_at timestamp_ntz")
 
 
+@pytest.fixture(scope="module")
+def ix(spark):
+    return SE.product_index(_docs(spark))
+
+
 def _queries(spark, qs, cats=None, lo=None, hi=None):
     return spark.createDataFrame(
         [(i, q, cats, lo, hi, 0, 10, "relevance", "desc") for i, q in enumerate(qs)],
@@ -50,28 +61,22 @@ def test_analyzer(spark):
     assert [p.pos for p in pos] == [1, 2, 2, 2, 5, 5, 5, 5, 6, 6, 6, 6]
 
 
-def test_fuzzy_main_search(spark):
-    D = _docs(spark)
-    ix = SE.product_index(D)
-    hits = _hits(SE.search(ix, D, _queries(spark, ["hedphones", "wireles headphones", "blue", "laptp"])))
+def test_fuzzy_main_search(spark, ix):
+    hits = _hits(SE.search(ix, _queries(spark, ["hedphones", "wireles headphones", "blue", "laptp"])))
     assert hits[0] == {1}
     assert hits[1] == {1}
     assert hits[2] == {4, 5}
     assert hits[3] == {3}
 
 
-def test_filters_apply(spark):
-    D = _docs(spark)
-    ix = SE.product_index(D)
+def test_filters_apply(spark, ix):
     q = _queries(spark, ["blue"], cats=["Garden"])
-    assert _hits(SE.search(ix, D, q)) == {0: {5}}
+    assert _hits(SE.search(ix, q)) == {0: {5}}
     q = _queries(spark, ["blue"], lo=Decimal("50"), hi=Decimal("100"))
-    assert _hits(SE.search(ix, D, q)) == {0: {4}}
+    assert _hits(SE.search(ix, q)) == {0: {4}}
 
 
-def test_synonyms_match(spark):
-    D = _docs(spark)
-    ix = SE.product_index(D)
+def test_synonyms_match(spark, ix):
     hits = _hits(SE.multi_field_search(ix, _queries(spark, ["earbuds", "notebook"])))
     assert 1 in hits[0] and 3 in hits[1]
 
@@ -96,9 +101,7 @@ def test_phrase_score_follows_the_terms(spark):
     assert best[1] > best[0]
 
 
-def test_autocomplete_prefixes(spark):
-    D = _docs(spark)
-    ix = SE.product_index(D)
+def test_autocomplete_prefixes(spark, ix):
     hits = _hits(SE.autocomplete(ix, _queries(spark, ["headphon", "wireless bluetoot", "blue r", "bluetooth wire"])))
     assert hits[0] == {1} and hits[1] == {1} and hits[2] == {4}
     assert 3 not in hits            # words out of order are no phrase
@@ -108,18 +111,149 @@ def test_more_like_this_excludes_seed(spark):
     D = _docs(spark, [(6, "Wireless Earbuds", "Noise cancelling in-ear buds", ["Electronics", "Audio"], "99.00")])
     ix = SE.product_index(D)
     seeds = spark.createDataFrame([(1,)], "id long")
-    got = _hits(SE.more_like_this(ix, seeds).withColumnRenamed("seed_id", "query_id"))
+    got = _hits(SE.more_like_this(ix, seeds, 5).withColumnRenamed("seed_id", "query_id"))
     assert got[1] == {6}            # shares >= 30% of the seed's terms; the seed itself is excluded
 
 
-def test_dispatch_and_pages(spark):
-    D = _docs(spark)
-    ix = SE.product_index(D)
+def test_dispatch_and_pages(spark, ix):
     q = spark.createDataFrame([
         (1, "", ["Electronics"], None, None, 0, 2, "price", "asc"),     # browse, price ignored
         (2, " ", None, Decimal("50"), Decimal("300"), 0, 10, "name", "asc"),   # range
         (3, "blue", None, None, None, 1, 1, "price", "desc"),            # text, second page
     ], "query_id long, q string, categories array<string>, min_price decimal(10,2), "
        "max_price decimal(10,2), page int, size int, sort_by string, sort_direction string")
-    got = {(r.query_id, r.rank): r.doc_id for r in SE.search_products(ix, D, q).collect()}
+    got = {(r.query_id, r.rank): r.doc_id for r in SE.search_products(ix, q).collect()}
     assert got == {(1, 1): 1, (1, 2): 2, (2, 1): 4, (2, 2): 1, (3, 2): 5}
+
+
+def test_relevance_ranks_by_score_and_boosts_act(spark, ix):
+    q = _queries(spark, ["blue"]).union(_queries(spark, ["electronics"]).withColumn("query_id", F.lit(1).cast("long")))
+    got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in SE.search_products(ix, q, relevance=True).collect()}
+    assert got[0, 1][0] == 4 and got[0, 2][0] == 5       # in the name (boost 4) before in the description
+    assert got[0, 1][1] > got[0, 2][1] > 0
+    by_field = {r.rank: r.doc_id for r in SE.search_products(ix, _queries(spark, ["blue"])).collect()}
+    assert by_field == {1: 5, 2: 4}                      # unknown sort: popularity
+
+
+def test_relational_path(spark, ix):
+    q = spark.createDataFrame([
+        (1, "WIRELESS", None, None, None, 0, 10, "price", "asc"), (2, "o", ["Electronics"], None, Decimal("1000"), 0, 10, "price", "asc"),
+        (3, "", ["Audio", "Garden"], Decimal("100"), None, 0, 10, "name", "asc"), (4, "", None, None, None, 1, 2, "price", "asc"),
+        (5, "oo", None, None, None, 0, 10, "name", "asc"), (6, "100%", None, None, None, 0, 10, "name", "asc"),
+    ], "query_id long, q string, categories array<string>, min_price decimal(10,2), max_price decimal(10,2), page int, size int, "
+       "sort_by string, sort_direction string")
+    got = {(r.query_id, r.rank): r.doc_id for r in SE.search_with_fallback("relational", ix, q).collect()}
+    assert got == {(1, 1): 1, (2, 1): 1, (2, 2): 2, (3, 1): 1, (4, 3): 1, (4, 4): 2, (5, 1): 1}
+
+
+def test_pages_cut_early_and_whole_are_the_same(spark, ix):
+    q = spark.createDataFrame([(i, "", None, None, None, i % 3, 1 + i % 2, "price", "asc") for i in range(6)],
+                              "query_id long, q string, categories array<string>, min_price decimal(10,2), max_price decimal(10,2), "
+                              "page int, size int, sort_by string, sort_direction string")
+    rows = [sorted((r.query_id, r.rank, r.doc_id) for r in SE.search_products(ix, q, deepest=d).collect()) for d in (None, 3, 100)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 5
+
+
+WORDS = ["red", "blue", "green", "steel", "brass", "lamp", "table", "chair", "hook", "plate", "zinc", "rope"]
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """400 products of few words, every one of them with the word common; small blocks and parts."""
+    rnd = random.Random(7)
+    rows = [(i, " ".join(rnd.choices(WORDS, weights=range(1, 13), k=rnd.randrange(1, 6))), "common " * rnd.randrange(1, 4), ["c"],
+             Decimal(i), f"S{i}", "common", 1.0, dt.datetime(2024, 1, 1)) for i in range(400)]
+    D = spark.createDataFrame(rows, "product_id long, name string, description string, categories array<string>, price decimal(10,2), "
+                                    "sku string, all_text string, popularity_score double, created_at timestamp_ntz")
+    old = IX.BLOCK, IX.PART_DOCS
+    IX.BLOCK, IX.PART_DOCS = 8, 50
+    yield SE.product_index(D)
+    IX.BLOCK, IX.PART_DOCS = old
+
+
+def test_heavy_terms_are_dealt_over_parts(many):
+    parts = (many.blocks.where("term = 'common' and field = 'description'").groupBy("part")
+             .agg(F.sum(F.size("postings")).alias("n"), F.max(F.size("postings")).alias("longest")).collect())
+    assert len(parts) == 8 and sum(r.n for r in parts) == 400 and max(r.n for r in parts) < 80
+    assert max(r.longest for r in parts) <= 8
+    light = many.terms.where("parts = 1").join(many.blocks, ["field", "term"])
+    assert light.agg(F.max("part")).first()[0] == 0
+    in_order = many.blocks.select(F.forall(F.sequence(F.lit(1), F.size("postings") - 1), lambda i: F.when(
+        F.size("postings") < 2, True).otherwise(F.get("postings", i - 1)["impact"] >= F.coalesce(F.get("postings", i)["impact"], F.lit(0)))),
+        F.col("top") == F.col("postings")[0]["impact"])
+    assert in_order.distinct().collect() == [(True, True)]
+
+
+def test_skipping_blocks_loses_nothing(spark, many, monkeypatch):
+    rnd = random.Random(8)
+    qs = [" ".join(rnd.choices(WORDS + ["common", "sofa"], k=rnd.randrange(1, 5))) for _ in range(25)] + ["zinc", "red", "common rope"]
+    q = _queries(spark, qs, lo=Decimal("100"), hi=Decimal("300"))
+    for search in (lambda k: SE.multi_field_search(many, q, k), lambda k: SE.name_fuzzy(many, q, k),
+                   lambda k: SE.search_in_price_range(many, q, k)):
+        whole = SE.top_k(search(None), "query_id", 5)
+        want = sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in whole.collect())
+        for few, share in ((0, 2.0), (0, 0.5), (1 << 17, 0.25)):
+            monkeypatch.setattr(SE, "FEW_POSTINGS", few)
+            monkeypatch.setattr(SE, "DECIDING_SHARE", share)
+            assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in search(5).collect()) == want
+
+
+def test_more_like_this_like_brute_force(spark, many):
+    vectors = {r.doc_id: {(t.field, t.term): t.impact for t in r.terms if t.field in ("name", "description", "categories")}
+               for r in many.vectors.collect()}
+    seeds = spark.createDataFrame([(i,) for i in range(0, 400, 40)], "id long")
+    want = set()
+    for i in range(0, 400, 40):
+        need = max(1, int(len(vectors[i]) * 0.3))
+        found = [(round(sum(v[t] for t in vectors[i] if t in v), 6), -j) for j, v in vectors.items()
+                 if j != i and len(vectors[i].keys() & v.keys()) >= need]
+        want |= {(i, -j, s) for s, j in sorted(found, reverse=True)[:5]}
+    got = SE.more_like_this(many, seeds, 5)
+    assert {(r.seed_id, r.doc_id, round(r.score, 6)) for r in got.collect()} == want
+
+
+def test_prefixes_are_intervals_of_term_numbers(spark, many):
+    p = spark.createDataFrame([(1, "r"), (2, "b"), (3, "common"), (4, "zzz")], "query_id long, qterm string")
+    found = {(r.query_id, r.term) for r in SE.prefix_terms(many, p, "name").collect()}
+    assert found == {(1, "red"), (1, "rope"), (2, "blue"), (2, "brass")}
+    first = {(r.query_id, r.term) for r in SE.prefix_terms(many, p, "name", 1).collect()}
+    assert first == {(1, "red"), (2, "blue")}
+
+
+def test_price_ranges_meet_only_their_prices(spark):
+    rnd = random.Random(9)
+    prices = [Decimal(rnd.randrange(10 ** rnd.randrange(1, 9))) / 100 for _ in range(300)] + [None]
+    docs = spark.createDataFrame(list(enumerate(prices)), "doc_id long, price decimal(10,2)")
+    ends = [(Decimal(rnd.randrange(10**7)) / 100, Decimal(rnd.randrange(10**7)) / 100) for _ in range(30)]
+    ranges = [(f"r{i}", min(e), max(e)) for i, e in enumerate(ends)] + [("open", Decimal(0), None), ("none", Decimal(9), Decimal(8)),
+                                                                        ("one", prices[0], prices[0]), ("far", Decimal("99999999.99"), None)]
+    got = SE.in_price_ranges(docs, spark.createDataFrame(ranges, "range_id string, low decimal(10,2), high decimal(10,2)"))
+    want = {(r, i) for r, lo, hi in ranges for i, p in enumerate(prices) if p is not None and p >= lo and (hi is None or p <= hi)}
+    rows = [(r.range_id, r.doc_id) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_stored_index_is_read_until_its_files_change(spark):
+    path = scratch_path(spark, "source")
+    spark.createDataFrame([(1, "one word")], "id long, t string").write.parquet(path)
+    builds = []
+
+    def build(where):
+        builds.append(where)
+        return IX.build_index(spark.read.parquet(path), {"t": "text"}, path=where)
+
+    ready = lambda: {r.term for r in IX.stored(spark, "test", [path], build).terms.collect()}
+    assert ready() == ready() == {"one", "word"} and len(builds) == 1
+    for name in IX.KEYS:                                # a new session knows no table: only the files are left
+        spark.sql(f"DROP TABLE {IX._table_name(builds[0], name)}")
+    assert ready() == {"one", "word"} and len(builds) == 1
+    spark.createDataFrame([(2, "two")], "id long, t string").write.mode("append").parquet(path)
+    assert ready() == {"one", "word", "two"} and len(builds) == 2
+
+
+def test_plans_hold_no_nested_loops_and_no_python(spark):
+    sf = "/root/testdata/sf0.001"
+    for query in (Q.q_search_products, Q.q_search_relational, Q.q_name_fuzzy, Q.q_autocomplete, Q.q_fuzzy_expansions):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        for bad in ("NestedLoop", "Cartesian", "ArrowEvalPython", "BatchEvalPython"):
+            assert bad not in plan, (query.__name__, bad)

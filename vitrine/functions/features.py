@@ -28,6 +28,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body(x)`` with x bound to ``value``, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _sorted_values(attrs: Column) -> Column:
     # map iteration order is unspecified in the reference; sort by key (H9)
     return F.transform(F.array_sort(F.map_keys(attrs)), lambda k: attrs[k])

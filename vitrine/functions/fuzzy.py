@@ -1,20 +1,23 @@
-"""Fuzzy term matching helpers.
+"""Fuzzy term matching helpers (X12), all as Column expressions.
 
 Candidates come from deletion neighbourhoods: two strings within k edits
 (insert, delete, substitute, transpose) share a string obtained by deleting
 at most k characters from each, so an equi-join on those variants finds every
 candidate pair without comparing all pairs. The exact distance is then checked
-on candidate pairs only, with a vectorised (Arrow) pandas UDF.
+on candidate pairs only: the built-in ``levenshtein`` with a threshold decides
+most, the rest go through a banded table that an ``aggregate`` fills row by row.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from vitrine.functions.features import let
 
 MAX_EDITS = 2
+#: A table cell beyond the band, or a distance over MAX_EDITS.
+_FAR = 9
 
 
 def deletion_variants(term, max_deletes: int = MAX_EDITS) -> Column:
@@ -42,33 +45,50 @@ def deletion_variants(term, max_deletes: int = MAX_EDITS) -> Column:
     return F.concat(zero, one, two)
 
 
-def damerau_levenshtein(a: str, b: str) -> int:
-    """Unrestricted Damerau-Levenshtein distance (edits may also happen between
-    transposed characters)."""
-    la, lb = len(a), len(b)
-    inf = la + lb
-    h = [[0] * (lb + 2) for _ in range(la + 2)]
-    h[0][0] = inf
-    for i in range(la + 1):
-        h[i + 1][0], h[i + 1][1] = inf, i
-    for j in range(lb + 1):
-        h[0][j + 1], h[1][j + 1] = inf, j
-    last: dict[str, int] = {}
-    for i in range(1, la + 1):
-        db = 0
-        for j in range(1, lb + 1):
-            i1, j1 = last.get(b[j - 1], 0), db
-            cost = 1
-            if a[i - 1] == b[j - 1]:
-                cost, db = 0, j
-            h[i + 1][j + 1] = min(h[i][j] + cost, h[i + 1][j] + 1, h[i][j + 1] + 1,
-                                  h[i1][j1] + (i - i1 - 1) + 1 + (j - j1 - 1))
-        last[a[i - 1]] = i
-    return h[la + 1][lb + 1]
-
-
-@F.pandas_udf(T.IntegerType())
-def dl_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Vectorised wrapper over candidate pairs (never over all pairs)."""
-    return pd.Series([damerau_levenshtein(x, y) if x is not None and y is not None else None
-                      for x, y in zip(a, b)], dtype="Int32")
+def _letters(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda x: x != "")
+
+
+def _banded(a: Column, b: Column) -> Column:
+    """Distance of two letter arrays by a table of which only the five cells
+    around the diagonal are kept, and the three rows above."""
+    def same(x: Column, y: Column) -> Column:
+        return F.coalesce(x == y, F.lit(False))
+
+    def row(acc: Column, i: Column) -> Column:
+        one, two, three = acc["one"], acc["two"], acc["three"]
+        cell, cells = F.lit(_FAR), []
+        for d in range(5):
+            j = i + (d - 2)
+            here, swap = same(F.get(a, i - 1), F.get(b, j - 1)), []
+            ways = [one[d] + F.when(here, 0).otherwise(1), cell + 1]
+            if d < 4:
+                ways.append(one[d + 1] + 1)
+            # letters a[i], b[j] change places with the letters before, or around one letter in between
+            crossed = same(F.get(a, i - 2), F.get(b, j - 1)) & same(F.get(a, i - 1), F.get(b, j - 2))
+            swap.append(F.when(crossed, two[d] + 1))
+            if d < 4:
+                swap.append(F.when(same(F.get(a, i - 3), F.get(b, j - 1)) & same(F.get(a, i - 1), F.get(b, j - 2)), three[d + 1] + 2))
+            if d > 0:
+                swap.append(F.when(same(F.get(a, i - 2), F.get(b, j - 1)) & same(F.get(a, i - 1), F.get(b, j - 3)), two[d - 1] + 2))
+            cell = (F.when((j < 0) | (j > F.size(b)), _FAR).when(j == 0, i)
+                    .otherwise(F.least(F.lit(_FAR), *ways, *swap)))
+            cells.append(cell)
+        return F.struct(F.array(*cells).alias("one"), one.alias("two"), two.alias("three"))
+
+    far = F.array(*[F.lit(_FAR)] * 5)
+    start = F.struct(F.array(*map(F.lit, (_FAR, _FAR, 0, 1, 2))).alias("one"), far.alias("two"), far.alias("three"))
+    last = F.size(b) - F.size(a) + 2
+    rows = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a))).otherwise(F.array().cast("array<int>"))
+    return F.coalesce(F.aggregate(rows, start, row, lambda acc: F.get(acc["one"], last)), F.lit(_FAR))
+
+
+def edit_distance(a: str, b: str) -> Column:
+    """Unrestricted Damerau-Levenshtein distance of two columns if it is at most
+    MAX_EDITS, else MAX_EDITS + 1. A swap costs one edit; other edits may lie
+    between the swapped letters, which within two edits is one letter."""
+    # each swap takes two plain edits at most, so a pair over four is over two here as well
+    plain = F.levenshtein(a, b, 2 * MAX_EDITS)
+    exact = let(F.struct(_letters(F.col(a)).alias("a"), _letters(F.col(b)).alias("b")), lambda s: _banded(s["a"], s["b"]))
+    return (F.when(F.col(a) == F.col(b), 0).when(plain < 0, MAX_EDITS + 1).when(plain == 1, 1)
+            .otherwise(F.least(exact, F.lit(MAX_EDITS + 1))))

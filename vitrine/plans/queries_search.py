@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions import text as TX
+from vitrine.operators import index as IX
 from vitrine.operators import search as SE
 from vitrine.operators import sync as S
 from vitrine.plans import views as V
@@ -38,13 +39,16 @@ def product_docs(spark, sf):
 
 
 def product_ix(spark, sf):
-    D = product_docs(spark, sf)
-    return D, SE.product_index(D)
+    """The stored index of the product documents."""
+    paths = [f"{sf}/{t}.parquet" for t in ("part", "events", "lineitem")]
+    return IX.stored(spark, "product", paths, lambda path: SE.product_index(product_docs(spark, sf), path))
 
 
 def corpus_ix(spark, sf):
+    """The stored index of the corpus."""
     docs = V.table(spark, sf, "documents").select("doc_id", "text")
-    return SE.build_index(docs, {"text": "text"}, key="doc_id", positions=False, materialize=True)
+    return IX.stored(spark, "corpus", [f"{sf}/documents.parquet"],
+                     lambda path: IX.build_index(docs, {"text": "text"}, key="doc_id", path=path))
 
 
 def _scored_out(df, key="query_id"):
@@ -67,8 +71,7 @@ SELECT term, count(DISTINCT p_partkey) AS df FROM (SELECT p_partkey, unnest({sql
 GROUP BY term""")
 def q_name_term_stats(spark, sf):
     """Document frequency of every term of the product name field."""
-    _, ix = product_ix(spark, sf)
-    return ix.term_stats.filter(F.col("field") == "name").select("term", "df")
+    return product_ix(spark, sf).terms.filter(F.col("field") == "name").select("term", "df")
 
 
 @register("corpus_term_stats", f"""
@@ -76,9 +79,7 @@ SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf
 FROM (SELECT doc_id, unnest({sql_analyze('text')}) AS term FROM documents) GROUP BY term""")
 def q_corpus_term_stats(spark, sf):
     """X5 over the corpus: document frequency and total term frequency."""
-    ix = corpus_ix(spark, sf)
-    return ix.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"),
-                                           F.sum("tf").alias("cf"))
+    return corpus_ix(spark, sf).terms.select("term", "df", "cf")
 
 
 @register("edge_ngrams", f"""
@@ -106,40 +107,76 @@ def q_sku_terms(spark, sf):
 
 
 # --- product search ---------------------------------------------------------------------
-@register("search_products", PIX + score_ctes(
-    "(SELECT * FROM search_req_v WHERE coalesce(length(trim(q)), 0) > 0)", SE.MAIN_FIELDS, "and", True) + """,
+def _request_sql(hits: str, order: str | None = None, columns: str = "") -> str:
+    """Pages of ``hits`` (query_id, doc_id) by ``order``, or the sort of each request."""
+    menu = "('name', 'price', 'createdat', 'popularityscore')"
+    keys = "".join(f"CASE WHEN r.by_ = '{key}' AND {sign}r.asc_ THEN {col} END {way} NULLS LAST,\n      "
+                   for key, col in (("name", "CASE WHEN length(d.name) <= 256 THEN d.name END"), ("price", "d.price"),
+                                    ("createdat", "d.created_at"), ("popularityscore", "d.popularity_score"))
+                   for sign, way in (("", "ASC"), ("NOT ", "DESC")))
+    keys += (f"CASE WHEN r.by_ NOT IN {menu} THEN d.popularity_score END DESC NULLS LAST,\n      "
+             f"CASE WHEN r.by_ NOT IN {menu} THEN d.created_at END DESC NULLS LAST")
+    return f""",
+hits AS ({hits}),
+ranked AS (SELECT h.*, r.page, r.size, row_number() OVER (PARTITION BY h.query_id ORDER BY
+      {order or keys}, h.doc_id ASC) AS rank
+    FROM hits h JOIN req r ON r.query_id = h.query_id JOIN doc_v d ON d.product_id = h.doc_id)
+SELECT query_id, doc_id, rank{columns} FROM ranked WHERE rank > page * size AND rank <= (page + 1) * size"""
+
+
+REQ_SQL = """
 req AS (SELECT *, lower(coalesce(sort_by, '')) AS by_, lower(coalesce(sort_direction, '')) = 'asc' AS asc_,
                coalesce(length(trim(q)) = 0, true) AS blank_, coalesce(len(categories) > 0, false) AS has_cats
-        FROM search_req_v),
-textm AS (SELECT s.query_id, s.doc_id FROM scored s JOIN req r ON r.query_id = s.query_id
+        FROM search_req_v)"""
+PRICE_SQL = "coalesce(d.price >= r.min_price, true) AND coalesce(d.price <= r.max_price, true)"
+TEXT_SQL = PIX + score_ctes("(SELECT * FROM search_req_v WHERE coalesce(length(trim(q)), 0) > 0)", SE.MAIN_FIELDS, "and", True) + f""",{REQ_SQL},
+textm AS (SELECT s.query_id, s.doc_id, s.score FROM scored s JOIN req r ON r.query_id = s.query_id
           JOIN doc_v d ON d.product_id = s.doc_id
           WHERE (r.categories IS NULL OR len(r.categories) = 0 OR coalesce(list_has_any(d.categories, r.categories), false))
-            AND coalesce(d.price >= r.min_price, true) AND coalesce(d.price <= r.max_price, true)),
+            AND {PRICE_SQL})"""
+BROWSE_SQL = """,
 browse AS (SELECT DISTINCT r.query_id, d.product_id AS doc_id FROM req r JOIN doc_v d
-           ON list_has_any(d.categories, r.categories) WHERE r.blank_ AND r.has_cats),
+           ON list_has_any(d.categories, r.categories) WHERE r.blank_ AND r.has_cats{0}),
 rng AS (SELECT r.query_id, d.product_id AS doc_id FROM req r JOIN doc_v d
         ON d.price >= coalesce(r.min_price, 0) AND coalesce(d.price <= r.max_price, true)
-        WHERE r.blank_ AND NOT r.has_cats),
-hits AS (SELECT * FROM textm UNION ALL SELECT * FROM browse UNION ALL SELECT * FROM rng),
-ranked AS (SELECT h.query_id, h.doc_id, r.page, r.size, row_number() OVER (PARTITION BY h.query_id ORDER BY
-      CASE WHEN r.by_ = 'name' AND r.asc_ THEN d.name END ASC NULLS LAST,
-      CASE WHEN r.by_ = 'name' AND NOT r.asc_ THEN d.name END DESC NULLS LAST,
-      CASE WHEN r.by_ = 'price' AND r.asc_ THEN d.price END ASC NULLS LAST,
-      CASE WHEN r.by_ = 'price' AND NOT r.asc_ THEN d.price END DESC NULLS LAST,
-      CASE WHEN r.by_ = 'createdat' AND r.asc_ THEN d.created_at END ASC NULLS LAST,
-      CASE WHEN r.by_ = 'createdat' AND NOT r.asc_ THEN d.created_at END DESC NULLS LAST,
-      CASE WHEN r.by_ = 'popularityscore' AND r.asc_ THEN d.popularity_score END ASC NULLS LAST,
-      CASE WHEN r.by_ = 'popularityscore' AND NOT r.asc_ THEN d.popularity_score END DESC NULLS LAST,
-      CASE WHEN r.by_ NOT IN ('name', 'price', 'createdat', 'popularityscore') THEN d.popularity_score END DESC NULLS LAST,
-      CASE WHEN r.by_ NOT IN ('name', 'price', 'createdat', 'popularityscore') THEN d.created_at END DESC NULLS LAST,
-      h.doc_id ASC) AS rank
-    FROM hits h JOIN req r ON r.query_id = h.query_id JOIN doc_v d ON d.product_id = h.doc_id)
-SELECT query_id, doc_id, rank FROM ranked WHERE rank > page * size AND rank <= (page + 1) * size""",
-          ("doc_v", "search_req_v"))
+        WHERE r.blank_ AND NOT r.has_cats)"""
+ALL_HITS = "SELECT query_id, doc_id FROM textm UNION ALL SELECT * FROM browse UNION ALL SELECT * FROM rng"
+#: The deepest row of the request menu: page 2 of 20.
+DEEPEST = 60
+
+
+@register("search_products", TEXT_SQL + BROWSE_SQL.format("") + _request_sql(ALL_HITS), ("doc_v", "search_req_v"))
 def q_search_products(spark, sf):
     """One page per search request of the batch."""
-    D, ix = product_ix(spark, sf)
-    return SE.search_products(ix, D, V.search_requests(spark, sf))
+    return SE.search_products(product_ix(spark, sf), V.search_requests(spark, sf), deepest=DEEPEST).drop("score")
+
+
+@register("search_browse_priced", TEXT_SQL + BROWSE_SQL.format(f" AND {PRICE_SQL}") + _request_sql(ALL_HITS),
+          ("doc_v", "search_req_v"))
+def q_search_browse_priced(spark, sf):
+    """Q4 the other way: category browse within the request's price range, too."""
+    ix = product_ix(spark, sf)
+    return SE.search_products(ix, V.search_requests(spark, sf), price_in_browse=True, deepest=DEEPEST).drop("score")
+
+
+@register("search_by_relevance", TEXT_SQL + _request_sql("SELECT * FROM textm", "round(h.score, 6) DESC", ", round(score, 4) AS score"),
+          ("doc_v", "search_req_v"))
+def q_search_by_relevance(spark, sf):
+    """X6/T1 by score (Q19): the requests with a text, sorted by relevance."""
+    reqs = (V.search_requests(spark, sf).filter(F.length(F.trim("q")) > 0)
+            .withColumn("sort_by", F.lit("relevance")))
+    found = SE.search_products(product_ix(spark, sf), reqs, relevance=True, deepest=DEEPEST)
+    return found.withColumn("score", F.round("score", 4))
+
+
+@register("search_relational", f""",{REQ_SQL}""" + _request_sql(f"""
+SELECT r.query_id, d.product_id AS doc_id FROM req r JOIN doc_v d
+  ON (contains(lower(d.name), lower(coalesce(r.q, ''))) OR contains(lower(coalesce(d.description, '')), lower(coalesce(r.q, ''))))
+ AND (NOT r.has_cats OR list_has_any(d.categories, r.categories)) AND {PRICE_SQL}"""), ("doc_v", "search_req_v"))
+def q_search_relational(spark, sf):
+    """The same batch on the relational path (J2 in set form, T1, T3)."""
+    found = SE.search_with_fallback("relational", product_ix(spark, sf), V.search_requests(spark, sf), deepest=DEEPEST)
+    return found.drop("score")
 
 
 @register("fuzzy_expansions", f"""
@@ -152,11 +189,9 @@ SELECT qterm, term, edits FROM (SELECT *, row_number() OVER (PARTITION BY qterm
                                 FROM c WHERE edits <= k)""", ("search_req_v",))
 def q_fuzzy_expansions(spark, sf):
     """Name-dictionary terms within AUTO distance of each request term."""
-    _, ix = product_ix(spark, sf)
     reqs = V.search_requests(spark, sf)
-    qt = SE.query_terms(reqs, "name", "text").select("field", "qterm").distinct() \
-        .withColumn("query_id", F.lit(0))
-    e = SE.expand_terms(qt, ix.term_stats, fuzzy=True)
+    qt = SE.query_terms(reqs, {"name": "text"}).select("field", "qterm").distinct().withColumn("query_id", F.lit(0))
+    e = SE.expand_terms(product_ix(spark, sf), qt, fuzzy=True)
     return e.select("qterm", "term", F.col("edits").cast("bigint").alias("edits"))
 
 
@@ -164,29 +199,24 @@ def q_fuzzy_expansions(spark, sf):
           + "\n" + top_k_sql("scored", "query_id", 10), ("doc_v", "search_req_v"))
 def q_name_fuzzy(spark, sf):
     """Fuzzy name match (any term), best 10 per request."""
-    _, ix = product_ix(spark, sf)
-    reqs = V.search_requests(spark, sf)
-    return _scored_out(SE.per_distinct(reqs, ["q"], lambda c: SE.top_k(SE.name_fuzzy(ix, c), "query_id", 10)))
+    ix = product_ix(spark, sf)
+    return _scored_out(SE.per_distinct(V.search_requests(spark, sf), ["q"], lambda c: SE.name_fuzzy(ix, c, 10)))
 
 
 @register("name_simple_fuzzy", PIX + score_ctes("search_req_v", {"name": ("text", 1.0)}, "or", True, raw=True)
           + "\n" + top_k_sql("scored", "query_id", 10), ("doc_v", "search_req_v"))
 def q_name_simple_fuzzy(spark, sf):
     """X11: the raw request text as one fuzzy term on name."""
-    _, ix = product_ix(spark, sf)
-    reqs = V.search_requests(spark, sf)
-    return _scored_out(SE.per_distinct(
-        reqs, ["q"], lambda c: SE.top_k(SE.name_simple_fuzzy(ix, c), "query_id", 10)))
+    ix = product_ix(spark, sf)
+    return _scored_out(SE.per_distinct(V.search_requests(spark, sf), ["q"], lambda c: SE.name_simple_fuzzy(ix, c, 10)))
 
 
 @register("multi_field_search", PIX + score_ctes("search_req_v", SE.MULTI_FIELDS, "or", False)
           + "\n" + top_k_sql("scored", "query_id", 10), ("doc_v", "search_req_v"))
 def q_multi_field_search(spark, sf):
     """Exact multi-field search, best 10 per request."""
-    _, ix = product_ix(spark, sf)
-    reqs = V.search_requests(spark, sf)
-    return _scored_out(SE.per_distinct(
-        reqs, ["q"], lambda c: SE.top_k(SE.multi_field_search(ix, c), "query_id", 10)))
+    ix = product_ix(spark, sf)
+    return _scored_out(SE.per_distinct(V.search_requests(spark, sf), ["q"], lambda c: SE.multi_field_search(ix, c, 10)))
 
 
 @register("search_in_category", PIX + score_ctes(
@@ -196,10 +226,10 @@ f AS (SELECT s.* FROM scored s JOIN search_req_v r ON r.query_id = s.query_id
 """ + top_k_sql("f", "query_id", 10), ("doc_v", "search_req_v"))
 def q_search_in_category(spark, sf):
     """X7 fields within the request's category (requests that have one)."""
-    D, ix = product_ix(spark, sf)
+    ix = product_ix(spark, sf)
     reqs = V.search_requests(spark, sf).filter(F.col("categories").isNotNull())
-    return _scored_out(SE.per_distinct(
-        reqs, ["q", "categories"], lambda c: SE.top_k(SE.search_in_category(ix, D, c), "query_id", 10)))
+    return _scored_out(SE.per_distinct(reqs, ["q", "categories", "min_price", "max_price"],
+                                       lambda c: SE.search_in_category(ix, c, 10)))
 
 
 @register("search_in_price_range", PIX + score_ctes(
@@ -209,34 +239,44 @@ f AS (SELECT s.* FROM scored s JOIN search_req_v r ON r.query_id = s.query_id
 """ + top_k_sql("f", "query_id", 10), ("doc_v", "search_req_v"))
 def q_search_in_price_range(spark, sf):
     """X7 fields within the request's price range (requests that have one)."""
-    D, ix = product_ix(spark, sf)
+    ix = product_ix(spark, sf)
     reqs = V.search_requests(spark, sf).filter(F.col("min_price").isNotNull())
-    return _scored_out(SE.per_distinct(
-        reqs, ["q", "min_price", "max_price"],
-        lambda c: SE.top_k(SE.search_in_price_range(ix, D, c), "query_id", 10)))
+    return _scored_out(SE.per_distinct(reqs, ["q", "categories", "min_price", "max_price"],
+                                       lambda c: SE.search_in_price_range(ix, c, 10)))
 
 
-@register("autocomplete", AUTOCOMPLETE_SQL + "\nSELECT query_id, doc_id FROM matched", ("prefix_req_v",))
+COMPLETIONS_SQL = AUTOCOMPLETE_SQL + PIX + f""",
+sc AS (SELECT m.query_id, m.doc_id, {sql_bm25('m.freq', dl='l.dl', avgdl='fs.avgdl', idf='w.idf')} AS score
+       FROM matched m JOIN (SELECT query_id, sum({sql_idf('df', 'n_docs')}) AS idf FROM terms, ix_fs
+                            WHERE field = 'name' GROUP BY query_id) w ON w.query_id = m.query_id
+       JOIN ix_len l ON l.field = 'name' AND l.doc_id = m.doc_id JOIN ix_fs fs ON fs.field = 'name')
+"""
+
+
+@register("autocomplete", COMPLETIONS_SQL + top_k_sql("sc", "query_id", 10), ("prefix_req_v", "doc_v"))
 def q_autocomplete(spark, sf):
+    """The best 10 products whose name completes the prefix as a phrase."""
+    ix = product_ix(spark, sf)
+    return _scored_out(SE.per_distinct(V.prefix_requests(spark, sf), ["q"], lambda c: SE.autocomplete(ix, c, k=10)))
+
+
+@register("autocomplete_all", AUTOCOMPLETE_SQL + "\nSELECT query_id, doc_id FROM matched", ("prefix_req_v",))
+def q_autocomplete_all(spark, sf):
     """Every product whose name completes the prefix as a phrase."""
-    _, ix = product_ix(spark, sf)
+    ix = product_ix(spark, sf)
     return SE.per_distinct(V.prefix_requests(spark, sf), ["q"],
                            lambda c: SE.autocomplete(ix, c)).select("query_id", "doc_id")
 
 
-@register("suggest", AUTOCOMPLETE_SQL + PIX + f""",
-sc AS (SELECT m.query_id, m.doc_id, {sql_bm25('m.freq', dl='l.dl', avgdl='fs.avgdl', idf='w.idf')} AS score
-       FROM matched m JOIN (SELECT query_id, sum({sql_idf('df', 'n_docs')}) AS idf FROM terms, ix_fs
-                            WHERE field = 'name' GROUP BY query_id) w ON w.query_id = m.query_id
-       JOIN ix_len l ON l.field = 'name' AND l.doc_id = m.doc_id JOIN ix_fs fs ON fs.field = 'name'),
+@register("suggest", COMPLETIONS_SQL + """,
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank
                        FROM sc) WHERE rank <= 5)
 SELECT DISTINCT t.query_id, p.name FROM top t JOIN doc_v p ON p.product_id = t.doc_id""",
           ("prefix_req_v", "doc_v"))
 def q_suggest(spark, sf):
     """X13 + T7: first 5 completions per prefix, then distinct names."""
-    D, ix = product_ix(spark, sf)
-    return SE.per_distinct(V.prefix_requests(spark, sf), ["q"], lambda c: SE.suggest(ix, D, c, 5))
+    ix = product_ix(spark, sf)
+    return SE.per_distinct(V.prefix_requests(spark, sf), ["q"], lambda c: SE.suggest(ix, c, 5))
 
 
 @register("more_like_this", PIX + f""",
@@ -255,9 +295,8 @@ res AS (SELECT a.seed_id, a.doc_id, a.score FROM agg a JOIN need n USING (seed_i
 """ + top_k_sql("res", "seed_id", 5), ("doc_v", "views_v"))
 def q_more_like_this(spark, sf):
     """5 most similar products for every viewed product."""
-    _, ix = product_ix(spark, sf)
     seeds = V.views(spark, sf).select(F.col("product_id").alias("id")).distinct()
-    return _scored_out(SE.top_k(SE.more_like_this(ix, seeds), "seed_id", 5), key="seed_id")
+    return _scored_out(SE.more_like_this(product_ix(spark, sf), seeds, 5), key="seed_id")
 
 
 # --- corpus search ---------------------------------------------------------------------
@@ -268,8 +307,8 @@ def q_corpus_search(spark, sf):
     """X7/X15 on the corpus: each whole benchmark text as a query (any term),
     BM25, best 10 documents per query."""
     ix = corpus_ix(spark, sf)
-    s = SE.score_fields(ix, V.text_queries(spark, sf), {"text": ("text", 1.0)}, operator="or")
-    return _scored_out(SE.top_k(s, "query_id", 10))
+    _, exp = SE.weighted_terms(ix, V.text_queries(spark, sf), {"text": ("text", 1.0)})
+    return _scored_out(SE.best(ix, exp, 10))
 
 
 @register("corpus_search_all_terms", CIX + score_ctes(
@@ -289,8 +328,7 @@ st AS (SELECT s.seed_id, p.field, p.term, p.tf, d.df, fs.n_docs, fs.avgdl FROM s
        JOIN cx_post p ON p.doc_id = s.seed_id JOIN cx_df d ON d.field = p.field AND d.term = p.term
        JOIN cx_fs fs ON fs.field = p.field WHERE p.field IN ('text')),
 wt AS (SELECT *, CAST(tf AS DOUBLE) * (ln(CAST(n_docs AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + CAST(1.0 AS DOUBLE)) AS w FROM st),
-chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY w DESC, field, term) AS r FROM wt)
-           WHERE r <= 50),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY w DESC, field, term) AS r FROM wt)),
 need AS (SELECT seed_id, greatest(1, floor(CAST(count(*) AS DOUBLE) * CAST(0.3 AS DOUBLE))) AS need FROM chosen GROUP BY 1),
 hits AS (SELECT c.seed_id, p.doc_id, {sql_bm25('p.tf', 'c.df', 'c.n_docs', 'l.dl', 'c.avgdl')} AS sc
          FROM chosen c JOIN cx_post p ON p.field = c.field AND p.term = c.term
@@ -299,7 +337,7 @@ agg AS (SELECT seed_id, doc_id, sum(sc) AS score, count(*) AS matched FROM hits
 res AS (SELECT a.seed_id, a.doc_id, a.score FROM agg a JOIN need n USING (seed_id) WHERE a.matched >= n.need)
 """ + top_k_sql("res", "seed_id", 5))
 def q_corpus_more_like_this(spark, sf):
-    """X14 on the corpus: 5 most similar documents for every labelled document."""
+    """X14 on the corpus, over all terms: 5 most similar documents for every labelled document."""
     ix = corpus_ix(spark, sf)
     seeds = V.table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
-    return _scored_out(SE.top_k(SE.more_like_this(ix, seeds, ("text",), max_query_terms=50), "seed_id", 5), key="seed_id")
+    return _scored_out(SE.more_like_this(ix, seeds, 5, ("text",)), key="seed_id")
