@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from vitrine.llm import packing, queries, token_counts
+from vitrine.llm import byte_bpe, packing, queries, token_counts
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 THEIRS = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -122,3 +122,33 @@ def test_given_sections(spark, rule):
     assert {r.section: r.n_tokens for r in rows if r.doc_id == 1 and r.n_tokens} == brute(text, spans, rule)
     assert [(r.section, r.n_tokens) for r in rows if r.doc_id == 2] == [(-1, len(ids(text)))]
     assert token_counts.count(df.limit(0), RANKS, PATTERN).count() == 0
+
+
+LONG = [" ", "\n", " \n\t", "　", "\r\n\x0b\x0c\x85\xa0 "]
+
+
+def test_long_white_space_like_tokenizers():
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from vitrine.llm.rank_tokens import added_tokens, encode
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    added = added_tokens(path)
+    ranks = {t: i for t, i in byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")).items() if i not in added.values()}
+    ours = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    want = Tokenizer.from_file(path)
+    name = next(iter(added))
+    texts = [a + blank * n + b for blank in LONG for n in (4096, 5000) for a, b in (
+        ("", ""), ("word", "word"), ("a ", " b"), ("a", name + " c"), (name, ""), ("1", "!x"), ("", "\nx"))]
+    texts += [" " * 1_000_000, "\n" * 1_000_000, "word" + " " * 1_000_000 + "word"]
+    for t in texts:
+        assert encode(ours, t, added=True).tolist() == want.encode(t, add_special_tokens=False).ids, (t[:5], len(t), t[-5:])
+
+
+def test_a_million_spaces_pass_both_operators(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "word" + "\n" * 1_000_000 + "word"), (3, "x")], "doc_id long, text string")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    packed = packing.pack(docs, *vocabulary)
+    totals = {r[0]: r[1] for r in packed.groupBy("doc_id").sum("length").collect()}
+    counted = token_counts.count(docs, *vocabulary).collect()
+    assert set(totals) == {1, 2, 3} and len(counted) >= 3

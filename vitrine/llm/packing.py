@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.rank_tokens import library, share_ranks
+from vitrine.llm.rank_tokens import encode, library, share_ranks
 from vitrine.llm.shared import cut
 
 WINDOW = 1024
@@ -175,12 +175,12 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     end = np.array([end_id], "<u4").tobytes()
 
     def fill(batches):
-        encode = library(key, shared)[0].encode_to_numpy
+        encoding = library(key, shared)[0]
         space = OpenWindows(window, open_windows, TaskContext.get().partitionId() << 32)
         for batch in batches:
             done: list[Window] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "", allowed_special="all", disallowed_special=()).astype("<u4").tobytes() + end
+                ids = encode(encoding, text or "", added=True).astype("<u4").tobytes() + end
                 done += space.add(Piece(doc_id, 0, len(ids) // 4, ids))
                 if len(done) >= 4096:
                     yield _rows(done, False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 
@@ -12,6 +13,11 @@ from vitrine.llm.byte_bpe import read_ranks
 from vitrine.session import ship_package
 
 _KNOWN: dict[str, tuple] = {}
+#: A run of white space from this length on is encoded by itself: the library's
+#: pattern engine walks back over a run and gives up on very long ones.
+LONG_BLANK = 4096
+#: White space as the patterns' \\s has it.
+_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANK)
 
 
 def added_tokens(json_path: str) -> dict[str, int]:
@@ -49,3 +55,24 @@ def library(key: str, shared):
         _KNOWN[key] = (tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added),
                        sizes)
     return _KNOWN[key]
+
+
+def encode(encoding, text: str, added: bool = False) -> np.ndarray:
+    """The ids of a whole text; ``added``: with the encoding's added tokens.
+
+    A run of white space is one pre-token up to its last character, which goes
+    with what follows, or up to its end where the text or an added token ends it."""
+    options = {"allowed_special": "all"} if added else {}
+    if len(text) < LONG_BLANK or not _BLANK.search(text):
+        return encoding.encode_to_numpy(text, disallowed_special=(), **options)
+    names = sorted(encoding.special_tokens_set, key=len, reverse=True) if added else []
+    out = []
+    for part in re.split("(" + "|".join(map(re.escape, names)) + ")", text) if names else [text]:
+        at = 0
+        for m in _BLANK.finditer(part):
+            end = m.end() if m.end() == len(part) else m.end() - 1
+            out.append(encoding.encode_to_numpy(part[at:m.start()], disallowed_special=(), **options))
+            out.append(np.array(encoding._encode_single_piece(part[m.start():end]), np.uint32))
+            at = end
+        out.append(encoding.encode_to_numpy(part[at:], disallowed_special=(), **options))
+    return np.concatenate(out)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.rank_tokens import library, share_ranks
+from vitrine.llm.rank_tokens import encode, library, share_ranks
 
 RULES = ("start", "end", "most")
 
@@ -92,7 +92,7 @@ def count(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
             own = batch.column(2).to_pylist() if sections_col else [None] * len(texts)
             for doc_id, text, spans in zip(batch.column(0).to_pylist(), texts, own):
                 data = (text or "").encode()
-                tokens = encoding.encode_to_numpy(text or "", disallowed_special=())
+                tokens = encode(encoding, text or "")
                 first, last = token_spans(data, sizes[tokens])
                 if sections_col:
                     starts = np.array([s["start"] for s in spans or ()], np.int64)
