@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -66,3 +67,35 @@ def test_odd_pages(spark):
     assert [html_main.main_text(h, w) for h in odd[:5]] == ["", "", "", "", "no tags at all"]
     assert html_main.main_text(odd[10], w) == "then text of the page" and html_main.main_text(odd[12], w) == "&<b>"
     assert html_main.extract(df.limit(0)).count() == 0
+
+
+BODY = "".join(f"<p>Sentence number {i} of the text says a few words about a thing.</p>" for i in range(30))
+WRAPPERS = ["layout no-sidebar", "page-template", "has-header", "site with-footer", "post-template", "search-layout", "modal-open",
+            "comments", "no-comments sidebar", "menu"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_wrappers_are_not_left_out(weights, name):
+    want = " ".join(f"Sentence number {i} of the text says a few words about a thing." for i in range(30))
+    side = '<aside class="sidebar"><p>Read more of this and that here.</p></aside>'
+    for page in (f'<body><div class="{name}">{BODY}</div></body>', f'<body><div class="{name}"><article>{BODY}</article>{side}</div></body>',
+                 f'<body class="{name}"><nav><a href="/">Home</a></nav><article>{BODY}</article></body>'):
+        for w in (weights, html_main.Weights()):
+            assert html_main.main_text(page, w) == want
+
+
+def test_linear_time():
+    w = html_main.Weights()
+    for page in ("<nav>" * 100_000, "<script " * 100_000, '<a href="x ' * 100_000, "<div class='a" * 100_000, "<!-" * 100_000,
+                 "<nav>x</nav" * 50_000, "<" * 100_000, "<p>x<!-- " * 100_000, "<i>" * 100_000 + "x" + "</b>" * 100_000):
+        start = time.perf_counter()
+        html_main.main_text(page, w)
+        assert time.perf_counter() - start < 2, page[:20]
+
+
+def test_what_is_never_closed_takes_the_rest():
+    w = html_main.Weights()
+    assert html_main.main_text("<p>text of words</p><script>var x = 1 > 0; more", w) == "text of words"
+    assert html_main.main_text("<p>text of words</p><!-- a <b> c", w) == "text of words"
+    assert html_main.main_text("<p>text of words</p> and <!-- a", w) == "text of words and"
+    assert html_main.main_text("<p>text 3 < 4 of words", w) == "text 3 < 4 of words"

@@ -22,6 +22,7 @@ import html
 import math
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,11 +51,16 @@ OUTSIDE = frozenset("ad ads adv advert advertisement aside banner breadcrumb bre
                     "widget".split())
 INSIDE = frozenset("article content entry main post story".split())
 PRIOR = 20
+# A class name that says how the page is laid out, by its first or last word, does not say what the element is.
+STATE = frozenset("has hide is no not show with without".split())
+LAYOUT = frozenset("layout open page template".split())
+#: An element with this share of the page's words or more is never left out as a whole.
+MOST = 0.75
 
 _PAGE = ("html", "head", "body")
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"(?P<note><!--.*?(?:-->|\Z))"
+    rf"|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:(?P<shut></(?P=raw)\s*+>)|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*+)(?P<rest2>[^>]*+)>"
     r"|<[!?/][^>]*+>", re.S | re.I)
@@ -65,15 +71,20 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 def parts_of(name: str, rest: str) -> tuple[str, ...]:
     """What an element is known by: its class, id and role words, and its name
     if that means something or nothing else is there."""
-    found = [w.lower() for m in _NAMED.finditer(rest) for w in _WORDS.findall(m[1] or m[2] or m[3] or "")]
+    found: list[str] = []
+    for m in _NAMED.finditer(rest):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _WORDS.findall(token)]
+            if words and words[0] not in STATE and (len(words) == 1 or words[-1] not in LAYOUT):
+                found += words
     return tuple(dict.fromkeys(found + ([name] if name in SEMANTIC or not found else [])))
 
 
 def tokens(page: str) -> list[tuple]:
     """("text", string), ("open", name, parts) and ("close", name) in order."""
     out: list[tuple] = []
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, stop = 0, page.rfind(">") + 1           # nothing after the last > is a tag, but a comment may begin there
+    for m in _TOKEN.finditer(page, 0, stop):
         if m.start() > at:
             out.append(("text", page[at:m.start()]))
         at = m.end()
@@ -89,8 +100,13 @@ def tokens(page: str) -> list[tuple]:
                     out.append(("close", name))
         elif m["raw"]:
             out.append(("gap", ""))
-    if at < len(page):
-        out.append(("text", page[at:]))
+        if at == stop and (m["raw"] and not m["shut"] or m["note"] and not m["note"].endswith("-->")):
+            return out                          # a script or comment that is never closed takes the rest
+    tail = page[at:]
+    if (note := tail.find("<!--", max(0, stop - at))) >= 0:
+        tail = tail[:note]
+    if tail:
+        out.append(("text", tail))
     return out
 
 
@@ -154,40 +170,50 @@ class Weights:
         return None
 
 
-def _skip(toks: list[tuple], k: int) -> int:
-    """The end of the element that opens at k: after its close tag, or, unclosed,
-    before the next tag that opens a block."""
-    name, depth = toks[k][1], 0
-    for j in range(k, len(toks)):
-        t = toks[j]
-        if t[0] == "open" and t[1] == name:
-            depth += 1
-        elif t[0] == "close" and t[1] == name:
-            depth -= 1
-            if not depth:
-                return j + 1
-    return next((j for j in range(k + 1, len(toks)) if toks[j][0] == "open" and toks[j][1] not in INLINE), len(toks))
+def extents(toks: list[tuple]) -> list[int]:
+    """The end of the element that opens at each token: after its close tag, or, unclosed,
+    before the next tag that opens a block. One pass from each side."""
+    end = [0] * len(toks)
+    opened: dict[str, list[int]] = {}
+    for k, t in enumerate(toks):
+        if t[0] == "open":
+            opened.setdefault(t[1], []).append(k)
+        elif t[0] == "close" and opened.get(t[1]):
+            end[opened[t[1]].pop()] = k + 1
+    block = len(toks)
+    for k in range(len(toks) - 1, -1, -1):
+        if toks[k][0] == "open":
+            end[k] = end[k] or block
+            if toks[k][1] not in INLINE:
+                block = k
+    return end
 
 
 def scored(toks: list[tuple], weights: Weights) -> list[tuple[float, str, str]]:
     """(score, kind, text) of each token; a boilerplate element is one of kind
-    "block", as are block tags; others are "inline" or "text"."""
+    "block", as are block tags; others are "inline" or "text". An element that holds the
+    longest article or main element, or most of the page's words, is never one: the
+    scan decides about what is in it."""
     out: list[tuple[float, str, str]] = []
-    word = weights.word()
+    word, end = weights.word(), extents(toks)
+    before = list(accumulate((len(t[1].split()) if t[0] == "text" else 0 for t in toks), initial=0))
+    marked = [i for i, t in enumerate(toks) if t[0] == "open" and t[1] in ("article", "main")]
+    marker = max(marked, key=lambda i: before[end[i]] - before[i], default=None)
     k, depth, linked = 0, 0, 0
     while k < len(toks):
         t = toks[k]
         if t[0] == "text":
-            n = len(t[1].split())
+            n = before[k + 1] - before[k]
             out.append((0.0 if linked else word * n, "text", t[1]))
         elif t[0] == "gap":
             out.append((TAG_CEILING, "block", ""))
         else:
             if t[0] == "open":
                 bad = None if t[1] in INLINE or t[1] in VOID or t[1] in _PAGE else weights.boilerplate(t[2], depth > 0)
-                if bad is not None or t[1] == "head":
+                holds = marker is not None and k < marker < end[k] or before[end[k]] - before[k] >= MOST * before[-1] > 0
+                if bad is not None and not holds or t[1] == "head":
                     out.append((TAG_FLOOR if bad is None else bad, "block", ""))
-                    k = _skip(toks, k)
+                    k = end[k]
                     continue
             step = 1 if t[0] == "open" else -1
             if t[1] in ("article", "main"):
