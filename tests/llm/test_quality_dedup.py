@@ -110,3 +110,11 @@ def test_pipeline(spark, tmp_path):
     ids = sorted(by_text.values())
     keep = set(brute_components(ids, [brute_fingerprint(texts[i]) for i in ids], 4))
     assert {r.doc_id for r in docs.collect()} == keep
+
+
+def test_rows_with_maps_pass_both_dedups(spark):
+    from vitrine.llm import simhash
+    rows = [(1, "same text here", {"a": 1}), (1, "same text here", {"b": 2}), (2, "another", None), (3, "same text here", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")
+    for kept in (exact_dedup.drop_repeats(docs), simhash.keep_one(docs, width=4, radius=4)):
+        assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["another", "same text here"]

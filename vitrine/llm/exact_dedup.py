@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.shared import all_of, cut, lookup
+from vitrine.llm.shared import all_of, cut, lookup, row_hash
 
 BLOCK_BITS = 1 << 15            # one value of bitmap_construct_agg: 4 KiB
 BITS_PER_ROW = 16
@@ -93,11 +93,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = docs.count()
     text = F.coalesce(F.col(text_col), F.lit(""))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
-                         F.col(id_col).alias("id"), text.alias("t"))
+                         F.col(id_col).alias("id"), text.alias("t"), row_hash(docs).alias("tie"))
     keys = docs.select(*_keys(_blocks(n), text))
     bits = cut(repeated_bits(keys))
-    rows = packed.select("row", "id", F.sha2("t", 256).alias("sha"), *_keys(_blocks(n), F.col("t")))
+    rows = packed.select("row", "id", "tie", F.sha2("t", 256).alias("sha"), *_keys(_blocks(n), F.col("t")))
     rows = _flagged(rows, bits)
-    order = F.struct(F.col("id").isNotNull(), F.col("id"), F.xxhash64("row"))
+    order = F.struct(F.col("id").isNotNull(), F.col("id"), F.col("tie"))
     best = rows.where("maybe").groupBy("sha").agg(F.max_by("row", order).alias("row"))
     return rows.where(~F.col("maybe")).select("row.*").unionByName(best.select("row.*"))

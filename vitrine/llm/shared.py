@@ -124,3 +124,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of whole rows that takes maps, too, for an order among rows that agree in all else."""
+    cols = [F.col(f"`{name}`") for name in df.columns]
+    return F.xxhash64(*[c.cast("string") if "map<" in kind or kind == "variant" else c for c, (_, kind) in zip(cols, df.dtypes)])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.shared import components, cut, flag_in, lookup
+from vitrine.llm.shared import components, cut, flag_in, lookup, row_hash
 from vitrine.session import ship_package
 
 WIDTH = 4
@@ -344,10 +344,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     many = cut(lookup(of.select("fp", "root"), "root", shared, "inner").select("fp", "root"))
     texts = cut(lookup(slim, "fp", many, "inner").select("k", "sha", "root").distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       F.col(f"`{id_col}`").alias("id"), *names)
+                       F.col(f"`{id_col}`").alias("id"), row_hash(docs).alias("tie"), *names)
     rows = flag_in(rows, "k", texts)
     found = rows.where("__maybe").join(texts.select("sha", "root"), "sha", "left")
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("row"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("tie"))
     one = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min_by("row", order).alias("row"))
     alone = rows.where(~F.col("__maybe")).select("row.*").unionByName(found.where(F.col("root").isNull()).select("row.*"))
     return alone.unionByName(one.select("row.*"))
