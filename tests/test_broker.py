@@ -39,27 +39,47 @@ def test_publish_continues_offsets(spark):
     assert out == {("a", 3), ("b", 1)}
 
 
+def _log(spark, done):
+    """Topic a with one message per entry, processed where true, and topic b with one open message."""
+    M = B.assign_offsets(_msgs(spark, [("a", i) for i in range(len(done))] + [("b", 50)]), ["timestamp", "seq"])
+    rows = [(i, T0 + dt.timedelta(hours=1) if x else None, 0 if x else 1 + i) for i, x in enumerate([*done, False])]
+    out = spark.createDataFrame(rows, "seq long, processed_at timestamp_ntz, retry_count int")
+    return M.join(out, "seq").withColumns({"created_at": F.col("timestamp"), "event_type": F.concat(F.lit("E"), F.col("seq") % 2)})
+
+
 def test_poll_limit_and_after_commit(spark):
-    M = B.assign_offsets(_msgs(spark, [("a", i) for i in range(5)]), ["timestamp", "seq"])
-    subs = spark.createDataFrame([("g", "a", 1)], "group string, topic string, priority int")
-    none = spark.createDataFrame([], "group string, topic string, offset long")
-    assert sorted(r.offset for r in B.poll(M, subs, none, 3).collect()) == [1, 2, 3]
-    c = spark.createDataFrame([("g", "a", 3)], "group string, topic string, offset long")
-    assert sorted(r.offset for r in B.poll(M, subs, c, 10).collect()) == [4, 5]
+    M = _log(spark, [True, True, False, True, False])
+    position = B.progress(M)
+    assert {(r.topic, r.offset, r.last_offset, r.waiting) for r in position.collect()} == {("a", 2, 5, 2), ("b", 0, 1, 1)}
+    assert {(r.topic, r.offset) for r in B.poll(M, position).collect()} == {("a", 3), ("a", 4), ("a", 5), ("b", 1)}
+    assert {(r.topic, r.offset) for r in B.poll(M, position, 2).collect()} == {("a", 3), ("a", 4), ("b", 1)}
+    none = position.limit(0)
+    assert sorted(r.offset for r in B.poll(M, none, 3).where("topic = 'a'").collect()) == [1, 2, 3]
 
 
-def test_commit_is_monotone(spark):
-    c = spark.createDataFrame([("g", "a", 5)], "group string, topic string, offset long")
-    acks = spark.createDataFrame([("g", "a", 3), ("g", "b", 2)], "group string, topic string, offset long")
-    got = {(r.topic, r.offset) for r in B.commit(c, acks).collect()}
-    assert got == {("a", 5), ("b", 2)}
+def test_everything_processed_leaves_nothing_to_poll(spark):
+    M = _log(spark, [True, True]).where("topic = 'a'")
+    assert B.progress(M).first().offset == 2 and B.poll(M, B.progress(M)).count() == 0
 
 
-def test_broker_stats(spark):
-    M = B.assign_offsets(_msgs(spark, [("a", 1), ("b", 2)]), ["timestamp", "seq"])
-    c = spark.createDataFrame([("g1", "a", 1), ("g2", "b", 1)], "group string, topic string, offset long")
-    s = B.broker_stats(M, c).first()
-    assert (s.topics, s.consumer_groups, s.messages) == (2, 2, 2)
+def test_commit_is_monotone(spark):
+    c = spark.createDataFrame([("a", 5)], "topic string, offset long")
+    acks = spark.createDataFrame([("a", 3), ("b", 2)], "topic string, offset long")
+    assert {(r.topic, r.offset) for r in B.commit(c, acks).collect()} == {("a", 5), ("b", 2)}
+
+
+def test_topic_statistics(spark):
+    M = _log(spark, [True, True, False, True, False])
+    s = {r.topic: r for r in B.broker_stats(M).collect()}
+    assert (s["a"].messages, s["a"].event_types, s["a"].last_offset) == (5, 2, 5) and s["b"].messages == 1
+    p = {r.topic: r for r in B.publisher_stats(M).collect()}
+    assert (p["a"].total_messages, p["a"].total_batches, p["a"].total_failures, p["a"].avg_batch_size) == (5, 1, 2, 5.0)
+    c = {(r.topic, r.event_type): r for r in B.consumer_stats(M).collect()}
+    e0 = c["a", "E0"]                                   # messages 0, 2, 4: the last two open, after 3 and 5 attempts
+    assert (e0.consumed, e0.processed, e0.failed, e0.retried, e0.dead, e0.max_offset) == (3, 1, 2, 1, 1, 5)
+    assert e0.avg_ms_per_message == 3_600_000
+    g = {r.topic: r for r in B.group_stats(B.consumer_stats(M)).collect()}
+    assert (g["a"].event_types, g["a"].consumed, g["a"].failed, g["a"].dead) == (2, 5, 2, 1)
 
 
 def test_retry_then_dead(spark):

@@ -61,24 +61,6 @@ def consumer_backoff_ms(retry) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), _c(retry)) * CONSUMER_BACKOFF_MS
 
 
-def meta_long(meta, key: str, default=None) -> Column:
-    """metadata[key] parsed as a long; missing -> default, bad text -> default."""
-    parsed = F.expr(f"try_cast(trim(try_element_at({_sql(meta)}, '{key}')) AS BIGINT)")
-    d = F.lit(default).cast("bigint") if default is not None else F.lit(None).cast("bigint")
-    return F.coalesce(parsed, d)
-
-
-def meta_double(meta, key: str) -> Column:
-    """metadata[key] parsed as a double, bad or missing -> null."""
-    return F.expr(f"try_cast(trim(try_element_at({_sql(meta)}, '{key}')) AS DOUBLE)")
-
-
-def _sql(x) -> str:
-    if isinstance(x, str):
-        return f"`{x}`"
-    raise TypeError("pass a column name")
-
-
 def retry_count_header(headers: str = "headers") -> Column:
     """retry-count header as int, default 0."""
     return F.coalesce(F.expr(f"try_cast(try_element_at(`{headers}`, 'retry-count') AS INT)"), F.lit(0))

@@ -1,8 +1,9 @@
 """Topic operators as set operations over a message frame ``M``.
 
-W1 dense per-topic offsets, ST16 publish, ST3 bounded poll, ST4 commit,
-ST5 independent consumer groups, ST8 retry / dead-letter split,
-A6-A9 broker, publisher, consumer and group statistics.
+W1 dense per-topic offsets, ST16 publish, ST3 messages after a commit position, ST4 commit
+positions, ST8 retry / dead-letter split, A6-A9 topic, publishing and delivery statistics.
+All of them read the delivery outcome that the outbox records with every message; consumer groups
+are streaming queries (``streaming.streams.consume``).
 """
 
 from __future__ import annotations
@@ -58,35 +59,31 @@ def publish(new: DataFrame, M: DataFrame, order: list[str]) -> DataFrame:
     return assign_offsets(new.drop("offset"), order, start=last)
 
 
-def poll(M: DataFrame, subscriptions: DataFrame, committed: DataFrame, n: int) -> DataFrame:
-    """ST3: for each consumer group, the first subscribed topic (by
-    ``priority``) that has messages after the committed offset, and from it
-    the first n messages. ``subscriptions``: group, topic, priority;
-    ``committed``: group, topic, offset."""
-    c = committed.select("group", "topic", F.col("offset").alias("_committed"))
-    pending = (M.join(subscriptions, "topic")
-               .join(c, ["group", "topic"], "left")
-               .filter(F.col("offset") > F.coalesce(F.col("_committed"), F.lit(0))))
-    first_topic = pending.groupBy("group").agg(F.min("priority").alias("priority"))
-    chosen = pending.join(first_topic, ["group", "priority"])
-    w = Window.partitionBy("group").orderBy("offset")
-    return (chosen.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-            .drop("_r", "_committed"))
+def progress(M: DataFrame) -> DataFrame:
+    """ST4: per topic the commit position ``offset``, up to which every message has been
+    processed, the last offset, and how many messages after the position wait."""
+    open_at = F.min(F.when(F.col("processed_at").isNull(), F.col("offset")))
+    return M.groupBy("topic").agg(
+        F.coalesce(open_at - 1, F.max("offset")).alias("offset"), F.max("offset").alias("last_offset"),
+        F.count_if(F.col("processed_at").isNull()).alias("waiting"))
 
 
 def commit(committed: DataFrame, acks: DataFrame) -> DataFrame:
-    """ST4: new committed offset per (group, topic); monotone (max), so a late
+    """ST4: new commit position per topic; monotone (max), so a late
     acknowledgement cannot move it back (Q11)."""
-    u = committed.select("group", "topic", "offset").unionByName(
-        acks.select("group", "topic", "offset"))
-    return u.groupBy("group", "topic").agg(F.max("offset").alias("offset"))
+    u = committed.select("topic", "offset").unionByName(acks.select("topic", "offset"))
+    return u.groupBy("topic").agg(F.max("offset").alias("offset"))
 
 
-def consume(M: DataFrame, committed: DataFrame, group: str) -> DataFrame:
-    """ST5: one group's view of a topic: everything after its own offset."""
-    c = committed.filter(F.col("group") == group).select("topic", F.col("offset").alias("_c"))
-    return (M.join(c, "topic", "left").filter(F.col("offset") > F.coalesce("_c", F.lit(0)))
-            .drop("_c").withColumn("group", F.lit(group)))
+def poll(M: DataFrame, committed: DataFrame, n: int | None = None) -> DataFrame:
+    """ST3: the messages after each topic's commit position, all or the first ``n`` of each topic (cut before
+    the shuffle). A topic without a position is read from its start."""
+    c = F.broadcast(committed.select("topic", F.col("offset").alias("_committed")))      # one row a topic
+    pending = M.join(c, "topic", "left").filter(F.col("offset") > F.coalesce(F.col("_committed"), F.lit(0))).drop("_committed")
+    if n is None:
+        return pending
+    w = Window.partitionBy("topic").orderBy("offset")
+    return pending.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
 def split_retry_dead(failed: DataFrame, max_retries: int = MX.MAX_CONSUMER_RETRIES) -> DataFrame:
@@ -104,51 +101,37 @@ def split_retry_dead(failed: DataFrame, max_retries: int = MX.MAX_CONSUMER_RETRI
             .drop("_retry"))
 
 
-def broker_stats(M: DataFrame, committed: DataFrame) -> DataFrame:
-    """Topics, consumer groups, messages (= sum of each topic's last offset).
-    Two tiny aggregates combined through a tagged union, not a join."""
-    per_topic = M.groupBy("topic").agg(F.max("offset").alias("last"))
-    a = per_topic.select(F.lit(1).alias("t"), F.col("last").alias("m"),
-                         F.lit(None).cast("string").alias("g"))
-    b = committed.select(F.lit(0).alias("t"), F.lit(0).cast("bigint").alias("m"),
-                         F.col("group").alias("g"))
-    return a.unionByName(b).agg(
-        F.sum("t").cast("bigint").alias("topics"),
-        F.count_distinct("g").alias("consumer_groups"),
-        F.coalesce(F.sum("m"), F.lit(0)).cast("bigint").alias("messages"))
-
-
-def publisher_stats(log: DataFrame) -> DataFrame:
-    """Over a publish log (batch_id, messages, failed, published_at):
-    messages, batches, failures, mean batch size (0.0 without batches), last time."""
-    return log.agg(
-        F.coalesce(F.sum("messages"), F.lit(0)).cast("bigint").alias("total_messages"),
-        F.count(F.lit(1)).alias("total_batches"),
-        F.coalesce(F.sum("failed"), F.lit(0)).cast("bigint").alias("total_failures"),
-        F.coalesce(F.sum("messages") / F.count(F.lit(1)), F.lit(0.0)).alias("avg_batch_size"),
-        F.max("published_at").alias("last_publish"))
-
-
-def consumer_stats(log: DataFrame) -> DataFrame:
-    """Per consumer over a consumption log (group, consumer, batch_id,
-    offset, status ok|failed|retried|dead, processing_ms, processed_at)."""
-    s = F.col("status")
-    return log.groupBy("group", "consumer").agg(
-        F.count(F.lit(1)).alias("consumed"),
-        F.count_distinct("batch_id").alias("batches"),
-        F.count_if(s != "ok").alias("failed"),
-        F.count_if(s == "retried").alias("retried"),
-        F.count_if(s == "dead").alias("dead"),
-        F.avg("processing_ms").alias("avg_ms_per_message"),
-        F.max("processed_at").alias("last_processed"),
-        F.max("offset").alias("max_offset"))
+def broker_stats(M: DataFrame) -> DataFrame:
+    """Per topic: messages (= its last offset when offsets are dense), event types, first and last time."""
+    return M.groupBy("topic", "event_type").agg(
+        F.count(F.lit(1)).alias("messages"), F.max("offset").alias("last_offset"), F.min("timestamp").alias("first_at"),
+        F.max("timestamp").alias("last_at")).groupBy("topic").agg(
+        F.sum("messages").alias("messages"), F.count(F.lit(1)).alias("event_types"), F.max("last_offset").alias("last_offset"),
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+
+
+def publisher_stats(M: DataFrame) -> DataFrame:
+    """Per topic, over its publishing days: messages, days, failed messages, mean messages a day, last time."""
+    days = M.groupBy("topic", F.to_date("timestamp").alias("day")).agg(
+        F.count(F.lit(1)).alias("messages"), F.count_if(F.col("retry_count") > 0).alias("failed"), F.max("timestamp").alias("last"))
+    return days.groupBy("topic").agg(
+        F.sum("messages").alias("total_messages"), F.count(F.lit(1)).alias("total_batches"), F.sum("failed").alias("total_failures"),
+        (F.sum("messages") / F.count(F.lit(1))).alias("avg_batch_size"), F.max("last").alias("last_publish"))
+
+
+def consumer_stats(M: DataFrame) -> DataFrame:
+    """Delivery per topic and event type: messages, processed, failed, retried, dead, mean time from
+    creation to processing, last processing and last offset."""
+    r = F.col("retry_count")
+    lag = (F.unix_millis(F.col("processed_at").cast("timestamp")) - F.unix_millis(F.col("created_at").cast("timestamp")))
+    return M.groupBy("topic", "event_type").agg(
+        F.count(F.lit(1)).alias("consumed"), F.count("processed_at").alias("processed"), F.count_if(r > 0).alias("failed"),
+        F.count_if((r > 0) & (r < MX.MAX_OUTBOX_RETRIES)).alias("retried"), F.count_if(r >= MX.MAX_OUTBOX_RETRIES).alias("dead"),
+        F.avg(lag).alias("avg_ms_per_message"), F.max("processed_at").alias("last_processed"), F.max("offset").alias("max_offset"))
 
 
 def group_stats(per_consumer: DataFrame) -> DataFrame:
-    """Group roll-up: sums, and the unweighted mean of the workers' means."""
-    return per_consumer.groupBy("group").agg(
-        F.count(F.lit(1)).alias("workers"),
-        F.sum("consumed").alias("consumed"),
-        F.sum("failed").alias("failed"),
-        F.sum("dead").alias("dead"),
-        F.avg("avg_ms_per_message").alias("avg_ms_per_message"))
+    """Per topic: sums, and the unweighted mean of its event types' mean times."""
+    return per_consumer.groupBy("topic").agg(
+        F.count(F.lit(1)).alias("event_types"), F.sum("consumed").alias("consumed"), F.sum("failed").alias("failed"),
+        F.sum("dead").alias("dead"), F.avg("avg_ms_per_message").alias("avg_ms_per_message"))

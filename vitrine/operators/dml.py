@@ -62,10 +62,9 @@ def create_products(P: DataFrame, req: DataFrame, as_of: Column
     dups = Q.duplicate_skus(rows.withColumnRenamed("sku", "sku_norm"), P)
     accepted = rows.join(dups.select("request_id"), "request_id", "left_anti")
     # identity: current max id + 1 + request_id (gaps allowed, like a sequence)
-    max_id = P.agg(F.max("id")).first()[0]
-    base = (max_id if max_id is not None else 0) + 1
+    base = F.coalesce(P.agg(F.max("id")).scalar(), F.lit(0)) + 1
     new = accepted.select(
-        (F.lit(base) + F.col("request_id")).cast("bigint").alias("id"),
+        (base + F.col("request_id")).cast("bigint").alias("id"),
         *[F.col(c) for c in PRODUCT_FIELDS],
         as_of.alias("created_at"), as_of.alias("updated_at"), F.lit(0).cast("bigint").alias("version"),
         "click_count", "purchase_count",

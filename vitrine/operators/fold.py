@@ -17,12 +17,12 @@ from pyspark.sql import types as T
 
 from vitrine.functions import features as FX
 from vitrine.functions import messaging as MX
+from vitrine.operators.joins import salted
 from vitrine.sources import schemas as SC
 
 LIFECYCLE = ["ProductCreated", "ProductUpdated", "ProductDeleted"]
 METRIC = ["ProductViewed", "ProductPurchased"]
 CORRUPT = "_corrupt"
-SALTS = 16                  # parts a product's metric events are dealt over
 JSON_OPTS = {"timestampNTZFormat": SC.JSON_TIME_FORMAT, "timestampFormat": SC.JSON_TIME_FORMAT}
 
 
@@ -82,16 +82,6 @@ def metric_increments(E: DataFrame) -> DataFrame:
         F.when(is_view, pop).alias("pop_set"))
 
 
-def salted(rows: DataFrame, small: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """``rows`` (with an offset) left-joined with ``small``, which has a key at
-    most once and narrow rows. One key may hold a third of ``rows``: they are
-    dealt over ``salts`` parts by offset and ``small`` is repeated for each, so
-    that an aggregate by the key afterwards starts with partial sums."""
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("offset"), F.lit(salts)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
-
-
 def latest_lifecycle(E: DataFrame, mode: str = "replace") -> DataFrame:
     """Per product, the last lifecycle event (max_by over offset), and the
     last absolute view count (``set_to`` at offset ``set_off``) if any.
@@ -149,7 +139,7 @@ def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True) -> tupl
     was_set = F.col("set_off") > F.col("counter_from")
     mj = salted(metrics, L.select(
         "product_id", "counter_from", F.when(was_set, F.col("set_off")).otherwise(F.col("counter_from")).alias("click_from"),
-        F.col("L.offset").alias("l_off"), F.col("L.event_type").alias("l_type")), "product_id")
+        F.col("L.offset").alias("l_off"), F.col("L.event_type").alias("l_type")), "product_id", "offset")
     live = (F.col("l_type").isNotNull() & (F.col("l_type") != "ProductDeleted"))
     counted = mj.filter(live & (F.col("offset") > F.col("counter_from")))
     dropped = mj.filter(F.col("product_id").isNull() | F.col("l_type").isNull()
@@ -219,26 +209,34 @@ def apply_metrics(D: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def merge_batch(D: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """``merge_slice`` without the dropped metric events."""
+    return merge_slice(D, batch)[0]
+
+
+def merge_slice(D: DataFrame | None, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """ST9 incremental form: fold one more slice of the log (a micro-batch,
-    offsets after everything already in D) into documents D.
+    offsets after everything already in D) into documents D. Returns (documents,
+    metric events that find no document once the slice is folded).
 
     Products with a lifecycle event in the slice are rebuilt from it exactly as
     ``fold_events`` does; the others only take the slice's metric events:
     counters add (null counts as 0 once touched), popularity is the last
     metric event's absolute value, else F13 of the new counters. Products
-    without a live document ignore their metric events. One partial aggregate
+    without a live document drop their metric events. One partial aggregate
     per product per slice, so a hot product costs one row per map task.
     """
     E = parse_events(batch)
     L = latest_lifecycle(E).select("product_id")
-    rebuilt, _ = fold_events(batch, dedup=False)
+    rebuilt, dropped = fold_events(batch, dedup=False)
     if D is None:
-        return rebuilt
+        return rebuilt, dropped
+    untouched = D.select("product_id").join(L, "product_id", "left_anti")
+    dropped = dropped.join(untouched, "product_id", "left_anti").select(*dropped.columns)
     m = metric_increments(E.filter(F.col("event_type").isin(METRIC)))
     sets = m.filter(F.col("total").isNotNull()).groupBy("product_id").agg(
         F.max("offset").alias("set_off"), F.max_by("total", "offset").alias("set_to"))
     later = F.col("set_off").isNull() | (F.col("offset") > F.col("set_off"))
-    agg = salted(m, sets, "product_id").groupBy("product_id").agg(
+    agg = salted(m, sets, "product_id", "offset").groupBy("product_id").agg(
         F.sum(F.when(later, F.col("view_inc"))).alias("_dc"), F.count("view_inc").alias("_nv"),
         F.max("set_to").alias("_set"),
         F.sum("buy_inc").alias("_dp"), F.count("buy_inc").alias("_nb"),
@@ -254,7 +252,7 @@ def merge_batch(D: DataFrame | None, batch: DataFrame) -> DataFrame:
                  ).otherwise(F.col("popularity_score"))
     new = {"click_count": c.cast("bigint"), "purchase_count": p.cast("bigint"), "popularity_score": pop}
     kept = kept.select(*[new[x].alias(x) if x in new else F.col(x) for x in D.columns])
-    return kept.unionByName(rebuilt.select(*D.columns))
+    return kept.unionByName(rebuilt.select(*D.columns)), dropped
 
 
 # roll-ups ------------------------------------------------------------------------
@@ -269,23 +267,41 @@ def daily_views(views: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("views"))
 
 
+def _distinct_bits(rows: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """One row with an exact distinct count for each kind of whole number: one pass that turns numbers into
+    bits of blocks of 2^15, one row a block and task, and sums the set bits."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("bigint").alias("x")) for k, c in kinds.items()]))
+    numbers = rows.select(each.alias("e")).select("e.kind", "e.x").where("x is not null")
+    blocks = (numbers.groupBy("kind", F.bitmap_bucket_number("x").alias("block"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")))
+    return blocks.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.bitmap_count("bits"))), F.lit(0)).alias(k) for k in kinds])
+
+
 def view_stats(views: DataFrame) -> DataFrame:
-    """A11 (inferred fields): total views, products viewed, active days, viewers."""
-    return views.agg(F.count(F.lit(1)).alias("total_views"),
-                     F.count_distinct("product_id").alias("products_viewed"),
-                     F.count_distinct(F.to_date("ts")).alias("active_days"),
-                     F.count_distinct("user_id").alias("viewers"))
+    """A11 (inferred fields): total views, products viewed, active days, viewers. Ids are dense numbers, so
+    their bitmaps are small; the total comes from the same kind of pass."""
+    parts = [views.agg(F.count(F.lit(1)).alias("total_views")),
+             _distinct_bits(views, {"products_viewed": F.col("product_id"), "active_days": F.unix_date(F.to_date("ts")),
+                                    "viewers": F.col("user_id")})]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("total_views", "products_viewed", "active_days", "viewers")])
 
 
 def purchase_stats(purchases: DataFrame) -> DataFrame:
     """Per product: quantity, revenue = sum(unit price x quantity) in
-    Decimal (F14), distinct orders, buyers."""
+    Decimal (F14), distinct orders, buyers. Purchases are first summed per product, order
+    and buyer; orders and buyers are groups of that, each counted by itself, so no row is repeated per
+    distinct count and a hot product is spread over its orders."""
     line_total = (F.col("unit_price") * F.col("quantity").cast("decimal(10,0)"))
-    return purchases.groupBy("product_id").agg(
-        F.sum(F.col("quantity").cast("bigint")).alias("quantity"),
-        F.sum(line_total).cast("decimal(20,2)").alias("revenue"),
-        F.count_distinct("order_id").alias("orders"),
-        F.count_distinct("user_id").alias("buyers"))
+    groups = purchases.groupBy("product_id", "order_id", "user_id").agg(
+        F.sum(F.col("quantity").cast("bigint")).alias("quantity"), F.sum(line_total).alias("revenue"))
+    total = groups.groupBy("product_id").agg(F.sum("quantity").alias("quantity"),
+                                             F.sum("revenue").cast("decimal(20,2)").alias("revenue"))
+
+    def distinct(c: str, name: str) -> DataFrame:
+        return groups.groupBy("product_id", c).agg(F.lit(1)).groupBy("product_id").agg(F.count(c).alias(name))
+
+    return total.join(distinct("order_id", "orders"), "product_id").join(distinct("user_id", "buyers"), "product_id")
 
 
 def popularity_from_counters(P: DataFrame, views: DataFrame, purchases: DataFrame,

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.operators.joins import salted
+
 # Limits, patterns (F23) and messages of the request contract.
 NAME_MAX, DESCRIPTION_MAX, SKU_MAX = 255, 5000, 100
 PRICE_MIN = "0.01"
@@ -108,10 +110,10 @@ def duplicate_skus(req: DataFrame, P: DataFrame, sku_col: str = "sku_norm") -> D
     """V5: requests whose normalised SKU exists in the table, or repeats an
     earlier request (lower request_id) of the same batch. Adds ``code``.
     The earliest request of a SKU is found with a min aggregate, not a window,
-    so a SKU repeated in a third of the batch is still reduced map-side."""
+    and the requests meet it dealt over parts, so a SKU may be repeated in a third of the batch."""
     first = req.groupBy(sku_col).agg(F.min("request_id").alias("_first"))
     existing = P.select(F.col("sku").alias(sku_col)).distinct().withColumn("_exists", F.lit(True))
-    j = req.join(first, sku_col).join(existing, sku_col, "left")
+    j = salted(req, first.join(existing, sku_col, "left"), sku_col, "request_id").where(F.col("_first").isNotNull())
     dup = F.coalesce(F.col("_exists"), F.lit(False)) | (F.col("request_id") != F.col("_first"))
     return (j.filter(dup).drop("_first", "_exists")
             .withColumn("code", F.lit(PRODUCT_ALREADY_EXISTS)))

@@ -1,18 +1,19 @@
-"""Registered event queries: topic offsets (W1), poll/commit (ST3/ST4),
-idempotency (ST6), retry split (ST8), fold (ST9/W3/ST11), metric merge (J8),
-broker / publisher / consumer statistics (A6-A9), view and purchase roll-ups
+"""Registered event queries: topic offsets (W1), backlog and commit positions (ST3/ST4),
+idempotency (ST6), retry split (ST8), fold (ST9/W3/ST11), metric merge (J8), error output (S5),
+topic / publishing / delivery statistics (A6-A9), view and purchase roll-ups
 (A10-A13)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitrine.functions import messaging as MX
 from vitrine.operators import broker as B
 from vitrine.operators import fold as FO
 from vitrine.operators import outbox as OB
 from vitrine.operators import sync as S
 from vitrine.plans import views as V
-from vitrine.plans.registry import joined, money, register
+from vitrine.plans.registry import money, register
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
@@ -246,123 +247,110 @@ def q_sync_stats(spark, sf):
     return S.sync_stats(V.product(spark, sf), folded_index(spark, sf))
 
 
-# --- broker ---------------------------------------------------------------------------
-def subscriptions(spark):
-    """Consumer groups of the catalogue and the topics they read, in order.
-    Fixed configuration (like the reference's listener registry)."""
-    rows = [("search-sync", "product-events", 1), ("analytics", "order-events", 1),
-            ("analytics", "product-events", 2), ("notifications", "user-events", 1)]
-    return spark.createDataFrame(rows, "group string, topic string, priority int")
+# --- topics and delivery ----------------------------------------------------------------
+PROGRESS_SQL = f"""
+, now AS (SELECT topic, coalesce(min(CASE WHEN processed_at IS NULL THEN "offset" END) - 1, max("offset")) AS "offset",
+                 max("offset") AS last_offset, count(*) FILTER (WHERE processed_at IS NULL) AS waiting
+          FROM topic_v GROUP BY topic),
+ago AS (SELECT topic, coalesce(min(CASE WHEN processed_at IS NULL OR processed_at >= {AS_OF} - INTERVAL 7 DAY THEN "offset" END) - 1,
+                               max("offset")) AS "offset" FROM topic_v GROUP BY topic)"""
 
 
-def committed_week_ago(M, subs):
-    """Each group has consumed everything published before AS_OF - 7 days."""
+def progress_week_ago(M):
+    """Commit positions as they were at AS_OF - 7 days."""
     cutoff = V.as_of() - F.make_dt_interval(F.lit(7))
-    last = (M.filter(F.col("timestamp") < cutoff).groupBy("topic")
-            .agg(F.max("offset").alias("offset")))
-    return subs.join(last, "topic").select("group", "topic", "offset")
-
-
-COMMITTED_SQL = f"""
-, subs AS (SELECT * FROM (VALUES ('search-sync', 'product-events', 1), ('analytics', 'order-events', 1),
-                                 ('analytics', 'product-events', 2), ('notifications', 'user-events', 1))
-           AS t("group", topic, priority)),
-last AS (SELECT topic, max("offset") AS "offset" FROM topic_v
-         WHERE "timestamp" < {AS_OF} - INTERVAL 7 DAY GROUP BY topic),
-committed AS (SELECT s."group", s.topic, l."offset" FROM subs s JOIN last l ON l.topic = s.topic),
-pending AS (SELECT s."group", s.priority, t.* FROM topic_v t JOIN subs s ON s.topic = t.topic
-            LEFT JOIN committed c ON c."group" = s."group" AND c.topic = t.topic
-            WHERE t."offset" > coalesce(c."offset", 0)),
-firstp AS (SELECT "group", min(priority) AS priority FROM pending GROUP BY "group"),
-polled AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY p."group" ORDER BY p."offset") AS r
-                          FROM pending p JOIN firstp f ON f."group" = p."group" AND f.priority = p.priority)
-           WHERE r <= 100)"""
-
-
-@register("broker_poll", COMMITTED_SQL + """
-SELECT "group", topic, id, "offset" FROM polled""", ("topic_v",))
+    return B.progress(M.withColumn("processed_at", F.when(F.col("processed_at") < cutoff, F.col("processed_at"))))
+
+
+@register("broker_poll", PROGRESS_SQL + """
+SELECT topic, id, "offset" FROM (
+  SELECT t.topic, t.id, t."offset", row_number() OVER (PARTITION BY t.topic ORDER BY t."offset") AS r
+  FROM topic_v t JOIN ago USING (topic) WHERE t."offset" > ago."offset") WHERE r <= 100""", ("topic_v",))
 def q_broker_poll(spark, sf):
+    """ST3: the first 100 messages of each topic after last week's commit position."""
     M = topic_log(spark, sf)
-    subs = subscriptions(spark)
-    return B.poll(M, subs, committed_week_ago(M, subs), 100).select("group", "topic", "id", "offset")
+    return B.poll(M, progress_week_ago(M), 100).select("topic", "id", "offset")
 
 
-@register("broker_commit", COMMITTED_SQL + """
-SELECT "group", topic, max("offset") AS "offset" FROM (
-  SELECT "group", topic, "offset" FROM committed
-  UNION ALL SELECT "group", topic, "offset" FROM polled) GROUP BY "group", topic""", ("topic_v",))
+@register("broker_backlog", PROGRESS_SQL + """
+SELECT t.topic, t.id, t."offset" FROM topic_v t JOIN now USING (topic) WHERE (t."offset" > now."offset")""", ("topic_v",))
+def q_broker_backlog(spark, sf):
+    """ST3 without a bound: every message after its topic's commit position."""
+    M = topic_log(spark, sf)
+    return B.poll(M, B.progress(M)).select("topic", "id", "offset")
+
+
+@register("broker_commit", PROGRESS_SQL + """
+SELECT topic, greatest(now."offset", ago."offset") AS "offset", last_offset, waiting FROM now JOIN ago USING (topic)""", ("topic_v",))
 def q_broker_commit(spark, sf):
+    """ST4: last week's commit positions moved on by what has been processed since."""
     M = topic_log(spark, sf)
-    subs = subscriptions(spark)
-    c = committed_week_ago(M, subs)
-    return B.commit(c, B.poll(M, subs, c, 100))
+    now = B.progress(M)
+    return B.commit(progress_week_ago(M), now).join(now.drop("offset"), "topic")
 
 
-@register("broker_stats", COMMITTED_SQL + """
-SELECT (SELECT count(DISTINCT topic) FROM topic_v) AS topics,
-       (SELECT count(DISTINCT "group") FROM committed) AS consumer_groups,
-       (SELECT CAST(sum(m) AS BIGINT) FROM (SELECT max("offset") AS m FROM topic_v GROUP BY topic)) AS messages""",
-          ("topic_v",))
+@register("broker_stats", """
+SELECT topic, count(*) AS messages, count(DISTINCT event_type) AS event_types, max("offset") AS last_offset,
+       min("timestamp") AS first_at, max("timestamp") AS last_at FROM topic_v GROUP BY topic""", ("topic_v",))
 def q_broker_stats(spark, sf):
-    M = topic_log(spark, sf)
-    subs = subscriptions(spark)
-    return B.broker_stats(M, committed_week_ago(M, subs))
+    return B.broker_stats(topic_log(spark, sf))
 
 
 @register("publisher_stats", """
-, b AS (SELECT topic, ("offset" - 1) // 50 AS batch_no, count(*) AS messages,
-               count(*) FILTER (WHERE retry_count > 0) AS failed, max("timestamp") AS published_at
+, b AS (SELECT topic, CAST("timestamp" AS DATE) AS day, count(*) AS messages,
+               count(*) FILTER (WHERE retry_count > 0) AS failed, max("timestamp") AS last
         FROM topic_v GROUP BY 1, 2)
-SELECT CAST(sum(messages) AS BIGINT) AS total_messages, count(*) AS total_batches,
+SELECT topic, CAST(sum(messages) AS BIGINT) AS total_messages, count(*) AS total_batches,
        CAST(sum(failed) AS BIGINT) AS total_failures, sum(messages) / count(*) AS avg_batch_size,
-       max(published_at) AS last_publish FROM b""", ("topic_v",))
+       max(last) AS last_publish FROM b GROUP BY topic""", ("topic_v",))
 def q_publisher_stats(spark, sf):
-    M = topic_log(spark, sf)
-    log = (M.groupBy("topic", F.expr("(offset - 1) div 50").alias("batch_id"))
-           .agg(F.count(F.lit(1)).alias("messages"),
-                F.count_if(F.col("retry_count") > 0).alias("failed"),
-                F.max("timestamp").alias("published_at")))
-    return B.publisher_stats(log)
-
-
-def consumption_log(M):
-    """The search-sync group's log over product-events: two workers by offset
-    parity, batches of 10, status from the delivery attempts of the row."""
-    r = F.col("retry_count")
-    return (M.filter(F.col("topic") == "product-events").select(
-        F.lit("search-sync").alias("group"),
-        F.concat(F.lit("worker-"), (F.col("offset") % 2).cast("string")).alias("consumer"),
-        F.expr("(offset - 1) div 10").alias("batch_id"), "offset",
-        F.when(r == 0, "ok").when(r >= 5, "dead").otherwise("retried").alias("status"),
-        (F.unix_millis(F.col("processed_at").cast("timestamp"))
-         - F.unix_millis(F.col("created_at").cast("timestamp"))).alias("processing_ms"),
-        F.col("processed_at").alias("processed_at")))
+    return B.publisher_stats(topic_log(spark, sf))
 
 
 CONSUMER_SQL = """
-, log AS (SELECT 'search-sync' AS "group", 'worker-' || CAST("offset" % 2 AS VARCHAR) AS consumer,
-                 ("offset" - 1) // 10 AS batch_id, "offset",
-                 CASE WHEN retry_count = 0 THEN 'ok' WHEN retry_count >= 5 THEN 'dead' ELSE 'retried' END AS status,
-                 epoch_ms(processed_at) - epoch_ms(created_at) AS processing_ms, processed_at
-          FROM topic_v WHERE topic = 'product-events'),
-per AS (SELECT "group", consumer, count(*) AS consumed, count(DISTINCT batch_id) AS batches,
-               count(*) FILTER (WHERE status <> 'ok') AS failed, count(*) FILTER (WHERE status = 'retried') AS retried,
-               count(*) FILTER (WHERE status = 'dead') AS dead, avg(processing_ms) AS avg_ms_per_message,
+, per AS (SELECT topic, event_type, count(*) AS consumed, count(processed_at) AS processed,
+               count(*) FILTER (WHERE retry_count > 0) AS failed,
+               count(*) FILTER (WHERE retry_count > 0 AND retry_count < 5) AS retried,
+               count(*) FILTER (WHERE retry_count >= 5) AS dead,
+               avg(epoch_ms(processed_at) - epoch_ms(created_at)) AS avg_ms_per_message,
                max(processed_at) AS last_processed, max("offset") AS max_offset
-        FROM log GROUP BY 1, 2)"""
+        FROM topic_v GROUP BY 1, 2)"""
 
 
 @register("consumer_stats", CONSUMER_SQL + " SELECT * FROM per", ("topic_v",))
 def q_consumer_stats(spark, sf):
-    return B.consumer_stats(consumption_log(topic_log(spark, sf)))
+    return B.consumer_stats(topic_log(spark, sf))
 
 
 @register("group_stats", CONSUMER_SQL + """
-SELECT "group", count(*) AS workers, CAST(sum(consumed) AS BIGINT) AS consumed, CAST(sum(failed) AS BIGINT) AS failed,
+SELECT topic, count(*) AS event_types, CAST(sum(consumed) AS BIGINT) AS consumed, CAST(sum(failed) AS BIGINT) AS failed,
        CAST(sum(dead) AS BIGINT) AS dead, avg(avg_ms_per_message) AS avg_ms_per_message FROM per GROUP BY 1""",
           ("topic_v",))
 def q_group_stats(spark, sf):
-    return B.group_stats(B.consumer_stats(consumption_log(topic_log(spark, sf))))
+    return B.group_stats(B.consumer_stats(topic_log(spark, sf)))
+
+
+@register("message_ids", """
+SELECT id, sha256(concat_ws('|', topic, partition_key, CAST("offset" AS VARCHAR))) AS message_id FROM topic_v""", ("topic_v",))
+def q_message_ids(spark, sf):
+    """the replay-safe id of every message."""
+    return topic_log(spark, sf).select("id", MX.message_id("topic", "partition_key", "offset").alias("message_id"))
+
+
+@register("corrupt_events", """
+SELECT 'msg-' || CAST(event_id AS VARCHAR) AS id, event_type,
+       CASE WHEN event_id % 17 = 0 THEN 'cut' ELSE 'no product' END AS kind
+FROM pevents_v WHERE event_id % 17 = 0
+   OR (event_id % 19 = 0 AND event_type IN ('ProductCreated', 'ProductUpdated', 'ProductDeleted'))""", ("pevents_v",))
+def q_corrupt_events(spark, sf):
+    """What the error output holds of a topic in which every 17th payload is cut short and every 19th
+    has no product id. The payload tells which it was."""
+    i = F.col("event_id")
+    cut = F.expr("substring(payload, 1, length(payload) - 2)")
+    nameless = F.regexp_replace("payload", '"productId":', '"other":')
+    M = B.assign_offsets(V.product_events(spark, sf).withColumn(
+        "payload", F.when(i % 17 == 0, cut).when(i % 19 == 0, nameless).otherwise(F.col("payload"))), ["timestamp", "event_id"])
+    return FO.corrupt_events(M).select("id", "event_type", F.when(F.col("payload").endswith("}"), "no product").otherwise("cut").alias("kind"))
 
 
 @register("consumer_retry_split", """
@@ -423,26 +411,22 @@ def q_popularity_recompute(spark, sf):
 
 @register("apply_metrics", """
 , d AS (SELECT * FROM doc_v),
-mv AS (SELECT product_id, count(*) AS c FROM views_v WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1)
+mv AS (SELECT product_id, count(*) AS c FROM views_v GROUP BY 1)
 SELECT d.product_id,
        CASE WHEN mv.product_id IS NOT NULL THEN d.click_count + mv.c ELSE d.click_count END AS click_count,
        CASE WHEN mv.product_id IS NOT NULL THEN CAST(d.click_count + mv.c AS DOUBLE) * 1.0 + CAST(d.purchase_count AS DOUBLE) * 10.0
             ELSE d.popularity_score END AS popularity_score
 FROM d LEFT JOIN mv ON mv.product_id = d.product_id""", ("doc_v", "views_v"))
 def q_apply_metrics(spark, sf):
-    """The last day's views merged into the documents as counter deltas."""
+    """All views merged into the documents as counter deltas."""
     D = S.full_sync(V.product(spark, sf), V.as_of())
-    recent = V.views(spark, sf).filter(F.col("ts") >= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
-    metrics = recent.groupBy("product_id").agg(F.count(F.lit(1)).alias("clicks")).select(
+    metrics = V.views(spark, sf).groupBy("product_id").agg(F.count(F.lit(1)).alias("clicks")).select(
         "product_id", "clicks", F.lit(None).cast("bigint").alias("purchases"),
         F.lit(None).cast("double").alias("popularity_set"))
     out, _ = FO.apply_metrics(D, metrics)
     return out.select("product_id", "click_count", "popularity_score")
 
 
-_ = joined
-
-
 @register("sync_ids", """
 SELECT id AS product_id, name, click_count FROM product_v WHERE id IN (SELECT product_id FROM views_v)""",
           ("product_v", "views_v"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.operators import broker as B
+from vitrine.operators import outbox as OB
 from vitrine.plans import views as V
 from vitrine.plans.queries_events import FOLD_SQL, _fold_out, product_topic
 from vitrine.plans.queries_outbox import DUE_SQL
@@ -44,13 +44,13 @@ def replay(df, ts_col: str, path: str, start_stream) -> None:
 @register("stream_fold", FOLD_SQL, ("pevents_v",))
 def q_stream_fold(spark, sf):
     """ST9 (stream form) + ST5/ST6/U2: the product topic replayed as slices and
-    folded batch by batch into versioned documents; equals the batch fold."""
+    folded batch by batch into the parts its products lie in; equals the batch fold."""
     log = product_topic(spark, sf)
     src = scratch_path(spark, "topic-product-events")
     docs = scratch_path(spark, "docs")
     group = f"search-sync-{docs.rsplit('-', 1)[-1]}"
     replay(log, "timestamp", src, lambda: ST.fold_stream(spark, src, log.schema, docs, group=group))
-    return _fold_out(ST.VersionedTable(docs).latest(spark))
+    return _fold_out(ST.documents_table(docs).latest(spark))
 
 
 @register("stream_daily_views", """
@@ -63,7 +63,7 @@ def q_stream_daily_views(spark, sf):
     name = f"daily-views-{out.rsplit('-', 1)[-1]}"
     replay(v, "ts", src, lambda: ST.daily_view_stream(spark, src, v.schema, out,
                                                       trigger=ST.AVAILABLE_NOW, name=name))
-    return ST.VersionedTable(out).latest(spark)
+    return ST.KeyedTable(out, "product_id").latest(spark)
 
 
 @register("stream_relay", f"""
@@ -73,14 +73,17 @@ SELECT 'outbox-' || CAST(id AS VARCHAR) AS id,
        event_type, aggregate_id AS partition_key
 FROM outbox_v WHERE (NOT processed AND retry_count = 0) OR {DUE_SQL}""", ("outbox_v",))
 def q_stream_relay(spark, sf):
-    """ST1/ST2/ST13: outbox files relayed by a stream into per-topic folders."""
+    """ST1/ST2/ST13: outbox files relayed by a stream into per-topic folders; due retries leave by the clock."""
     O = V.outbox(spark, sf)
     src = scratch_path(spark, "outbox")
     topics = scratch_path(spark, "topics")
     name = f"relay-{topics.rsplit('-', 1)[-1]}"
-    replay(O, "created_at", src, lambda: ST.relay_stream(spark, src, topics, O.schema, V.as_of(),
-                                                         trigger=ST.AVAILABLE_NOW, name=name, max_files=None))
+    start = lambda now, clock, trigger: ST.relay_stream(
+        spark, src, topics, O.schema, now, trigger=trigger, name=name, max_files=None, clock=clock)
+    early = F.lit(V.AS_OF_TEXT).cast("timestamp_ntz") - F.make_dt_interval(F.lit(400))
+    # every file arrives while no retry is due; what falls due later leaves when the clock says so, without a file
+    replay(O, "created_at", src, lambda: start(early, True, ST.AVAILABLE_NOW))
+    sent = lambda: spark.read.parquet(topics).count()
+    before, waiting = sent(), O.filter(OB.is_retry_due(V.as_of()) & ~OB.is_retry_due(early)).count()
+    ST.run_until(start(V.as_of(), True, ST.RELAY_TRIGGER), lambda: sent() >= before + waiting)
     return spark.read.parquet(topics).select("id", "topic", "event_type", "partition_key")
-
-
-_ = B

@@ -45,4 +45,4 @@ def money(c: str | Column) -> Column:
 
 def load_all() -> None:
     """Import the modules that register queries (idempotent)."""
-    from vitrine.plans import queries_catalog, queries_dml, queries_documents, queries_events, queries_outbox, queries_monitor, queries_search, queries_streaming  # noqa: F401
+    from vitrine.plans import queries_catalog, queries_dml, queries_documents, queries_events, queries_outbox, queries_monitor, queries_search, queries_sources, queries_streaming  # noqa: F401

@@ -1,13 +1,16 @@
 """Structured Streaming forms of the event operators.
 
 ST1/ST2 relay outbox rows to topic folders, ST5 one query (and checkpoint)
-per consumer group, ST6 idempotency, ST9 incremental fold into a versioned
-document table, ST10 daily view counters, ST13 trigger choices, U1-U3 listener registry (per-batch and per-message
+per consumer group, ST6 idempotency, ST9 incremental fold into a document table
+of which a micro-batch rewrites the parts it touches, ST10 daily view counters, ST13 trigger
+choices and daily runs, U1-U3 listener registry (per-batch and per-message
 handlers). Checkpoints live under the cluster's spark.checkpoint.dir.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -18,6 +21,8 @@ from pyspark.sql.streaming import StreamingQuery
 from vitrine.operators import fold as FO
 from vitrine.operators import outbox as OB
 from vitrine.session import checkpoint_dir
+from vitrine.sources.stored import KeyedTable, VersionedTable
+from vitrine.sources.tables import read_topic
 
 # ST13: schedules of the reference (relay every 1 s as configured, retries
 # every 10 s, view counters flushed every 30 s, retention once a day).
@@ -25,6 +30,7 @@ RELAY_TRIGGER = {"processingTime": "1 second"}
 RETRY_TRIGGER = {"processingTime": "10 seconds"}
 VIEW_FLUSH_TRIGGER = {"processingTime": "30 seconds"}
 PURGE_TRIGGER = {"processingTime": "24 hours"}
+PURGE_AT = dt.time(2, 0)
 AVAILABLE_NOW = {"availableNow": True}
 
 
@@ -45,32 +51,85 @@ def _start(writer, trigger: dict) -> StreamingQuery:
     return writer.trigger(**trigger).start()
 
 
+def ticks(spark: SparkSession) -> DataFrame:
+    """A clock: one row a second. Joined to a source (``with_clock``) it makes micro-batches
+    happen when time passes and no file arrives."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.lit(True).alias("_tick"))
+
+
+def with_clock(source: DataFrame) -> DataFrame:
+    """The source and a clock; rows of the clock are null but for ``_tick``."""
+    return source.withColumn("_tick", F.lit(False)).unionByName(ticks(source.sparkSession), allowMissingColumns=True)
+
+
 # ST1 / ST2 --------------------------------------------------------------------------
 def relay_stream(spark: SparkSession, outbox_path: str, topics_path: str, schema,
                  as_of: Column | Callable[[], Column], trigger: dict = RELAY_TRIGGER, name: str = "relay",
-                 max_files: int = 1) -> StreamingQuery:
+                 max_files: int = 1, clock: bool = True) -> StreamingQuery:
     """Outbox files -> topic folders (``batch=N/topic=T``, ST2). Each micro-batch
     relays its fresh and due rows and those of earlier batches that have become
-    due; rows not yet due wait in a table beside the topics. ``as_of`` is the
-    clock, asked once a micro-batch if callable. A re-run of a micro-batch
+    due; rows not yet due wait in a table beside the topics. With ``clock``, a micro-batch
+    comes each second with or without a new file, so a row leaves when it is due. ``as_of`` is the
+    time, asked once a micro-batch if callable. A re-run of a micro-batch
     rewrites its own folder and the same version of the waiting rows."""
-    r = spark.readStream.schema(schema)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
     waiting = VersionedTable(f"{topics_path.rstrip('/')}-waiting")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         now = as_of if isinstance(as_of, Column) else as_of()
+        if clock:
+            batch = batch.where(~F.col("_tick")).drop("_tick")
         before = waiting.latest_before(batch.sparkSession, batch_id)
-        rows = batch if before is None else batch.unionByName(before)
-        OB.route(OB.relay(rows, now), f"{topics_path.rstrip('/')}/batch={batch_id}", mode="overwrite")
-        waiting.write(rows.filter(OB.lifecycle(now) == "retry_waiting"), batch_id)
-
-    w = (r.parquet(outbox_path).writeStream.foreachBatch(handle)
+        rows = (batch if before is None else batch.unionByName(before)).persist()
+        due = OB.relay(rows, now)
+        arrived, leaving = not batch.isEmpty(), not due.isEmpty()
+        if leaving:
+            OB.route(due, f"{topics_path.rstrip('/')}/batch={batch_id}", mode="overwrite")
+        if arrived or leaving:                      # a tick that changes nothing writes nothing
+            waiting.write(rows.filter(OB.lifecycle(now) == "retry_waiting"), batch_id)
+        rows.unpersist()
+
+    source = read_topic(spark, outbox_path, max_files, schema)
+    w = ((with_clock(source) if clock else source).writeStream.foreachBatch(handle)
          .option("checkpointLocation", _checkpoint(spark, name)))
     return _start(w, trigger)
 
 
+# ST13 ------------------------------------------------------------------------------
+def last_due(now: dt.datetime, at: dt.time) -> dt.datetime:
+    """The last time before or at ``now`` that a daily job at ``at`` was due."""
+    today = dt.datetime.combine(now.date(), at)
+    return today if today <= now else today - dt.timedelta(days=1)
+
+
+def daily_stream(spark: SparkSession, job: Callable[[SparkSession, dt.datetime, int], None], runs_path: str,
+                 now: Callable[[], dt.datetime], at: dt.time = PURGE_AT, name: str = "daily",
+                 trigger: dict = RETRY_TRIGGER) -> StreamingQuery:
+    """Runs ``job`` (session, due time, run number) once a day at ``at``, as the clock passes it. The due times
+    that have run are kept in ``runs_path``; a day missed while the stream was down runs once it is back."""
+    runs = VersionedTable(runs_path)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session, due = batch.sparkSession, last_due(now(), at)
+        before = runs.latest_before(session, batch_id)
+        if before is not None and not before.where(F.col("due") >= F.lit(due.isoformat(" ")).cast("timestamp_ntz")).isEmpty():
+            return
+        job(session, due, batch_id)
+        runs.write(session.createDataFrame([(due,)], "due timestamp_ntz").coalesce(1), batch_id)
+
+    w = ticks(spark).writeStream.foreachBatch(handle).option("checkpointLocation", _checkpoint(spark, name))
+    return _start(w, trigger)
+
+
+def purge_stream(spark: SparkSession, outbox: VersionedTable, now: Callable[[], dt.datetime], name: str = "purge",
+                 trigger: dict = RETRY_TRIGGER) -> StreamingQuery:
+    """ST12 daily: the outbox without processed rows past retention, as its next version."""
+    def job(session: SparkSession, due: dt.datetime, run: int) -> None:
+        rows = outbox.latest_before(session, VersionedTable.FIRST_RUN + run)
+        outbox.write(OB.purge(rows, F.lit(due.isoformat(" ")).cast("timestamp_ntz")), VersionedTable.FIRST_RUN + run)
+
+    return daily_stream(spark, job, f"{outbox.path}-purges", now, name=name, trigger=trigger)
+
+
 # ST5 / ST6 --------------------------------------------------------------------------
 def consume(spark: SparkSession, topic_path: str, schema, group: str,
             handler: Callable[[DataFrame, int], None], trigger: dict = AVAILABLE_NOW,
@@ -81,10 +140,7 @@ def consume(spark: SparkSession, topic_path: str, schema, group: str,
     idempotency key within it are dropped before the handler sees them, with
     bounded state, and so are rows older than it; without, all rows arrive and
     the handler drops duplicates (``fold_handler`` does, exactly)."""
-    r = spark.readStream.schema(schema)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    src = r.parquet(topic_path)
+    src = read_topic(spark, topic_path, max_files, schema)
     if watermark:
         src = (src.withColumn("_idem", F.coalesce(F.col("headers")["idempotency-key"], F.col("id")))
                .withColumn("_et", event_time("timestamp"))
@@ -94,66 +150,92 @@ def consume(spark: SparkSession, topic_path: str, schema, group: str,
     return _start(w, trigger)
 
 
-# ST9 -------------------------------------------------------------------------------
-class VersionedTable:
-    """A table written as numbered versions: version v is complete once its
-    _SUCCESS marker exists. A re-run of a micro-batch rewrites the same
-    version, so the sink is idempotent (exactly-once with the checkpoint). The
-    last two versions stay: the current one and the one a re-run starts from."""
+class SeenKeys:
+    """ST6 across micro-batches: the idempotency keys seen so far, in folders
+    ``epoch=E/bucket=B/batch=N`` by offset range and hash of the key. A batch reads the buckets its own
+    keys lie in. With ``horizon``, a message that comes again more than so many
+    offsets after its first delivery is not known any more, and epochs that no later message can
+    need are deleted: what a batch reads and what is kept is then bounded, however
+    long the log. Without, all keys stay and every repeat is found."""
 
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    SCHEMA = "key string, offset long, epoch long, bucket int, batch long"
 
-    def version_path(self, v: int) -> str:
-        return f"{self.path}/v={v:012d}"
+    def __init__(self, path: str, buckets: int = 16, epoch: int = 1_000_000, horizon: int | None = None):
+        self.path, self.buckets, self.epoch, self.horizon = path.rstrip("/"), buckets, epoch, horizon
 
-    def _files(self, spark: SparkSession):
+    def _keyed(self, messages: DataFrame) -> DataFrame:
+        key = F.coalesce(F.col("headers")["idempotency-key"], F.col("id"))
+        return messages.withColumns({"_key": key, "_bucket": F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")})
+
+    def _oldest(self, messages: DataFrame) -> int | None:
+        """The first epoch that the messages can have repeats in."""
+        if self.horizon is None:
+            return None
+        low = messages.agg(F.min("offset")).first()[0]
+        return None if low is None else max(0, low - self.horizon) // self.epoch
+
+    def known(self, messages: DataFrame, before: int) -> DataFrame | None:
+        """(bucket, key) of earlier batches that the messages can meet."""
+        spark = messages.sparkSession
         to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return to_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to_path
-
-    def versions(self, spark: SparkSession) -> list[int]:
-        """The complete versions, oldest first."""
-        fs, to_path = self._files(spark)
-        if not fs.exists(to_path(self.path)):
-            return []
-        found = [s.getPath() for s in fs.listStatus(to_path(self.path)) if s.getPath().getName().startswith("v=")]
-        return sorted(int(p.getName()[2:]) for p in found if fs.exists(to_path(p, "_SUCCESS")))
-
-    def latest(self, spark: SparkSession) -> DataFrame | None:
-        done = self.versions(spark)
-        return spark.read.parquet(self.version_path(done[-1])) if done else None
-
-    def latest_before(self, spark: SparkSession, v: int) -> DataFrame | None:
-        """The newest complete version before v (a re-run of v must not read itself)."""
-        done = [x for x in self.versions(spark) if x < v]
-        return spark.read.parquet(self.version_path(done[-1])) if done else None
-
-    def write(self, df: DataFrame, v: int) -> None:
-        """Write version v; versions older than the one before it go."""
-        df.write.mode("overwrite").parquet(self.version_path(v))
-        spark = df.sparkSession
-        fs, to_path = self._files(spark)
-        for old in [x for x in self.versions(spark) if x < v][:-1]:
-            fs.delete(to_path(self.version_path(old)), True)
-
-
-def fold_handler(table: VersionedTable) -> Callable[[DataFrame, int], None]:
-    """U2 handler that folds each micro-batch into the next table version. The
-    idempotency keys of each batch are kept beside the table; messages whose
-    key an earlier batch had are dropped, however late they come (ST6)."""
-    keys_path = f"{table.path}-keys"
-    key = F.coalesce(F.col("headers")["idempotency-key"], F.col("id"))
+        if not to_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(to_path(self.path)):
+            return None
+        buckets = [r["_bucket"] for r in self._keyed(messages).select("_bucket").distinct().collect()]     # at most ``buckets``
+        seen = spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("bucket").isin(buckets) & (F.col("batch") < before))
+        oldest = self._oldest(messages)
+        return seen if oldest is None else seen.where(F.col("epoch") >= oldest)
+
+    def fresh(self, messages: DataFrame, batch_id: int) -> DataFrame:
+        """The messages whose key no earlier batch had."""
+        seen = self.known(messages, batch_id)
+        if seen is None:
+            return messages
+        rows, seen = self._keyed(messages), seen.select(F.col("bucket").alias("_bucket"), F.col("key").alias("_key"), F.col("offset").alias("_at"))
+        if self.horizon is None:
+            return rows.join(seen, ["_bucket", "_key"], "left_anti").drop("_bucket", "_key")
+        last = seen.groupBy("_bucket", "_key").agg(F.max("_at").alias("_at"))
+        again = F.coalesce(F.col("offset") - F.col("_at") <= self.horizon, F.lit(False))
+        return rows.join(last, ["_bucket", "_key"], "left").where(~again).drop("_bucket", "_key", "_at")
+
+    def add(self, messages: DataFrame, batch_id: int) -> None:
+        """Keep the keys of a batch; a re-run writes the same folders again."""
+        rows = (self._keyed(messages).groupBy("_key", "_bucket").agg(F.max("offset").alias("offset"))
+                .select(F.col("_key").alias("key"), "offset", F.expr(f"offset div {self.epoch}").alias("epoch"),
+                        F.col("_bucket").alias("bucket"), F.lit(batch_id).cast("long").alias("batch")))
+        (rows.repartition("epoch", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch", "bucket", "batch").parquet(self.path))
+        oldest = self._oldest(messages)
+        if oldest:
+            spark = messages.sparkSession
+            to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+            fs = to_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            for s in fs.listStatus(to_path(self.path)):
+                name = s.getPath().getName()
+                if name.startswith("epoch=") and int(name[6:]) < oldest:
+                    fs.delete(s.getPath(), True)
+
+
+def documents_table(path: str, parts: int = 16) -> KeyedTable:
+    return KeyedTable(path, "product_id", parts)
+
+
+def fold_handler(table: KeyedTable, seen: SeenKeys | None = None) -> Callable[[DataFrame, int], None]:
+    """U2 handler that folds each micro-batch into the parts of the table that its
+    products lie in. Messages whose key an earlier batch had are dropped,
+    however late they come (ST6). Metric events that find no document
+    when their batch is folded go to ``<table>-dropped/batch=N``."""
+    seen = seen or SeenKeys(f"{table.path}-keys")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = FO.dedupe(batch).withColumn("_key", key)
-        fs, to_path = table._files(spark)
-        if fs.exists(to_path(keys_path)):
-            seen = spark.read.schema("key string, batch long").parquet(keys_path).filter(F.col("batch") < batch_id)
-            new = new.join(seen, new["_key"] == seen["key"], "left_anti")
-        table.write(FO.merge_batch(table.latest_before(spark, batch_id), new.drop("_key")), batch_id)
-        (batch.select(key.alias("key")).distinct()
-         .write.mode("overwrite").parquet(f"{keys_path}/batch={batch_id}"))
+        batch = batch.persist()
+        new = seen.fresh(FO.dedupe(batch), batch_id).persist()
+        touched = table.touched(FO.parse_events(new))
+        docs, dropped = FO.merge_slice(table.read(batch.sparkSession, touched, before=batch_id), new)
+        table.write(docs, batch_id, touched)
+        dropped.write.mode("overwrite").parquet(f"{table.path}-dropped/batch={batch_id}")
+        seen.add(batch, batch_id)
+        new.unpersist()
+        batch.unpersist()
     return handle
 
 
@@ -161,8 +243,8 @@ def fold_stream(spark: SparkSession, topic_path: str, schema, docs_path: str,
                 trigger: dict = AVAILABLE_NOW, group: str = "search-sync",
                 max_files: int | None = None) -> StreamingQuery:
     """ST9 stream form: product events -> (ST6) -> incremental fold (U2) ->
-    versioned search documents. Same result as the batch fold of the log."""
-    return consume(spark, topic_path, schema, group, fold_handler(VersionedTable(docs_path)),
+    search documents. Same result as the batch fold of the log."""
+    return consume(spark, topic_path, schema, group, fold_handler(documents_table(docs_path)),
                    trigger=trigger, max_files=max_files)
 
 
@@ -171,21 +253,21 @@ def daily_view_stream(spark: SparkSession, views_path: str, schema, out_path: st
                       trigger: dict = VIEW_FLUSH_TRIGGER, name: str = "daily-views",
                       max_files: int | None = None) -> StreamingQuery:
     """Views per product and day. Each micro-batch's counts are added to the
-    previous version of a counter table, so the table is current after every
+    parts of a counter table that its products lie in, so the table is current after every
     flush, no state is held in memory and views count however late they come."""
-    r = spark.readStream.schema(schema)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    table = VersionedTable(out_path)
+    table = KeyedTable(out_path, "product_id")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        counts = FO.daily_views(batch)
-        prev = table.latest_before(batch.sparkSession, batch_id)
-        if prev is not None:
-            counts = prev.unionByName(counts).groupBy("product_id", "day").agg(F.sum("views").alias("views"))
-        table.write(counts, batch_id)
-
-    w = r.parquet(views_path).writeStream.foreachBatch(add).option("checkpointLocation", _checkpoint(spark, name))
+        counts = FO.daily_views(batch.where(F.col("product_id").isNotNull())).persist()
+        touched = table.touched(counts)
+        prev = table.read(batch.sparkSession, touched, before=batch_id)
+        total = counts if prev is None else (prev.unionByName(counts).groupBy("product_id", "day")
+                                             .agg(F.sum("views").alias("views")))
+        table.write(total, batch_id, touched)
+        counts.unpersist()
+
+    source = read_topic(spark, views_path, max_files, schema)
+    w = source.writeStream.foreachBatch(add).option("checkpointLocation", _checkpoint(spark, name))
     return _start(w, trigger)
 
 
@@ -216,15 +298,25 @@ def as_batch_handler(listener: Listener, sink: Callable[[DataFrame, int], None]
     return handle
 
 
+def run_until(query: StreamingQuery, done: Callable[[], bool], seconds: int = 120) -> None:
+    """Let a stream that never ends run until ``done``, then stop it; raises after ``seconds``."""
+    stop = time.monotonic() + seconds
+    try:
+        while not done():
+            if query.awaitTermination(1) or time.monotonic() > stop:
+                raise TimeoutError(f"{query.name or 'stream'} has not got there in {seconds} s: {query.status}")
+    finally:
+        query.stop()
+
+
 def start_listeners(spark: SparkSession, topics_root: str, schema, listeners: list[Listener],
                     sink: Callable[[DataFrame, int], None] | None = None,
-                    trigger: dict = AVAILABLE_NOW) -> list[StreamingQuery]:
+                    trigger: dict = AVAILABLE_NOW, max_files: int | None = None) -> list[StreamingQuery]:
     """One streaming query per listener (its own checkpoint = its own group)."""
     out = []
     for lst in listeners:
         # topic folders are partitions of one root: the filter prunes them
-        src = (spark.readStream.schema(schema).parquet(topics_root)
-               .filter(F.col("topic").isin(lst.topics)))
+        src = read_topic(spark, topics_root, max_files, schema).filter(F.col("topic").isin(lst.topics))
         handler = as_batch_handler(lst, sink or (lambda df, i: None))
         w = src.writeStream.foreachBatch(handler).option(
             "checkpointLocation", _checkpoint(spark, f"listener-{lst.name}"))
