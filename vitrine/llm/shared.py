@@ -3,6 +3,7 @@ that survives hot keys, and connected components."""
 
 from __future__ import annotations
 
+import gc
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, and let Spark's cleaner remove the checkpoints and
+    shuffle files of frames that are out of use: it does so when the driver collects garbage."""
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    to_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to_path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(x)`` with x bound to ``value``, evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)
