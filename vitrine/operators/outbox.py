@@ -19,10 +19,10 @@ def _oldest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("created_at").asc(), F.col("id").asc())
 
 
-def recent_events(O: DataFrame, since: Column, n: int) -> DataFrame:
-    """Created at or after ``since``, newest first, first n."""
-    return (O.filter(F.col("created_at") >= since)
-            .orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n))
+def recent_events(O: DataFrame, since: Column, n: int | None = None) -> DataFrame:
+    """Created at or after ``since``, newest first, all or the first n."""
+    o = O.filter(F.col("created_at") >= since).orderBy(F.col("created_at").desc(), F.col("id").desc())
+    return o.limit(n) if n is not None else o
 
 
 def history(O: DataFrame, aggregate_id: str, aggregate_type: str) -> DataFrame:

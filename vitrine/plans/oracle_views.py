@@ -106,14 +106,16 @@ FROM product_v""")
 
 
 _view("pevents_v", (), """
-SELECT e.event_id, e.ts, e.user_id, CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS product_id,
+SELECT e.event_id, e.ts, e.user_id, e.product_id,
        row_number() OVER (ORDER BY e.ts, e.event_id) AS "offset",
        CASE WHEN e.event_id % 10 = 0 THEN 'ProductCreated' WHEN e.event_id % 10 = 1 THEN 'ProductUpdated'
             WHEN e.event_id % 10 = 2 THEN 'ProductDeleted' WHEN e.event_id % 10 <= 7 THEN 'ProductViewed'
             ELSE 'ProductPurchased' END AS event_type,
        p.p_name, p.p_type, p.p_brand, p.p_size,
        (CAST(round(p.p_retailprice * 100) AS BIGINT) * p.p_size) // 50 AS price_cents
-FROM events e LEFT JOIN part p ON p.p_partkey = CAST(json_extract_string(e.props, '$.k') AS BIGINT)""")
+FROM (SELECT *, CASE WHEN event_id // 10 % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT)
+                     ELSE user_id * 14 + event_id % 14 END AS product_id FROM events) e
+JOIN part p ON p.p_partkey = e.product_id""")
 
 _view("topiclog_v", ("outbox_v",), """
 SELECT id AS outbox_id, 'outbox-' || CAST(id AS VARCHAR) AS id,

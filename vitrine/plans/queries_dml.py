@@ -31,12 +31,21 @@ def _create(spark, sf):
     return DM.create_products(V.product(spark, sf), V.create_requests(spark, sf), V.as_of())
 
 
-@register("create_rejections", """
-SELECT code, count(*) AS rejected FROM (
-  SELECT 'VALIDATION_ERROR' AS code FROM create_chk_v WHERE errors <> ''
-  UNION ALL SELECT 'PRODUCT_ALREADY_EXISTS' FROM create_ok_v WHERE duplicate) GROUP BY code""",
-          ("create_ok_v",))
+REJECTED_SQL = """
+SELECT request_id, 'VALIDATION_ERROR' AS code FROM create_chk_v WHERE errors <> ''
+UNION ALL SELECT request_id, 'PRODUCT_ALREADY_EXISTS' FROM create_ok_v WHERE duplicate"""
+
+
+@register("create_rejections", REJECTED_SQL, ("create_ok_v",))
 def q_create_rejections(spark, sf):
+    """V1/V5: each rejected create request with its code."""
+    _, _, rejects = _create(spark, sf)
+    return rejects.select("request_id", "code")
+
+
+@register("rejection_summary", f"SELECT code, count(*) AS rejected FROM ({REJECTED_SQL}) GROUP BY code", ("create_ok_v",))
+def q_rejection_summary(spark, sf):
+    """V6: rejected create requests by code."""
     _, _, rejects = _create(spark, sf)
     return Q.rejection_summary(rejects)
 
@@ -127,16 +136,15 @@ WITH ids AS (SELECT DISTINCT e.user_id * 14 + e.event_id % 14 AS id FROM events
 
 
 @register("delete_products", DELETE_SQL + """
-SELECT (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT id FROM ids)) AS remaining,
-       (SELECT count(*) FROM ids WHERE id IN (SELECT p_partkey FROM part)) AS deleted,
-       (SELECT count(*) FROM ids WHERE id NOT IN (SELECT p_partkey FROM part)) AS not_found""")
+SELECT 'remaining' AS kind, p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT id FROM ids)
+UNION ALL SELECT 'deleted', id FROM ids WHERE id IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'not_found', id FROM ids WHERE id NOT IN (SELECT p_partkey FROM part)""")
 def q_delete_products(spark, sf):
+    """D3: every product that remains, every deletion event, every id that was not there."""
     newP, events, missing = DM.delete_products(V.product(spark, sf), V.delete_ids(spark, sf), V.as_of())
-    u = (newP.select(F.lit(1).alias("r"), F.lit(0).alias("d"), F.lit(0).alias("n"))
-         .unionByName(events.select(F.lit(0).alias("r"), F.lit(1).alias("d"), F.lit(0).alias("n")))
-         .unionByName(missing.select(F.lit(0).alias("r"), F.lit(0).alias("d"), F.lit(1).alias("n"))))
-    return u.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(a)
-                   for c, a in (("r", "remaining"), ("d", "deleted"), ("n", "not_found"))])
+    rows = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).cast("bigint").alias("id"))
+    return (rows("remaining", newP, "id").unionByName(rows("deleted", events, "aggregate_id"))
+            .unionByName(rows("not_found", missing, "detail")))
 
 
 @register("record_purchases", """
@@ -204,12 +212,12 @@ def q_missing_ids(spark, sf):
 
 
 @register("insert_ignore", """
-SELECT count(*) AS row_count, count(DISTINCT sku) AS distinct_skus FROM (
+SELECT sku, count(*) AS n FROM (
   SELECT sku FROM product_v
   UNION ALL SELECT sku_norm FROM (SELECT sku_norm, request_id,
                                          min(request_id) OVER (PARTITION BY sku_norm) AS first_id
                                   FROM create_ok_v WHERE sku_norm NOT IN (SELECT sku FROM product_v))
-            WHERE request_id = first_id)""", ("create_ok_v", "product_v"))
+            WHERE request_id = first_id) GROUP BY sku""", ("create_ok_v", "product_v"))
 def q_insert_ignore(spark, sf):
     """Seed rows with insert-if-absent on SKU (first request per SKU)."""
     P = V.product(spark, sf)
@@ -218,7 +226,7 @@ def q_insert_ignore(spark, sf):
     first = rows.groupBy("sku").agg(F.min("request_id").alias("request_id"))
     seeds = rows.join(first, ["sku", "request_id"]).select(P.select("sku").columns)
     merged = T.insert_ignore(P.select("sku"), seeds, "sku")
-    return merged.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("sku").alias("distinct_skus"))
+    return merged.groupBy("sku").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("validate_queries", """

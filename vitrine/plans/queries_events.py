@@ -125,14 +125,13 @@ def q_fold_replayed_log(spark, sf):
 , L AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY "offset" DESC) AS rn
                        FROM pevents_v WHERE event_type IN ('ProductCreated', 'ProductUpdated', 'ProductDeleted'))
         WHERE rn = 1)
-SELECT m.event_type, count(*) AS dropped
+SELECT m.product_id, m."offset", m.event_type
 FROM pevents_v m LEFT JOIN L ON L.product_id = m.product_id
 WHERE m.event_type IN ('ProductViewed', 'ProductPurchased')
-  AND (L.product_id IS NULL OR (L.event_type = 'ProductDeleted' AND m."offset" > L."offset"))
-GROUP BY m.event_type""", ("pevents_v",))
+  AND (L.product_id IS NULL OR (L.event_type = 'ProductDeleted' AND m."offset" > L."offset"))""", ("pevents_v",))
 def q_fold_dropped_metrics(spark, sf):
     _, dropped = FO.fold_events(product_topic(spark, sf))
-    return dropped.groupBy("event_type").agg(F.count(F.lit(1)).alias("dropped"))
+    return dropped
 
 
 @register("latest_lifecycle", """
@@ -220,11 +219,10 @@ act AS (
 
 
 @register("reconcile_actions", RECONCILE_SQL + """
-SELECT action, count(*) AS ids FROM act GROUP BY action""", ("pevents_v", "product_v"))
+SELECT id, action FROM act""", ("pevents_v", "product_v"))
 def q_reconcile_actions(spark, sf):
     """Source catalogue vs the event-folded index: one action per id."""
-    a = S.reconcile(V.product(spark, sf), folded_index(spark, sf))
-    return a.groupBy("action").agg(F.count(F.lit(1)).alias("ids"))
+    return S.reconcile(V.product(spark, sf), folded_index(spark, sf))
 
 
 @register("sync_diff", RECONCILE_SQL + """
@@ -428,12 +426,14 @@ def q_apply_metrics(spark, sf):
 
 
 @register("sync_ids", """
-SELECT id AS product_id, name, click_count FROM product_v WHERE id IN (SELECT product_id FROM views_v)""",
+, gone AS (SELECT DISTINCT user_id * 14 + event_id % 14 AS id FROM events WHERE event_type = 'error'),
+asked AS (SELECT product_id AS id FROM views_v UNION SELECT id FROM gone)
+SELECT id AS product_id, name, click_count FROM product_v WHERE id IN (SELECT id FROM asked) AND id NOT IN (SELECT id FROM gone)""",
           ("product_v", "views_v"))
 def q_sync_ids(spark, sf):
-    """ST15: targeted resync of the viewed products into the event-folded
-    index (present in the catalogue -> rebuilt documents)."""
-    new = S.sync_ids(V.product(spark, sf), folded_index(spark, sf),
-                     V.views(spark, sf).select(F.col("product_id").alias("id")), V.as_of())
-    keys = V.views(spark, sf).select("product_id").distinct()
-    return new.join(keys, "product_id", "left_semi").select("product_id", "name", "click_count")
+    """ST15: targeted resync of the viewed and the deleted products into the event-folded
+    index: present in the catalogue -> rebuilt documents, absent -> deleted."""
+    P = V.product(spark, sf).join(V.delete_ids(spark, sf).distinct(), "id", "left_anti")
+    asked = V.views(spark, sf).select(F.col("product_id").alias("id")).unionByName(V.delete_ids(spark, sf)).distinct()
+    new = S.sync_ids(P, folded_index(spark, sf), asked, V.as_of())
+    return new.join(asked.withColumnRenamed("id", "product_id"), "product_id", "left_semi").select("product_id", "name", "click_count")

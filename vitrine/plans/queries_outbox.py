@@ -48,6 +48,24 @@ def q_outbox_retryable(spark, sf):
     return OB.retryable(outbox(spark, sf), V.as_of(), 50).select("id", "retry_count", "next_retry_at")
 
 
+@register("outbox_fresh_all", "SELECT id, created_at FROM outbox_v WHERE NOT processed AND retry_count = 0", ("outbox_v",))
+def q_outbox_fresh_all(spark, sf):
+    """P19 without its bound."""
+    return OB.fresh(outbox(spark, sf)).select("id", "created_at")
+
+
+@register("outbox_retryable_all", f"SELECT id, retry_count, next_retry_at FROM outbox_v WHERE {DUE_SQL}", ("outbox_v",))
+def q_outbox_retryable_all(spark, sf):
+    """P20 without its bound."""
+    return OB.retryable(outbox(spark, sf), V.as_of()).select("id", "retry_count", "next_retry_at")
+
+
+@register("outbox_recent_all", f"SELECT id, created_at FROM outbox_v WHERE created_at >= {AS_OF} - INTERVAL 2 DAY", ("outbox_v",))
+def q_outbox_recent_all(spark, sf):
+    """P14 without its bound."""
+    return OB.recent_events(outbox(spark, sf), V.as_of() - F.make_dt_interval(F.lit(2))).select("id", "created_at")
+
+
 @register("outbox_dead_letter", "SELECT id, error_message FROM outbox_v WHERE NOT processed AND retry_count >= 5",
           ("outbox_v",))
 def q_outbox_dead_letter(spark, sf):
@@ -117,27 +135,20 @@ def q_outbox_apply_failures(spark, sf):
 
 
 @register("outbox_mark_processed", f"""
-SELECT CASE WHEN NOT processed AND retry_count = 0 THEN 'processed' ELSE {STATUS_SQL} END AS status,
-       count(*) AS event_count,
-       CAST(count(*) FILTER (WHERE NOT processed AND retry_count = 0) AS BIGINT) AS stamped
-FROM outbox_v GROUP BY 1""", ("outbox_v",))
+SELECT id, CASE WHEN NOT processed AND retry_count = 0 THEN 'processed' ELSE {STATUS_SQL} END AS status,
+       NOT processed AND retry_count = 0 AS stamped FROM outbox_v""", ("outbox_v",))
 def q_outbox_mark_processed(spark, sf):
     O = outbox(spark, sf)
     acks = OB.relay(O.filter(OB.is_fresh()), V.as_of()).select(F.col("outbox_id").alias("id"))
     after = OB.classify(OB.mark_processed(O, acks, V.as_of()), V.as_of())
-    return after.groupBy("status").agg(
-        F.count(F.lit(1)).alias("event_count"),
-        F.count_if(F.col("processed_at") == V.as_of()).cast("bigint").alias("stamped"))
+    return after.select("id", "status", F.coalesce(F.col("processed_at") == V.as_of(), F.lit(False)).alias("stamped"))
 
 
 @register("outbox_purge", f"""
-SELECT processed, count(*) AS event_count, min(created_at) AS oldest FROM outbox_v
-WHERE NOT coalesce(processed AND processed_at < {AS_OF} - INTERVAL 7 DAY, false)
-GROUP BY processed""", ("outbox_v",))
+SELECT id, processed, created_at FROM outbox_v
+WHERE NOT coalesce(processed AND processed_at < {AS_OF} - INTERVAL 7 DAY, false)""", ("outbox_v",))
 def q_outbox_purge(spark, sf):
-    kept = OB.purge(outbox(spark, sf), V.as_of(), 7)
-    return kept.groupBy("processed").agg(F.count(F.lit(1)).alias("event_count"),
-                                         F.min("created_at").alias("oldest"))
+    return OB.purge(outbox(spark, sf), V.as_of(), 7).select("id", "processed", "created_at")
 
 
 @register("outbox_status_stats", """

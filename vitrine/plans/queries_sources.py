@@ -121,6 +121,18 @@ def q_stream_purge(spark, sf):
     return table.latest(spark).select("id", "processed")
 
 
+@register("scan_product_files", """
+SELECT id, name, sku, CAST(price AS DOUBLE) AS price, len(categories) AS categories, len(images) AS images, version FROM product_v""",
+          ("product_v",))
+def q_scan_product_files(spark, sf):
+    """The product table written as files and scanned under the fixed schema."""
+    path = scratch_path(spark, "products")
+    V.product(spark, sf).write.parquet(path)
+    return T.scan_products(spark, path).select("id", "name", "sku", money("price").alias("price"),
+                                               F.size("categories").cast("bigint").alias("categories"),
+                                               F.size("images").cast("bigint").alias("images"), "version")
+
+
 @register("document_dto", """
 SELECT product_id AS id, name, sku, CAST(price AS DOUBLE) AS price, click_count, popularity_score, created_at FROM doc_v""", ("doc_v",))
 def q_document_dto(spark, sf):

@@ -170,17 +170,20 @@ def _ts_text(c: Column) -> Column:
 
 
 def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product domain events as topic messages (before offsets are assigned).
+    """Product domain events as topic messages (before offsets are assigned): every
+    second ten of events is of the hundred products k, the others are spread over the whole catalogue
+    by the rule of ``update_requests``; events of no product are not published.
 
-    Lifecycle payloads carry the catalogue row of product k; metric payloads
+    Lifecycle payloads carry the product's catalogue row; metric payloads
     carry a metadata map. A few rows carry deliberately bad metadata
     (``view_increment`` = 'x') and absolute ``popularity_score`` and ``total_views`` values.
     """
-    e = table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", prop_k(F.col("props")).alias("product_id"))
+    even = F.expr("event_id div 10") % 2 == 0
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.when(even, prop_k(F.col("props"))).otherwise(
+        F.col("user_id") * 14 + F.col("event_id") % 14).alias("product_id"))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand",
                                             "p_retailprice", "p_size")
-    j = e.join(p, e.product_id == p.p_partkey, "left")
+    j = e.join(p, e.product_id == p.p_partkey)
     i = F.col("event_id")
     m10 = i % 10
     etype = (F.when(m10 == 0, "ProductCreated").when(m10 == 1, "ProductUpdated")
