@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from vitrine.functions import features as FX
 from vitrine.functions import messaging as MX
 from vitrine.operators.joins import salted
+from vitrine.session import scratch_path
 from vitrine.sources import schemas as SC
 
 LIFECYCLE = ["ProductCreated", "ProductUpdated", "ProductDeleted"]
@@ -112,7 +113,16 @@ def latest_lifecycle(E: DataFrame, mode: str = "replace") -> DataFrame:
             .drop("_last_del", "_last_cr", "_first_after"))
 
 
-def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True) -> tuple[DataFrame, DataFrame]:
+def parsed_once(M: DataFrame) -> DataFrame:
+    """``parse_events`` as a table in the shared folder: every payload is parsed once, and each
+    reader takes the fields it needs."""
+    path = scratch_path(M.sparkSession, "parsed-events")
+    E = parse_events(M).drop("payload", "headers")
+    E.write.option("compression", "zstd").parquet(path)
+    return M.sparkSession.read.schema(E.schema).parquet(path)
+
+
+def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True, once: bool = True) -> tuple[DataFrame, DataFrame]:
     """ST9: final search documents from a product-event topic; returns
     (documents, dropped metric events).
 
@@ -132,8 +142,9 @@ def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True) -> tupl
     product's last lifecycle event that find no live document (deleted or
     never created) and events whose product id is unreadable; metric events
     before the last lifecycle event are superseded by it and not listed.
+    ``once``: write the parsed events before they are read for both; a micro-batch is small enough not to.
     """
-    E = parse_events(dedupe(M) if dedup else M)
+    E = (parsed_once if once else parse_events)(dedupe(M) if dedup else M)
     L = latest_lifecycle(E, mode)
     metrics = metric_increments(E.filter(F.col("event_type").isin(METRIC)))
     was_set = F.col("set_off") > F.col("counter_from")
@@ -227,7 +238,7 @@ def merge_slice(D: DataFrame | None, batch: DataFrame) -> tuple[DataFrame, DataF
     """
     E = parse_events(batch)
     L = latest_lifecycle(E).select("product_id")
-    rebuilt, dropped = fold_events(batch, dedup=False)
+    rebuilt, dropped = fold_events(batch, dedup=False, once=False)
     if D is None:
         return rebuilt, dropped
     untouched = D.select("product_id").join(L, "product_id", "left_anti")
