@@ -207,6 +207,9 @@ def build_index(D: DataFrame, fields: dict[str, str], key: str = "id", path: str
     prefixes = _save(heads.groupBy("field", "prefix").agg(F.min("number").alias("low"), F.max("number").alias("high")), path, "prefixes", 0)
     kept = [F.col(f"`{c}`") for c in keep if c != "doc_id"]
     docs = _save(D.select(F.col(key).cast(key_type).alias("doc_id"), *kept), path, "docs", 0)
+    for made_of in ("postings", "dictionary"):      # nothing reads these any more
+        to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{made_of}")
+        to_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to_path, True)
     return Index(blocks, terms, stats, vectors, variants, prefixes, docs)
 
 

@@ -82,6 +82,16 @@ def q_corpus_term_stats(spark, sf):
     return corpus_ix(spark, sf).terms.select("term", "df", "cf")
 
 
+@register("index_postings", PIX + f"""
+SELECT p.field, p.term, p.doc_id, p.tf, round({sql_bm25('p.tf', 'd.df', 'fs.n_docs', 'l.dl', 'fs.avgdl')}, 4) AS impact
+FROM ix_post p JOIN ix_df d ON d.field = p.field AND d.term = p.term JOIN ix_fs fs ON fs.field = p.field
+JOIN ix_len l ON l.field = p.field AND l.doc_id = p.doc_id""", ("doc_v",))
+def q_index_postings(spark, sf):
+    """Every posting of the stored product index, read back from its blocks, with its impact."""
+    rows = product_ix(spark, sf).blocks.select("field", "term", F.explode("postings").alias("p"))
+    return rows.select("field", "term", "p.doc_id", F.col("p.tf").cast("bigint").alias("tf"), F.round("p.impact", 4).alias("impact"))
+
+
 @register("edge_ngrams", f"""
 SELECT gram, count(DISTINCT p_partkey) AS products FROM (
   SELECT p_partkey, substr(t, 1, n) AS gram FROM (
