@@ -120,6 +120,11 @@ def _save(df: DataFrame, path: str, name: str, rows: int) -> DataFrame:
     return spark.table(table)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    to_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to_path, True)
+
+
 def _table_name(path: str, name: str) -> str:
     return "vitrine_" + re.sub(r"\W", "_", path.rstrip("/").rsplit("/", 1)[-1]) + "_" + name
 
@@ -194,6 +199,7 @@ def build_index(D: DataFrame, fields: dict[str, str], key: str = "id", path: str
         *[p[x].alias(x) for x in extra]))
     blocks = _save(cut.select("field", "term", "part", "block", (F.col("idf") * -F.col("some")[0]["less"]).alias("top"), posting.alias("postings")),
                    path, "blocks", n_postings)
+    _delete(spark, f"{path}/postings")              # the blocks hold them now
     tops = blocks.where("block = 0").groupBy("field", "term").agg(F.max("top").alias("top"))
     terms = _save(numbered.join(tops, ["field", "term"]).join(F.broadcast(stats), "field"), path, "terms", numbered.count())
     postings = blocks.select("field", "term", F.explode("postings").alias("p")).select("field", "term", "p.doc_id", "p.impact")
@@ -207,9 +213,7 @@ def build_index(D: DataFrame, fields: dict[str, str], key: str = "id", path: str
     prefixes = _save(heads.groupBy("field", "prefix").agg(F.min("number").alias("low"), F.max("number").alias("high")), path, "prefixes", 0)
     kept = [F.col(f"`{c}`") for c in keep if c != "doc_id"]
     docs = _save(D.select(F.col(key).cast(key_type).alias("doc_id"), *kept), path, "docs", 0)
-    for made_of in ("postings", "dictionary"):      # nothing reads these any more
-        to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{made_of}")
-        to_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to_path, True)
+    _delete(spark, f"{path}/dictionary")
     return Index(blocks, terms, stats, vectors, variants, prefixes, docs)
 
 
