@@ -257,3 +257,28 @@ def test_plans_hold_no_nested_loops_and_no_python(spark):
         plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
         for bad in ("NestedLoop", "Cartesian", "ArrowEvalPython", "BatchEvalPython"):
             assert bad not in plan, (query.__name__, bad)
+
+
+def _broadcast_sides(df):
+    """The parts of the plan that go through the driver."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    out = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))
+            out.append("\n".join(lines[i:below]))
+    return out
+
+
+def test_exploded_documents_are_never_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"large ring {i}", Decimal(i)) for i in range(40)], "doc_id long, name string, price decimal(10,2)")
+    asked = spark.createDataFrame([("ring 7",), ("none",)], "q string")
+    found = SE.containing(docs, asked, ["name"])
+    assert _broadcast_sides(found) and not any("doc_id" in x for x in _broadcast_sides(found))
+    assert {r.doc_id for r in found.collect()} == {7}
+    ranges = spark.createDataFrame([(str(i), Decimal(i), Decimal(i + 2)) for i in range(30)],
+                                   "range_id string, low decimal(10,2), high decimal(10,2)")
+    met = SE.in_price_ranges(docs, ranges)
+    assert _broadcast_sides(met) and not any("doc_id" in x for x in _broadcast_sides(met))
+    assert met.count() == 90
