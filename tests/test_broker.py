@@ -82,6 +82,12 @@ def test_topic_statistics(spark):
     assert (g["a"].event_types, g["a"].consumed, g["a"].failed, g["a"].dead) == (2, 5, 2, 1)
 
 
+def test_batches_of_the_publish_log(spark):
+    M = B.assign_offsets(_msgs(spark, [("a", i) for i in range(101)] + [("b", 5)]), ["timestamp", "seq"])
+    r = B.batch_stats(M.withColumn("retry_count", (F.col("seq") % 2).cast("int"))).first()
+    assert (r.total_messages, r.total_batches, r.total_failures) == (102, 4, 51)
+
+
 def test_retry_then_dead(spark):
     M = spark.createDataFrame([("m1", {"retry-count": "1"}), ("m2", {"retry-count": "3"}), ("m3", {})],
                               "id string, headers map<string,string>")

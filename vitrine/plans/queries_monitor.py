@@ -13,6 +13,9 @@ from vitrine.plans import views as V
 from vitrine.plans.queries_events import folded_index, topic_log
 from vitrine.plans.registry import register
 
+#: Consumer groups of the catalogue: configuration, like the reference's listener registry.
+CONSUMER_GROUPS = ("search-sync", "analytics", "notifications")
+
 LIVE_INDEX_SQL = """
 , L AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY "offset" DESC) AS rn
                        FROM pevents_v WHERE event_type IN ('ProductCreated', 'ProductUpdated', 'ProductDeleted'))
@@ -53,7 +56,9 @@ def q_system_health(spark, sf):
 
 
 @register("system_metrics", LIVE_INDEX_SQL + """,
-t AS (SELECT topic, max("offset") AS m, count(*) FILTER (WHERE retry_count > 0) AS failed FROM topic_v GROUP BY topic)
+t AS (SELECT topic, max("offset") AS m FROM topic_v GROUP BY topic),
+b AS (SELECT topic, ("offset" - 1) // 50 AS batch_no, count(*) AS messages,
+             count(*) FILTER (WHERE retry_count > 0) AS failed FROM topic_v GROUP BY 1, 2)
 SELECT (SELECT count(*) FROM part) AS product_count,
        (SELECT count(*) FILTER (WHERE NOT processed) FROM outbox_v) AS unprocessed_count,
        (SELECT count(DISTINCT (processed, retry_count)) FROM outbox_v) AS status_groups,
@@ -61,14 +66,17 @@ SELECT (SELECT count(*) FROM part) AS product_count,
        (SELECT count(*) FROM live) AS index_count,
        (SELECT count(*) FROM part) = (SELECT count(*) FROM live) AS in_sync,
        (SELECT count(*) FROM t) AS topics,
+       CAST(3 AS BIGINT) AS consumer_groups,
        (SELECT CAST(sum(m) AS BIGINT) FROM t) AS messages,
-       (SELECT CAST(sum(failed) AS BIGINT) FROM t) AS total_failures""",
+       (SELECT CAST(sum(messages) AS BIGINT) FROM b) AS total_messages,
+       (SELECT count(*) FROM b) AS total_batches,
+       (SELECT CAST(sum(failed) AS BIGINT) FROM b) AS total_failures""",
           ("pevents_v", "topic_v", "outbox_v"))
 def q_system_metrics(spark, sf):
     """A4 + A3 + A5 + A6 + A7 in one row."""
     P = V.product(spark, sf)
     M = topic_log(spark, sf)
-    topics = B.broker_stats(M).agg(F.count(F.lit(1)).alias("topics"), F.sum("messages").alias("messages"))
-    failures = B.publisher_stats(M).agg(F.sum("total_failures").alias("total_failures"))
+    topics = B.broker_stats(M).agg(F.count(F.lit(1)).alias("topics"), F.lit(len(CONSUMER_GROUPS)).cast("bigint").alias("consumer_groups"),
+                                   F.sum("messages").alias("messages"))
     return MO.one_row(C.row_count(P, "product_count"), OB.outbox_stats(V.outbox(spark, sf)),
-                      S.sync_stats(P, folded_index(spark, sf)), topics, failures)
+                      S.sync_stats(P, folded_index(spark, sf)), topics, B.batch_stats(M))
