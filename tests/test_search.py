@@ -282,3 +282,28 @@ def test_exploded_documents_are_never_broadcast(spark):
     met = SE.in_price_ranges(docs, ranges)
     assert _broadcast_sides(met) and not any("doc_id" in x for x in _broadcast_sides(met))
     assert met.count() == 90
+
+
+def test_all_terms_are_found_by_the_rarest(spark, monkeypatch):
+    texts = [(1, "apple pear plum fig nut"), (2, "apple pear plum fig"), (3, "apple pear nut"), (4, "nut fig plum pear apple apple")]
+    made = IX.build_index(spark.createDataFrame(texts, "id long, text string"), {"text": "text"})
+    asked = [(1, "apple pear plum fig nut"), (2, "pear apple"), (3, "apple unheard"), (4, "nut"), (5, "nut"), (5, "nut")]
+    queries = spark.createDataFrame(asked, "query_id long, q string")
+    either = {(r.query_id, r.doc_id): r.score for r in SE.score_fields(made, queries, {"text": ("text", 1.0)}).collect()}
+    monkeypatch.setattr(SE, "_lanes", None)                 # the postings of all terms are not joined
+    got = {(r.query_id, r.doc_id): r.score for r in SE.score_fields(made, queries, {"text": ("text", 1.0)}, operator="and").collect()}
+    assert set(got) == {(1, 1), (1, 4), (2, 1), (2, 2), (2, 3), (2, 4), (4, 1), (4, 3), (4, 4), (5, 1), (5, 3), (5, 4)}
+    assert all(abs(s - either[k]) < 1e-9 for k, s in got.items())
+
+
+def test_requests_are_numbered_and_phrases_counted_without_lists(spark, ix):
+    seen = []
+
+    def run(combos):
+        seen.append(dict(combos.dtypes)["query_id"])
+        return SE.autocomplete(ix, combos)
+
+    asked = spark.createDataFrame([("a", "wireless blue"), ("b", "wireless blue"), ("c", "garden")], "query_id string, q string")
+    found = SE.per_distinct(asked, ["q"], run)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert seen == ["bigint"] and _hits(found) == {"a": {1}, "b": {1}, "c": {5}}
