@@ -296,6 +296,15 @@ def test_all_terms_are_found_by_the_rarest(spark, monkeypatch):
     assert all(abs(s - either[k]) < 1e-9 for k, s in got.items())
 
 
+def test_rescored_vectors_shuffle_only_pairs(spark, ix):
+    exp = spark.createDataFrame([(1, "name", "name", "wireless", "wireless", 1.0)],
+                                "query_id long, lane string, field string, qterm string, term string, w double")
+    found = SE.rescore(ix, exp, spark.createDataFrame([(1, 1), (1, 2)], "query_id long, doc_id long"))
+    sides = _broadcast_sides(found)
+    assert any("lane" in x and "doc_id" not in x for x in sides)
+    assert _hits(found) == {1: {1}}
+
+
 def test_requests_are_numbered_and_phrases_counted_without_lists(spark, ix):
     seen = []
 
