@@ -18,17 +18,29 @@ from vitrine.plans.registry import money, register
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
+TOPIC_ORDER = ["timestamp", "event_id"]
+
+
+def topic_rows(spark, sf):
+    """The rows of the product-events topic with offsets assigned (W1): narrow ones, the messages are made of them
+    where they are read."""
+    return B.assign_offsets(V.product_event_rows(spark, sf), TOPIC_ORDER)
+
+
 def product_topic(spark, sf):
     """The product-events topic with offsets assigned."""
-    return B.assign_offsets(V.product_events(spark, sf), ["timestamp", "event_id"])
+    return V.product_messages(topic_rows(spark, sf), "offset")
 
 
-def topic_log(spark, sf):
-    """Every outbox row published to its topic, offsets per topic."""
+def topic_log(spark, sf, columns=None):
+    """Every outbox row published to its topic, offsets per topic (W1). ``columns``: those that the
+    reader needs besides topic, timestamp, outbox_id and offset; all by default."""
     O = V.outbox(spark, sf)
     msgs = OB.to_messages(O).join(
         O.select(F.col("id").alias("outbox_id"), "retry_count", "processed_at", "created_at"),
         "outbox_id")
+    if columns is not None:
+        msgs = msgs.select("topic", "timestamp", "outbox_id", *columns)
     return B.assign_offsets(msgs, ["timestamp", "outbox_id"])
 
 
@@ -115,9 +127,9 @@ def q_fold_events(spark, sf):
 def q_fold_replayed_log(spark, sf):
     """ST6: the log delivered twice (a full replay with new offsets) folds to
     the same documents once duplicates are dropped by idempotency key."""
-    M = product_topic(spark, sf)
-    replay = B.publish(M.drop("offset"), M, ["timestamp", "event_id"])
-    doc, _ = FO.fold_events(M.unionByName(replay))
+    rows = topic_rows(spark, sf)
+    replay = B.publish(rows.drop("offset"), rows, TOPIC_ORDER)
+    doc, _ = FO.fold_events(V.product_messages(rows.unionByName(replay), "offset"))
     return _fold_out(doc)
 
 

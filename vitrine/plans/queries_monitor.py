@@ -36,7 +36,7 @@ component AS (
 
 def components(spark, sf):
     P = V.product(spark, sf)
-    return (MO.database_component(P).unionByName(MO.broker_component(topic_log(spark, sf)))
+    return (MO.database_component(P).unionByName(MO.broker_component(topic_log(spark, sf, [])))
             .unionByName(MO.outbox_component(V.outbox(spark, sf)))
             .unionByName(MO.sync_component(S.sync_stats(P, folded_index(spark, sf)))))
 
@@ -75,7 +75,7 @@ SELECT (SELECT count(*) FROM part) AS product_count,
 def q_system_metrics(spark, sf):
     """A4 + A3 + A5 + A6 + A7 in one row."""
     P = V.product(spark, sf)
-    M = topic_log(spark, sf)
+    M = topic_log(spark, sf, ["event_type", "retry_count"])
     topics = B.broker_stats(M).agg(F.count(F.lit(1)).alias("topics"), F.lit(len(CONSUMER_GROUPS)).cast("bigint").alias("consumer_groups"),
                                    F.sum("messages").alias("messages"))
     return MO.one_row(C.row_count(P, "product_count"), OB.outbox_stats(V.outbox(spark, sf)),
