@@ -11,6 +11,8 @@ one partial row per map task instead of one long sequential task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,34 +85,46 @@ def metric_increments(E: DataFrame) -> DataFrame:
         F.when(is_view, pop).alias("pop_set"))
 
 
-def latest_lifecycle(E: DataFrame, mode: str = "replace") -> DataFrame:
-    """Per product, the last lifecycle event (max_by over offset), and the
+def _is_life() -> Column:
+    return F.col("event_type").isin(LIFECYCLE) & ~F.col("corrupt")
+
+
+def last_positions(E: DataFrame, mode: str = "replace") -> DataFrame:
+    """W3 without the event itself, as numbers that add up in a hash aggregate: per product, offset ``l_off`` and type
+    ``l_type`` of its last lifecycle event, where counters restart (``counter_from``), and the
     last absolute view count (``set_to`` at offset ``set_off``) if any.
-    ``merge`` mode also returns the last Created/Deleted, where counters restart."""
-    rows = (E.withColumn("_life", F.col("event_type").isin(LIFECYCLE) & ~F.col("corrupt"))
+    ``merge`` mode: counters restart at the last Created/Deleted."""
+    rows = (E.withColumn("_life", _is_life())
             .withColumn("_total", _total_views()).filter(F.col("_life") | F.col("_total").isNotNull()))
     life = rows.filter("_life")
     at = F.when(F.col("_life"), F.col("offset"))
     set_at = F.when(F.col("_total").isNotNull(), F.col("offset"))
-    aggs = [F.max_by(F.when(F.col("_life"), F.struct("offset", "event_type", "ev")), at).alias("L"),
-            F.max(set_at).alias("set_off"), F.max_by("_total", set_at).alias("set_to")]
+    kind = reduce(lambda c, k: c.when(F.col("event_type") == k[1], k[0]), enumerate(LIFECYCLE), F.when(F.lit(False), -1))
+    aggs = [F.max_by(kind, at).alias("_kind"), F.max(at).alias("l_off"), F.max(set_at).alias("set_off"), F.max_by("_total", set_at).alias("set_to")]
+    l_type = F.element_at(F.array(*map(F.lit, LIFECYCLE)), F.col("_kind") + 1).alias("l_type")
     if mode != "merge":
-        return (rows.groupBy("product_id").agg(*aggs).filter(F.col("L").isNotNull())
-                .withColumn("counter_from", F.col("L.offset")))
+        return (rows.groupBy("product_id").agg(*aggs).filter(F.col("l_off").isNotNull())
+                .select("product_id", "l_off", l_type, "set_off", "set_to", F.col("l_off").alias("counter_from")))
     # merge: counters live as long as the document: from the last Created, or
     # from the first lifecycle event after the last Deleted, whichever is later
     t = F.col("event_type")
     aggs += [F.max(F.when(t == "ProductDeleted", at)).alias("_last_del"),
              F.max(F.when(t == "ProductCreated", at)).alias("_last_cr")]
-    out = rows.groupBy("product_id").agg(*aggs).filter(F.col("L").isNotNull())
+    out = rows.groupBy("product_id").agg(*aggs).filter(F.col("l_off").isNotNull())
     first_after = (life.select("product_id", "offset")
                    .join(out.select("product_id", "_last_del"), "product_id")
                    .filter(F.col("offset") > F.coalesce(F.col("_last_del"), F.lit(-1)))
                    .groupBy("product_id").agg(F.min("offset").alias("_first_after")))
+    counter_from = F.greatest(F.coalesce("_last_cr", F.lit(-1)), F.coalesce("_first_after", F.lit(-1)))
     return (out.join(first_after, "product_id", "left")
-            .withColumn("counter_from", F.greatest(F.coalesce("_last_cr", F.lit(-1)),
-                                                   F.coalesce("_first_after", F.lit(-1))))
-            .drop("_last_del", "_last_cr", "_first_after"))
+            .select("product_id", "l_off", l_type, "set_off", "set_to", counter_from.alias("counter_from")))
+
+
+def latest_lifecycle(E: DataFrame, mode: str = "replace") -> DataFrame:
+    """``last_positions`` and, as ``L``, the last lifecycle event itself (offset, event_type, ev): the one at that
+    offset, so only numbers are aggregated. ``offset`` must tell the events of a product apart."""
+    life = E.filter(_is_life()).select("product_id", F.col("offset").alias("l_off"), F.struct("offset", "event_type", "ev").alias("L"))
+    return last_positions(E, mode).join(life, ["product_id", "l_off"])
 
 
 def parsed_once(M: DataFrame) -> DataFrame:
@@ -122,7 +136,7 @@ def parsed_once(M: DataFrame) -> DataFrame:
     return M.sparkSession.read.schema(E.schema).parquet(path)
 
 
-def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True, once: bool = True) -> tuple[DataFrame, DataFrame]:
+def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True) -> tuple[DataFrame, DataFrame]:
     """ST9: final search documents from a product-event topic; returns
     (documents, dropped metric events).
 
@@ -142,28 +156,31 @@ def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True, once: b
     product's last lifecycle event that find no live document (deleted or
     never created) and events whose product id is unreadable; metric events
     before the last lifecycle event are superseded by it and not listed.
-    ``once``: write the parsed events before they are read for both; a micro-batch is small enough not to.
+    The parsed events are written before they are read for both.
     """
-    E = (parsed_once if once else parse_events)(dedupe(M) if dedup else M)
+    return fold_parsed(parsed_once(dedupe(M) if dedup else M), mode)
+
+
+def fold_parsed(E: DataFrame, mode: str = "replace") -> tuple[DataFrame, DataFrame]:
+    """``fold_events`` over events that are parsed already."""
     L = latest_lifecycle(E, mode)
     metrics = metric_increments(E.filter(F.col("event_type").isin(METRIC)))
     was_set = F.col("set_off") > F.col("counter_from")
-    mj = salted(metrics, L.select(
+    mj = salted(metrics, last_positions(E, mode).select(
         "product_id", "counter_from", F.when(was_set, F.col("set_off")).otherwise(F.col("counter_from")).alias("click_from"),
-        F.col("L.offset").alias("l_off"), F.col("L.event_type").alias("l_type")), "product_id", "offset")
+        "l_off", "l_type"), "product_id", "offset")
     live = (F.col("l_type").isNotNull() & (F.col("l_type") != "ProductDeleted"))
     counted = mj.filter(live & (F.col("offset") > F.col("counter_from")))
     dropped = mj.filter(F.col("product_id").isNull() | F.col("l_type").isNull()
                         | ((F.col("l_type") == "ProductDeleted") & (F.col("offset") > F.col("l_off")))) \
         .select("product_id", "offset", "event_type")
-    last_metric = F.max_by(F.struct("offset", "pop_set"), F.col("offset"))
     agg = counted.groupBy("product_id").agg(
         F.sum(F.when(F.col("offset") > F.col("click_from"), F.col("view_inc"))).alias("clicks_after"),
         F.count("view_inc").alias("n_views"),
         F.sum("buy_inc").alias("buys_after"),
         F.count("buy_inc").alias("n_buys"),
-        last_metric.alias("last_metric"))
-    doc = (L.filter(F.col("L.event_type") != "ProductDeleted")
+        F.max("offset").alias("last_metric"), F.max_by("pop_set", "offset").alias("pop_set"))
+    doc = (L.filter(F.col("l_type") != "ProductDeleted")
            .join(agg, "product_id", "left"))
     created = F.col("L.event_type") == "ProductCreated"
     restart_zero = created if mode == "replace" else F.lit(True)
@@ -174,7 +191,7 @@ def fold_events(M: DataFrame, mode: str = "replace", dedup: bool = True, once: b
     buys = F.when(F.coalesce(F.col("n_buys"), F.lit(0)) > 0,
                   F.coalesce(base, F.lit(0)) + F.col("buys_after")).otherwise(base)
     any_metric = F.col("last_metric").isNotNull()
-    pop = (F.when(any_metric, F.coalesce(F.col("last_metric.pop_set"),
+    pop = (F.when(any_metric, F.coalesce(F.col("pop_set"),
                                          FX.popularity(clicks, buys, "sync")))
            .when(restart_zero, F.lit(0.0)))
     ev = F.col("L.ev")
@@ -236,9 +253,13 @@ def merge_slice(D: DataFrame | None, batch: DataFrame) -> tuple[DataFrame, DataF
     without a live document drop their metric events. One partial aggregate
     per product per slice, so a hot product costs one row per map task.
     """
-    E = parse_events(batch)
-    L = latest_lifecycle(E).select("product_id")
-    rebuilt, dropped = fold_events(batch, dedup=False, once=False)
+    return merge_parsed(D, parse_events(batch))
+
+
+def merge_parsed(D: DataFrame | None, E: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``merge_slice`` of a slice that is parsed already; it is read several times."""
+    L = last_positions(E).select("product_id")
+    rebuilt, dropped = fold_parsed(E)
     if D is None:
         return rebuilt, dropped
     untouched = D.select("product_id").join(L, "product_id", "left_anti")
@@ -251,7 +272,7 @@ def merge_slice(D: DataFrame | None, batch: DataFrame) -> tuple[DataFrame, DataF
         F.sum(F.when(later, F.col("view_inc"))).alias("_dc"), F.count("view_inc").alias("_nv"),
         F.max("set_to").alias("_set"),
         F.sum("buy_inc").alias("_dp"), F.count("buy_inc").alias("_nb"),
-        F.max_by(F.struct("offset", "pop_set"), F.col("offset")).alias("_last"))
+        F.max("offset").alias("_last"), F.max_by("pop_set", "offset").alias("_pop"))
     kept = D.join(L, "product_id", "left_anti").join(agg, "product_id", "left")
     c = (F.when(F.col("_set").isNotNull(), F.col("_set") + F.coalesce(F.col("_dc"), F.lit(0)))
          .when(F.coalesce(F.col("_nv"), F.lit(0)) > 0, FX.add_counter("click_count", F.col("_dc")))
@@ -259,7 +280,7 @@ def merge_slice(D: DataFrame | None, batch: DataFrame) -> tuple[DataFrame, DataF
     p = F.when(F.coalesce(F.col("_nb"), F.lit(0)) > 0,
                FX.add_counter("purchase_count", F.col("_dp"))).otherwise(F.col("purchase_count"))
     pop = F.when(F.col("_last").isNotNull(),
-                 F.coalesce(F.col("_last.pop_set"), FX.popularity(c, p, "sync"))
+                 F.coalesce(F.col("_pop"), FX.popularity(c, p, "sync"))
                  ).otherwise(F.col("popularity_score"))
     new = {"click_count": c.cast("bigint"), "purchase_count": p.cast("bigint"), "popularity_score": pop}
     kept = kept.select(*[new[x].alias(x) if x in new else F.col(x) for x in D.columns])

@@ -228,9 +228,10 @@ def fold_handler(table: KeyedTable, seen: SeenKeys | None = None) -> Callable[[D
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        new = seen.fresh(FO.dedupe(batch), batch_id).persist()
-        touched = table.touched(FO.parse_events(new))
-        docs, dropped = FO.merge_slice(table.read(batch.sparkSession, touched, before=batch_id), new)
+        # every payload is parsed once, and the fold reads the fields it needs
+        new = FO.parse_events(seen.fresh(FO.dedupe(batch), batch_id)).drop("payload", "headers").persist()
+        touched = table.touched(new)
+        docs, dropped = FO.merge_parsed(table.read(batch.sparkSession, touched, before=batch_id), new)
         table.write(docs, batch_id, touched)
         dropped.write.mode("overwrite").parquet(f"{table.path}-dropped/batch={batch_id}")
         seen.add(batch, batch_id)
