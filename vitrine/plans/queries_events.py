@@ -404,7 +404,7 @@ SELECT product_id, CAST(sum(quantity) AS BIGINT) AS quantity,
        count(DISTINCT order_id) AS orders, count(DISTINCT user_id) AS buyers
 FROM purchases_v GROUP BY 1""", ("purchases_v",))
 def q_purchase_stats(spark, sf):
-    s = FO.purchase_stats(V.purchases(spark, sf))
+    s = FO.purchase_stats(V.purchases(spark, sf), V.purchase_parts(spark, sf))
     return s.select("product_id", "quantity", money("revenue").alias("revenue"), "orders", "buyers")
 
 
