@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions import text as TX
+from vitrine.operators import cells
 from vitrine.operators import index as IX
 from vitrine.operators import search as SE
 from vitrine.plans import queries_search as Q
@@ -212,6 +213,38 @@ def test_more_like_this_like_brute_force(spark, many):
     assert {(r.seed_id, r.doc_id, round(r.score, 6)) for r in got.collect()} == want
 
 
+def test_cells_add_up_every_posting(spark, many, monkeypatch):
+    rnd = random.Random(8)
+    q = _queries(spark, [" ".join(rnd.choices(WORDS + ["common", "sofa"], k=rnd.randrange(1, 5))) for _ in range(25)] + ["sofa"])
+    seeds = spark.createDataFrame([(i,) for i in range(0, 400, 7)] + [(None,), (9999,)], "id long")
+
+    def answers():
+        found = SE.multi_field_search(many, q, 5), SE.more_like_this(many, seeds, 5).withColumnRenamed("seed_id", "query_id")
+        return [sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in f.collect()) for f in found]
+
+    want, calls, scores = answers(), [], cells.scores
+    monkeypatch.setattr(SE, "FEW_POSTINGS", 0)
+    monkeypatch.setattr(SE, "CELLS_SHARE", 0)
+    monkeypatch.setattr(SE, "CELLS_POSTINGS", 1)
+    monkeypatch.setattr(cells, "scores", lambda *a: calls.append(a) or scores(*a))
+    for postings, terms in ((300, 100), (1 << 22, 1 << 23)):
+        monkeypatch.setattr(cells, "DOC_POSTINGS", postings)
+        monkeypatch.setattr(cells, "QUERY_TERMS", terms)
+        assert answers() == want
+    assert len(calls) == 4
+
+
+def test_equal_scores_in_cells_go_by_document(spark, monkeypatch):
+    D = spark.createDataFrame([(f"d{i:02d}", "zinc lamp") for i in range(40)] + [("e", None), ("f", "zinc")], "id string, text string")
+    ix = IX.build_index(D, {"text": "text"})
+    exp = SE.weighted_terms(ix, spark.createDataFrame([(1, "zinc lamp")], "query_id long, q string"), {"text": ("text", 1.0)})[1]
+    monkeypatch.setattr(SE, "FEW_POSTINGS", 0)
+    monkeypatch.setattr(SE, "CELLS_POSTINGS", 1)
+    monkeypatch.setattr(cells, "DOC_POSTINGS", 10)
+    got = SE.best(ix, exp, 3)
+    assert sorted((r["rank"], r.doc_id) for r in got.collect()) == [(1, "d00"), (2, "d01"), (3, "d02")]
+
+
 def test_prefixes_are_intervals_of_term_numbers(spark, many):
     p = spark.createDataFrame([(1, "r"), (2, "b"), (3, "common"), (4, "zzz")], "query_id long, qterm string")
     found = {(r.query_id, r.term) for r in SE.prefix_terms(many, p, "name").collect()}
