@@ -245,6 +245,17 @@ def test_equal_scores_in_cells_go_by_document(spark, monkeypatch):
     assert sorted((r["rank"], r.doc_id) for r in got.collect()) == [(1, "d00"), (2, "d01"), (3, "d02")]
 
 
+def test_documents_of_one_file_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    spark.createDataFrame([(i, f"word{i}") for i in range(50)], "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(IX, "stored", lambda spark, name, paths, build: build(f"{path}/ix"))
+    monkeypatch.setattr(IX, "build_index", lambda docs, *a, **b: seen.append(docs.rdd.getNumPartitions()))
+    monkeypatch.setattr(Q, "TASK_DOCUMENTS", 5)
+    Q.corpus_ix(spark, path)
+    assert seen == [11]
+
+
 def test_prefixes_are_intervals_of_term_numbers(spark, many):
     p = spark.createDataFrame([(1, "r"), (2, "b"), (3, "common"), (4, "zzz")], "query_id long, qterm string")
     found = {(r.query_id, r.term) for r in SE.prefix_terms(many, p, "name").collect()}
