@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vitrine.llm import exact_dedup, quality_rules, shared
@@ -118,3 +119,17 @@ def test_rows_with_maps_pass_both_dedups(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")
     for kept in (exact_dedup.drop_repeats(docs), simhash.keep_one(docs, width=4, radius=4)):
         assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["another", "same text here"]
+
+
+def test_filters_are_broadcast_in_blocks_of_words(spark):
+    wanted = spark.range(0, 60_000, 3).selectExpr("id k")
+    rows = spark.range(60_000).selectExpr("case when id = 7 then null else id end k")
+    words = wanted.count() // 4 + 1
+    blocks = shared.filter_blocks(wanted, F.pmod(F.xxhash64("k"), F.lit(words * 64)), words).collect()
+    assert len(blocks) == -(-words // 1024) and sum(len(b["__masks"]) for b in blocks) == words
+    slots = {r.s for r in wanted.select(F.pmod(F.xxhash64("k"), F.lit(words * 64)).alias("s")).collect()}
+    assert {(b["__block"] * 1024 + i) * 64 + k for b in blocks for i, m in enumerate(b["__masks"]) for k in range(64) if m >> k & 1} == slots
+    flagged = shared.flag_in(rows, "k", wanted)
+    expected = rows.withColumn("s", F.pmod(F.xxhash64("k"), F.lit(words * 64))).collect()
+    assert sorted(((r.k is None, r.k or 0), r["__maybe"]) for r in flagged.collect()) == sorted(
+        ((r.k is None, r.k or 0), r.s in slots) for r in expected)
